@@ -53,13 +53,12 @@ def gaussian2d(h: str, cx: str, cy: str, wx: str, wy: str, x: str = "x", y: str
     return f"{h} * exp(-0.5D * (pow(({cx} - {x}) / {wx}, 2) + pow(({cy} - {y}) / {wy}, 2)))"
 
 
-def flip_augment(images: DataFrame, extent: DataFrame, id_column: str, seed: int) -> DataFrame:
-    """Left-right and up-down flips, each for a seeded half of the images."""
-    joined = images.join(F.broadcast(extent), id_column) if extent is not None else images
+def flip_augment(images: DataFrame, id_column: str, ny: int, nx: int, seed: int) -> DataFrame:
+    """Left-right and up-down flips of ny x nx images, each for a seeded part of the images."""
     lr = f"pmod({id_column} * 31 + {seed}, 7) % 2 = 0"
     ud = f"pmod({id_column} * 17 + {seed}, 5) % 2 = 0"
-    return joined.selectExpr(
-        id_column, f"CASE WHEN {ud} THEN ny - 1 - y ELSE y END AS y", f"CASE WHEN {lr} THEN nx - 1 - x ELSE x END AS x", "f"
+    return images.selectExpr(
+        id_column, f"CASE WHEN {ud} THEN {ny} - 1 - y ELSE y END AS y", f"CASE WHEN {lr} THEN {nx} - 1 - x ELSE x END AS x", "f"
     )
 
 
@@ -233,7 +232,7 @@ def median_filter(image: DataFrame, ids: list[str], size: int = 8) -> DataFrame:
     return image.select(*ids, "y", "x").join(medians, [*ids, "y", "x"])
 
 
-def gaussian_fit(images: DataFrame, ids: list[str], rounds: int = 12) -> DataFrame:
+def gaussian_fit(images: DataFrame, ids: list[str], rounds: int = 12, cut_every: int = 4) -> DataFrame:
     """Least-squares 2-D Gaussian per image: height, cy, cx, width_y, width_x.
 
     Every round is one grouped aggregate of the 5 x 5 normal equations of all images at once;
@@ -248,13 +247,13 @@ def gaussian_fit(images: DataFrame, ids: list[str], rounds: int = 12) -> DataFra
     names = ["height", "cy", "cx", "width_y", "width_x"]
     params = moments(images, ids).selectExpr(*ids, *names, "1e-3D AS damping", "CAST(NULL AS DOUBLE) AS loss",
                                              *[f"{n} AS best_{n}" for n in names])
-    params = cut_lineage(params)
     g = "exp(-0.5D * (pow((cy - y) / width_y, 2) + pow((cx - x) / width_x, 2)))"
     slopes = {
         "j0": "g", "j1": "-height * g * (cy - y) / pow(width_y, 2)", "j2": "-height * g * (cx - x) / pow(width_x, 2)",
         "j3": "height * g * pow(cy - y, 2) / pow(width_y, 3)", "j4": "height * g * pow(cx - x, 2) / pow(width_x, 3)",
     }
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in params.schema.fields)
+    columns = params.columns
 
     def step(frames):
         for frame in frames:
@@ -276,16 +275,16 @@ def gaussian_fit(images: DataFrame, ids: list[str], rounds: int = 12) -> DataFra
                 rest.update({n: float(v) for n, v in zip(names, now)}, damping=damping, loss=loss)
                 rest.update({f"best_{n}": float(v) for n, v in zip(names, best)})
                 out.append(rest)
-            yield pd.DataFrame(out, columns=[f.name for f in params.schema.fields]) if out else pd.DataFrame(
-                columns=[f.name for f in params.schema.fields]
-            )
+            yield pd.DataFrame(out, columns=columns)
 
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
         rows = images.join(params, ids).selectExpr("*", f"{g} AS g").selectExpr(
             "*", "f - height * g AS res", *[f"{e} AS {n}" for n, e in slopes.items()]
         )
         sums = [F.expr(f"sum(j{i} * j{j}) AS a{i}{j}") for i in range(5) for j in range(i, 5)]
         sums += [F.expr(f"sum(j{i} * res) AS b{i}") for i in range(5)] + [F.expr("sum(res * res) AS new_loss")]
-        normal = rows.groupBy(*ids).agg(*sums)
-        params = cut_lineage(params.join(normal, ids).mapInPandas(step, schema))
+        now = [F.expr(f"any_value({c}) AS {c}") for c in columns if c not in ids]
+        params = rows.groupBy(*ids).agg(*sums, *now).mapInPandas(step, schema)
+        if turn % cut_every == 0:
+            params = cut_lineage(params)
     return params.selectExpr(*ids, *[f"best_{n} AS {n}" for n in names], "loss")

@@ -27,7 +27,7 @@ def sums(spark: SparkSession, sf: str, start: int = 5, end: int = 9) -> DataFram
 
 
 view("img", "cube", "SELECT exposure, y, x, sum(flux) AS f FROM cube WHERE w BETWEEN 5 AND 9 GROUP BY 1, 2, 3")
-view("header", "", """SELECT 3715.0 AS crval3, CAST(0.25 AS DOUBLE) AS cd3_3, 2.44053529605E-05 AS cd1_1, 9.10819745106E-05 AS cd2_1,
+view("header", "", """SELECT CAST(3715 AS DOUBLE) AS crval3, CAST(0.25 AS DOUBLE) AS cd3_3, 2.44053529605E-05 AS cd1_1, 9.10819745106E-05 AS cd2_1,
   3.91006768990E-05 AS cd1_2, -1.04769997120E-05 AS cd2_2""")
 
 
@@ -217,13 +217,16 @@ def fn_gaussian2d(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fn_flip_augment",
-    with_views("cube", """SELECT w AS image, CASE WHEN ((w * 17 + 5) % 5) % 2 = 0 THEN (SELECT max(y) FROM cube) - y ELSE y END AS y,
-    CASE WHEN ((w * 31 + 5) % 7) % 2 = 0 THEN (SELECT max(x) FROM cube) - x ELSE x END AS x, round(flux, 4) + CAST(0 AS DOUBLE) AS f FROM cube WHERE exposure = 'exp1'"""),
+    with_views("cube", """SELECT image, CASE WHEN ((image * 17 + 5) % 5) % 2 = 0 THEN (SELECT max(y) FROM cube) - y ELSE y END AS y,
+    CASE WHEN ((image * 31 + 5) % 7) % 2 = 0 THEN (SELECT max(x) FROM cube) - x ELSE x END AS x, round(flux, 4) + CAST(0 AS DOUBLE) AS f
+    FROM (SELECT *, 2 * w + CASE WHEN exposure = 'exp2' THEN 1 ELSE 0 END AS image FROM cube) c"""),
 )
 def fn_flip_augment(spark: SparkSession, sf: str) -> DataFrame:
-    images = A.cube(spark, sf).filter("exposure = 'exp1'").selectExpr("w AS image", "y", "x", "round(flux, 4) + 0D AS f")
+    images = A.cube(spark, sf).selectExpr(
+        "2 * w + CASE WHEN exposure = 'exp2' THEN 1 ELSE 0 END AS image", "y", "x", "round(flux, 4) + 0D AS f"
+    )
     ny, nx = images.agg(F.expr("max(y) + 1"), F.expr("max(x) + 1")).first()
-    return C.flip_augment(images.selectExpr("*", f"{ny} AS ny", f"{nx} AS nx"), None, "image", 5)
+    return C.flip_augment(images, "image", ny, nx, seed=5)
 
 
 @query("cube_regrid_nearest", with_views("grid_a", f"SELECT exposure, v, y, x, {r4s('flux')} FROM grid_a"))
