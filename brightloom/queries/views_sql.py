@@ -96,7 +96,7 @@ SELECT vec_id AS row_id, CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] A
 
 # Every (dispatch, technician of the day) pair with its flags, costs and score: the
 # brute-force form that the blocked operators are checked against.
-view("pairs", "dispatches tech_calendar technicians", f"""
+PAIRS_SQL = f"""
 SELECT d.*, CAST(d.appointment_start AS DATE) AS appointment_date, t.technician_id, t.name AS technician_name,
   t.primary_skill, t.city AS tech_city, t.state AS tech_state, t.workload_capacity, t.current_assignments,
   CASE WHEN c.date IS NOT NULL THEN 1 ELSE 0 END AS has_date,
@@ -105,8 +105,9 @@ SELECT d.*, CAST(d.appointment_start AS DATE) AS appointment_date, t.technician_
   CASE WHEN c.available = 1 THEN 1 ELSE 0 END AS calendar_available,
   CASE WHEN t.latitude IS NOT NULL AND d.customer_latitude IS NOT NULL
     THEN {haversine_sql('t.latitude', 't.longitude', 'd.customer_latitude', 'd.customer_longitude')} ELSE 9999.0 END AS distance_km
-  FROM dispatches d LEFT JOIN tech_calendar c ON CAST(d.appointment_start AS DATE) = c.date
-  LEFT JOIN technicians t ON c.technician_id = t.technician_id""")
+  FROM {{src}} d LEFT JOIN tech_calendar c ON CAST(d.appointment_start AS DATE) = c.date
+  LEFT JOIN technicians t ON c.technician_id = t.technician_id"""
+view("pairs", "dispatches tech_calendar technicians", PAIRS_SQL.format(src="dispatches"))
 
 SCORED_SQL = """
 SELECT *, -final_cost AS final_score, (5 - constraints_passed) * 100.0 AS constraint_penalty,
