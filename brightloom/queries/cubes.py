@@ -125,7 +125,7 @@ def cube_axis_step(spark: SparkSession, sf: str) -> DataFrame:
     return C.axis_step(axis.selectExpr("w", f"{C.velocity(wave, LINE_A[0])} AS v"), "v", []).selectExpr("round(step, 4) AS step")
 
 
-@query("cube_crop_scale", with_views("cube", f"SELECT exposure, w, y - {AREA[0]} AS y, x - {AREA[2]} AS x, round(flux * 10, 4) + CAST(0 AS DOUBLE) AS flux FROM cube WHERE y >= {AREA[0]} AND y < {AREA[1]} AND x >= {AREA[2]} AND x < {AREA[3]}"))
+@query("cube_crop_scale", with_views("cube", f"SELECT exposure, w, y - {AREA[0]} AS y, x - {AREA[2]} AS x, round(flux * 10 + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS flux FROM cube WHERE y >= {AREA[0]} AND y < {AREA[1]} AND x >= {AREA[2]} AND x < {AREA[3]}"))
 def cube_crop_scale(spark: SparkSession, sf: str) -> DataFrame:
     return C.crop_scale(A.cube(spark, sf), *AREA).selectExpr(*VOXEL, *r4("flux"))
 
@@ -135,7 +135,7 @@ def cube_drop_first_plane(spark: SparkSession, sf: str) -> DataFrame:
     return C.drop_first_plane(A.cube(spark, sf)).selectExpr(*VOXEL, *r4("flux"))
 
 
-@query("cube_mean_exposures", with_views("cube", "SELECT w, y, x, round(avg(flux), 4) + CAST(0 AS DOUBLE) AS flux FROM cube GROUP BY 1, 2, 3"))
+@query("cube_mean_exposures", with_views("cube", "SELECT w, y, x, round(avg(flux) + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS flux FROM cube GROUP BY 1, 2, 3"))
 def cube_mean_exposures(spark: SparkSession, sf: str) -> DataFrame:
     return C.mean_exposures(A.cube(spark, sf), "exposure", ID).selectExpr("w", "y", "x", *r4("flux"))
 
@@ -162,12 +162,12 @@ def sink_spectrum_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path)
 
 
-@query("cube_mask_box", with_views("img", f"SELECT exposure, y, x, CASE WHEN NOT (y >= 2 AND y < 6 AND x >= 3 AND x < 9) THEN round(f, 4) + CAST(0 AS DOUBLE) END AS f FROM img"))
+@query("cube_mask_box", with_views("img", f"SELECT exposure, y, x, CASE WHEN NOT (y >= 2 AND y < 6 AND x >= 3 AND x < 9) THEN round(f + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) END AS f FROM img"))
 def cube_mask_box(spark: SparkSession, sf: str) -> DataFrame:
     return C.mask_box(sums(spark, sf), 2, 6, 3, 9).selectExpr("exposure", "y", "x", *r4("f"))
 
 
-@query("cube_log_clamp", with_views("cube", "SELECT exposure, w, y, x, round(CASE WHEN flux <= 0 THEN CAST(0.01 AS DOUBLE) ELSE flux END, 4) + CAST(0 AS DOUBLE) AS f FROM cube"))
+@query("cube_log_clamp", with_views("cube", "SELECT exposure, w, y, x, round(CASE WHEN flux <= 0 THEN CAST(0.01 AS DOUBLE) ELSE flux END + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS f FROM cube"))
 def cube_log_clamp(spark: SparkSession, sf: str) -> DataFrame:
     return C.log_clamp(A.cube(spark, sf).withColumnRenamed("flux", "f")).selectExpr(*VOXEL, *r4("f"))
 
@@ -185,7 +185,7 @@ def masked(image: DataFrame, n: float) -> DataFrame:
     return C.threshold_mask(image, C.background_stats(image, *BOX, ID), n, ID)
 
 
-@query("cube_threshold_mask", with_views("img back", "SELECT i.exposure, y, x, CASE WHEN round(f, 9) > round(median + 1 * std, 9) THEN round(f, 4) + CAST(0 AS DOUBLE) END AS f FROM img i JOIN back b ON i.exposure = b.exposure"))
+@query("cube_threshold_mask", with_views("img back", "SELECT i.exposure, y, x, CASE WHEN round(f, 9) > round(median + 1 * std, 9) THEN round(f + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) END AS f FROM img i JOIN back b ON i.exposure = b.exposure"))
 def cube_threshold_mask(spark: SparkSession, sf: str) -> DataFrame:
     return masked(sums(spark, sf), 1).selectExpr("exposure", "y", "x", *r4("f"))
 
@@ -218,7 +218,7 @@ def fn_gaussian2d(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "fn_flip_augment",
     with_views("cube", """SELECT image, CASE WHEN ((image * 17 + 5) % 5) % 2 = 0 THEN (SELECT max(y) FROM cube) - y ELSE y END AS y,
-    CASE WHEN ((image * 31 + 5) % 7) % 2 = 0 THEN (SELECT max(x) FROM cube) - x ELSE x END AS x, round(flux, 4) + CAST(0 AS DOUBLE) AS f
+    CASE WHEN ((image * 31 + 5) % 7) % 2 = 0 THEN (SELECT max(x) FROM cube) - x ELSE x END AS x, round(flux + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS f
     FROM (SELECT *, 2 * w + CASE WHEN exposure = 'exp2' THEN 1 ELSE 0 END AS image FROM cube) c"""),
 )
 def fn_flip_augment(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +241,7 @@ def cube_regrid_weighted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cube_align_add",
-    with_views("grid_a grid_b wgrid_a", """SELECT a.exposure, a.v, a.y, a.x, round(a.flux + b.flux + c.flux, 4) + CAST(0 AS DOUBLE) AS flux
+    with_views("grid_a grid_b wgrid_a", """SELECT a.exposure, a.v, a.y, a.x, round(a.flux + b.flux + c.flux + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS flux
     FROM grid_a a JOIN grid_b b ON a.exposure = b.exposure AND a.v = b.v AND a.y = b.y AND a.x = b.x
     JOIN wgrid_a c ON a.exposure = c.exposure AND a.v = c.v AND a.y = c.y AND a.x = c.x"""),
 )
@@ -270,7 +270,7 @@ def cube_check_sum(spark: SparkSession, sf: str) -> DataFrame:
 view("img2", "cube", "SELECT exposure, y, x, sum(flux) AS f FROM cube WHERE w BETWEEN 20 AND 24 GROUP BY 1, 2, 3")
 
 
-@query("cube_image_ratio", with_views("img img2", "SELECT a.exposure, a.y, a.x, CASE WHEN b.f <> 0 THEN round(a.f / b.f, 4) + CAST(0 AS DOUBLE) END AS f FROM img a JOIN img2 b ON a.exposure = b.exposure AND a.y = b.y AND a.x = b.x"))
+@query("cube_image_ratio", with_views("img img2", "SELECT a.exposure, a.y, a.x, CASE WHEN b.f <> 0 THEN round(a.f / b.f + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) END AS f FROM img a JOIN img2 b ON a.exposure = b.exposure AND a.y = b.y AND a.x = b.x"))
 def cube_image_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return C.image_ratio(sums(spark, sf), sums(spark, sf, 20, 24), ID).selectExpr("exposure", "y", "x", *r4("f"))
 
@@ -309,7 +309,7 @@ view("ratio", "s_a s_b", RATIO_SQL.format("s_b", "s_a"))
 view("ratio1", "m1_a m1_b", RATIO_SQL.format("m1_b", "m1_a"))
 view("ratio2", "m2_a m2_b", RATIO_SQL.format("m2_b", "m2_a"))
 view("med", "ratio", median_sql("ratio"))
-OVERLAY_SQL = """SELECT f.exposure, f.y, f.x, round(CASE WHEN f.y IN (7, 8) THEN NULL WHEN a.f = b.f THEN b.f ELSE f.f END, 4) + CAST(0 AS DOUBLE) AS f
+OVERLAY_SQL = """SELECT f.exposure, f.y, f.x, round(CASE WHEN f.y IN (7, 8) THEN NULL WHEN a.f = b.f THEN b.f ELSE f.f END + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS f
   FROM {0} f LEFT JOIN {1} a ON f.exposure = a.exposure AND f.y = a.y AND f.x = a.x LEFT JOIN {2} b ON f.exposure = b.exposure AND f.y = b.y AND f.x = b.x"""
 
 

@@ -23,11 +23,12 @@ TABLES = (
 
 
 def r4(*names: str) -> list[str]:
-    return [f"round({n}, 4) + 0D AS {n}" for n in names]
+    """Four decimals. The billionth keeps sums that end in an exact 5 on the same side in both engines."""
+    return [f"round({n} + 1e-9D, 4) + 0D AS {n}" for n in names]
 
 
 def r4s(*names: str) -> str:
-    return ", ".join(f"round({n}, 4) + CAST(0 AS DOUBLE) AS {n}" for n in names)
+    return ", ".join(f"round({n} + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS {n}" for n in names)
 
 
 # --- scans and filters --------------------------------------------------------------------

@@ -165,7 +165,7 @@ PCT = ["complete_pct", "all_met_pct", "fallback_pct", "pending_pct"]
 
 @query(
     "agg_run_summary",
-    with_views("optimized", f"""SELECT total, complete, all_met, fallback, pending, {', '.join(f"round({c} / CAST(total AS DOUBLE) * 100, 4) + CAST(0 AS DOUBLE) AS {c}_pct" for c in ('complete', 'all_met', 'fallback', 'pending'))}
+    with_views("optimized", f"""SELECT total, complete, all_met, fallback, pending, {', '.join(f"round({c} / CAST(total AS DOUBLE) * 100 + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS {c}_pct" for c in ('complete', 'all_met', 'fallback', 'pending'))}
     FROM (SELECT *, complete - all_met AS fallback, total - complete AS pending FROM (SELECT count(*) AS total, count(*) FILTER (WHERE optimization_status = 'Complete') AS complete,
     count(*) FILTER (WHERE all_constraints_met) AS all_met FROM optimized) a) b"""),
 )
@@ -190,7 +190,7 @@ def top_shortages(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "top_peak_hours",
     with_views("hours", f"""SELECT appointment_hour, time_window, {r4s('avg_distance_km')}, CAST(floor(fallback_count / 20) AS INT) + 1 AS extra_technicians,
-    round((avg_distance_km - 20) / avg_distance_km * 100, 4) + CAST(0 AS DOUBLE) AS improvement_pct FROM
+    round((avg_distance_km - 20) / avg_distance_km * 100 + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS improvement_pct FROM
     (SELECT * FROM hours ORDER BY avg_distance_km DESC NULLS LAST, appointment_hour LIMIT 3) s"""),
 )
 def top_peak_hours(spark: SparkSession, sf: str) -> DataFrame:

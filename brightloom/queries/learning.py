@@ -16,7 +16,7 @@ from brightloom.queries.base import query, written
 from brightloom.queries.dispatch import proposed, r4, r4s
 from brightloom.queries.views_sql import haversine_sql, view, with_views
 from brightloom.session import fresh_path
-from brightloom.sources import tables
+from brightloom.sources import cubes, tables
 
 # Small ensembles keep the registered runs short; the library's defaults are 100 trees of depth 6.
 QUICK = models.TrainConfig(max_iter=4, max_depth=4)
@@ -180,8 +180,8 @@ SQL_TERMS = ["CAST(1 AS DOUBLE)", "x1", "x2", "x1 * x1", "x2 * x2", "x1 * x2", "
 @query(
     "agg_normal_equations",
     with_views("labeled_points", " UNION ALL ".join(
-        [f"SELECT {i} AS i, {j} AS j, round(sum({SQL_TERMS[i]} * {SQL_TERMS[j]}), 4) + CAST(0 AS DOUBLE) AS value FROM labeled_points" for i in range(8) for j in range(i, 8)]
-        + [f"SELECT {i} AS i, -1 AS j, round(sum({SQL_TERMS[i]} * y), 4) + CAST(0 AS DOUBLE) AS value FROM labeled_points" for i in range(8)])),
+        [f"SELECT {i} AS i, {j} AS j, round(sum({SQL_TERMS[i]} * {SQL_TERMS[j]}) + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS value FROM labeled_points" for i in range(8) for j in range(i, 8)]
+        + [f"SELECT {i} AS i, -1 AS j, round(sum({SQL_TERMS[i]} * y) + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS value FROM labeled_points" for i in range(8)])),
 )
 def agg_normal_equations(spark: SparkSession, sf: str) -> DataFrame:
     return M.normal_sums(A.labeled_points(spark, sf)).selectExpr("i", "j", *r4("value"))
@@ -242,6 +242,25 @@ def set_stack_classes(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
+@query(
+    "src_labeled_files",
+    """SELECT CASE WHEN label < 3 THEN 0 WHEN label < 7 THEN 1 ELSE 2 END AS label, count(*) AS n, round(sum(list_sum(embedding)), 2) AS total
+    FROM (SELECT label, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 4)) AS embedding FROM embeddings) e GROUP BY 1""",
+)
+def src_labeled_files(spark: SparkSession, sf: str) -> DataFrame:
+    # class folders of text arrays, written from the embeddings
+    path = fresh_path(spark, "stamps")
+    rows = A.table(spark, sf, "embeddings").selectExpr(
+        f"CASE WHEN label < 3 THEN '{CLASSES[0]}' WHEN label < 7 THEN '{CLASSES[1]}' ELSE '{CLASSES[2]}' END AS class",
+        "array_join(transform(embedding, v -> format_string('%.4f', round(CAST(v AS DOUBLE), 4))), ' ') AS value",
+    )
+    rows.write.option("maxRecordsPerFile", 1000).partitionBy("class").text(path)
+    arrays = cubes.read_labeled_arrays(spark, path, list(CLASSES), "*.txt")
+    return arrays.groupBy("label").agg(
+        F.expr("sum(shape[0]) AS n"), F.expr("round(sum(aggregate(pixels, 0D, (a, v) -> a + v)), 2) AS total")
+    )
+
+
 # --- splits --------------------------------------------------------------------------------------------------------------
 KEY_SPACE = 1_000_003
 

@@ -82,7 +82,7 @@ def agg_kinetic_energy(spark: SparkSession, sf: str) -> DataFrame:
     return P.kinetic_energy(A.particles(spark, sf)).selectExpr("round(kinetic, 4) AS kinetic")
 
 
-CENTROID = ", ".join(f"round(sum(mass * {c}) / sum(mass), 4) + CAST(0 AS DOUBLE) AS {c}" for c in ("px", "py", "vx", "vy"))
+CENTROID = ", ".join(f"round(sum(mass * {c}) / sum(mass) + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS {c}" for c in ("px", "py", "vx", "vy"))
 
 
 @query("agg_weighted_centroid", with_views("particles", f"SELECT {CENTROID}, sum(mass) AS mass FROM particles"))

@@ -110,14 +110,21 @@ def read_stored_cube(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return voxels, spark.read.parquet(f"{path}/headers")
 
 
-def read_labeled_arrays(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
-    """One row per ``<class>/<file>.npy``: path, integer label, shape and flat pixels."""
+def read_labeled_arrays(spark: SparkSession, path: str, classes: list[str], pattern: str = "*.npy") -> DataFrame:
+    """One row per file below a class folder: path, integer label, shape and flat pixels.
+
+    ``<class>/<file>.npy`` holds a binary array, ``<class>/<file>.txt`` one row of numbers per
+    line; a folder may also be named ``class=<class>``.
+    """
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
 
         for frame in frames:
-            arrays = [np.load(io.BytesIO(c), allow_pickle=False) for c in frame["content"]]
+            arrays = [
+                np.load(io.BytesIO(c), allow_pickle=False) if p.endswith(".npy") else np.loadtxt(io.BytesIO(c), ndmin=2)
+                for p, c in zip(frame["path"], frame["content"])
+            ]
             yield pd.DataFrame(
                 {
                     "path": frame["path"],
@@ -128,8 +135,8 @@ def read_labeled_arrays(spark: SparkSession, path: str, classes: list[str]) -> D
             )
 
     cases = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(classes))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
-    labelled = files.selectExpr("path", f"CASE regexp_extract(path, '([^/]+)/[^/]+$', 1) {cases} END AS label", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    labelled = files.selectExpr("path", f"CASE regexp_extract(path, '([^/=]+)/[^/]+$', 1) {cases} END AS label", "content")
     return labelled.filter("label IS NOT NULL").mapInPandas(
         decode, "path string, label int, shape array<int>, pixels array<double>"
     )
