@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 _TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
+_WORTH_SPREADING = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its file listing and schema are read once per session."""
+    """A given table; its file listing and schema are read once per session.
+
+    A table of many rows in a few splits only is spread over the cores. A table with
+    enough splits is read as it is, without a shuffle.
+    """
     key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
     if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(key[1])
+        df = spark.read.parquet(key[1])
+        cores = spark.sparkContext.defaultParallelism
+        if 3 * df.rdd.getNumPartitions() <= cores and df.count() >= _WORTH_SPREADING:
+            df = df.repartition(cores)
+        _TABLES[key] = df
     return _TABLES[key]
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
+
 from brightloom.config import EARTH_RADIUS_KM
 
 KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180
@@ -45,16 +47,20 @@ def grid_cell(lat: str, lon: str, radius_km: float) -> str:
     return f"CASE WHEN {lat} IS NOT NULL AND {lon} IS NOT NULL THEN named_struct('band', {band}, 'cell', {cell}) END"
 
 
-def cells_in_reach(lat: str, lon: str, radius_km: float) -> str:
-    """The distinct cells that hold every point within ``radius_km``, across the date line too."""
-    home = _band(lat, radius_km)
-    bands = (
-        f"transform(array(-1, 0, 1), s -> named_struct('band', {home} + s, "
-        f"'n', {_cells_in_band(f'({home} + s)', radius_km)}))"
-    )
-    mids = f"transform({bands}, b -> named_struct('band', b.band, 'n', b.n, 'mid', {_cell(lon, 'b.n')}))"
-    cells = (
-        f"flatten(transform({mids}, m -> transform(array_distinct(array(pmod(m.mid - 1, m.n), m.mid, "
-        f"pmod(m.mid + 1, m.n))), c -> named_struct('band', m.band, 'cell', c))))"
+def explode_reach(df: DataFrame, lat: str, lon: str, radius_km: float, band: str = "band", cell: str = "cell") -> DataFrame:
+    """Each row once per distinct cell that can hold a point within ``radius_km``, across the date line too.
+
+    Plain arithmetic in three projections, so it stays inside code generation. Rows without
+    coordinates have no cells.
+    """
+    steps = (-1, 0, 1)
+    home = df.filter(f"{lat} IS NOT NULL AND {lon} IS NOT NULL").selectExpr("*", f"{_band(lat, radius_km)} AS _home")
+    cells = home.selectExpr("*", *[f"{_cells_in_band(f'(_home + {s})', radius_km)} AS _n{i}" for i, s in enumerate(steps)])
+    mids = cells.selectExpr("*", *[f"{_cell(lon, f'_n{i}')} AS _m{i}" for i in range(3)])
+    # with fewer than three cells in a band, the neighbours coincide
+    reach = ", ".join(
+        f"named_struct('{band}', _home + {s}, '{cell}', CASE WHEN {keep} THEN {at} END)"
+        for i, s in enumerate(steps)
+        for at, keep in ((f"_m{i}", "true"), (f"pmod(_m{i} + 1, _n{i})", f"_n{i} > 1"), (f"pmod(_m{i} - 1, _n{i})", f"_n{i} > 2"))
     )
-    return f"CASE WHEN {lat} IS NOT NULL AND {lon} IS NOT NULL THEN {cells} END"
+    return mids.selectExpr(*df.columns, f"inline(array({reach}))").filter(f"{cell} IS NOT NULL")

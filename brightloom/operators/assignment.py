@@ -13,12 +13,14 @@ operator here lists those pairs:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom import config as C
 from brightloom.functions import scoring
-from brightloom.functions.geo import cells_in_reach, grid_cell
+from brightloom.functions.geo import explode_reach, grid_cell
 from brightloom.functions.scoring import Scorer
 from brightloom.session import broadcast_if_small, cut_lineage
 
@@ -51,6 +53,13 @@ def calendar_pool(calendar: DataFrame, technicians: DataFrame) -> DataFrame:
     )
 
 
+def _stored_pool(calendar: DataFrame, technicians: DataFrame) -> DataFrame:
+    """The pool, written once because every round reads it, spread evenly for that."""
+    rows = calendar_pool(calendar, technicians)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(rows.repartition(parts, "date", "technician_id"))
+
+
 def _days(dispatches: DataFrame, pool: DataFrame, rows_per_salt: int) -> DataFrame:
     """One row per day: technicians by skill and class, and how many join keys the day needs.
 
@@ -99,9 +108,9 @@ def _within(demand: DataFrame, pool: DataFrame, days: DataFrame, km: float) -> D
         "date AS appointment_date", "primary_skill AS required_skill", "salt", "technician_id", "latitude", "longitude",
         f"inline(array({grid_cell('latitude', 'longitude', km)}))",
     )
-    reach = demand.selectExpr(
-        "dispatch_id", "appointment_date", "required_skill", "salt", "customer_latitude", "customer_longitude",
-        f"inline({cells_in_reach('customer_latitude', 'customer_longitude', km)})",
+    reach = explode_reach(
+        demand.select("dispatch_id", "appointment_date", "required_skill", "salt", "customer_latitude", "customer_longitude"),
+        "customer_latitude", "customer_longitude", km,
     )
     return (
         reach.join(supply, ["appointment_date", "required_skill", "salt", "band", "cell"])
@@ -155,78 +164,65 @@ _POOL_NAME = f"""CASE WHEN n_eligible > 0 THEN concat_ws('|', required_skill, 'e
   WHEN n_day > 0 THEN '{ANY}' END"""
 
 def _search(
-    wanted: DataFrame, pool: DataFrame, scorer: Scorer, rules: C.DispatchRules, k: int, by_level: bool
+    wanted: DataFrame, pool: DataFrame, rows: DataFrame, scorer: Scorer, rules: C.DispatchRules, k: int, by_level: bool
 ) -> DataFrame:
     """The ``k`` best technicians of each row of ``wanted`` within its (date, pool), with scores.
 
     The cells of a radius hold every technician within it, so what a round finds is complete up
     to the radius, and travel cost bounds whatever lies beyond: a dispatch whose k-th best beats
-    that bound is settled. Only open dispatches enter the next, wider round; each round is
-    checkpointed, so settled rows are written once and never shuffled again.
+    that bound is settled. Only open dispatches enter the next, wider round. A round keeps ids
+    and costs; it is checkpointed, and the winners' columns are joined on once at the end.
     """
-    carried = [c for c in wanted.columns if c not in ("dispatch_id", "salt", "pool")]
-    brought = [c for c in pool.columns if c not in ("pool", "salt")]
-    opened = wanted.selectExpr("dispatch_id", "salt", "pool", f"struct({', '.join(carried)}) AS d")
-    parts = []
+    opened, parts = wanted, []
     for radius in (*rules.search_radii_km, None):
         if radius is None:
             probe = opened.selectExpr("*", "0 AS p_band", "0 AS p_cell")
             side = pool.selectExpr("*", "0 AS band", "0 AS cell")
+            bound = "CAST(NULL AS DOUBLE)"
         else:
-            reach = cells_in_reach("d.customer_latitude", "d.customer_longitude", radius)
-            probe = opened.selectExpr("*", f"inline_outer({reach}) AS (p_band, p_cell)")
+            probe = explode_reach(opened, "customer_latitude", "customer_longitude", radius, "p_band", "p_cell")
             side = pool.selectExpr("*", f"inline(array({grid_cell('latitude', 'longitude', radius)}))")
+            bound = f"({scoring.least_travel_cost(radius)}D + {scoring.duration_cost()}) * ({scoring.priority_weight()})"
         met = probe.withColumnsRenamed({"pool": "p_pool", "salt": "p_salt"}).join(
-            side,
-            F.expr("d.appointment_date = date AND p_salt = salt AND p_pool = pool AND p_band = band AND p_cell = cell"),
-            "left",
-        )
-        pairs = met.selectExpr(
-            "dispatch_id", "p_salt AS salt", "p_pool AS pool", "d", f"struct({', '.join(brought)}) AS t",
-            *[f"d.{c} AS {c}" for c in carried], *brought,
+            side, F.expr("appointment_date = date AND p_salt = salt AND p_pool = pool AND p_band = band AND p_cell = cell")
         )
         far = "1 - distance_ok" if by_level else "0"
-        rows = scoring.score_pairs(pairs, scorer, rules.hard_max_km).selectExpr(
-            "dispatch_id", "salt", "pool", "d",
-            f"""CASE WHEN technician_id IS NOT NULL THEN named_struct('far', {far}, 'cost', round(-final_score, 6),
-                'technician_id', technician_id, 't', t) END AS e""",
+        costs = scoring.score_pairs(met, scorer, rules.hard_max_km).selectExpr(
+            "dispatch_id", f"{bound} AS bound",
+            f"named_struct('far', {far}, 'cost', round(-final_score, 6), 'technician_id', technician_id) AS e",
         )
-        keep = [F.expr(f"any_value({c}) AS {c}") for c in ("salt", "pool", "d")]
         if k == 1:
-            # min of a struct combines on the map side: one row per dispatch and task is shuffled
-            found = rows.groupBy("dispatch_id").agg(*keep, F.expr("min(e) AS e")).selectExpr(
-                "dispatch_id", "salt", "pool", "d", "CASE WHEN e IS NOT NULL THEN array(e) END AS best"
+            # combines on the map side: one narrow row per dispatch and task is shuffled
+            found = costs.groupBy("dispatch_id").agg(F.expr("min(e) AS e"), F.expr("min(bound) AS bound")).selectExpr(
+                "dispatch_id", "array(e) AS best", "bound"
             )
         else:
             # row_number with a filter sorts and cuts to k before the shuffle, then again after it
             found = (
-                rows.selectExpr("*", "row_number() OVER (PARTITION BY dispatch_id ORDER BY e NULLS LAST) AS rn")
+                costs.selectExpr("*", "row_number() OVER (PARTITION BY dispatch_id ORDER BY e) AS rn")
                 .filter(f"rn <= {k}")
                 .groupBy("dispatch_id")
-                .agg(*keep, F.expr("sort_array(collect_list(e)) AS best"))
+                .agg(F.expr("sort_array(collect_list(e)) AS best"), F.expr("min(bound) AS bound"))
             )
         if radius is None:
-            parts.append(found)
+            parts.append(found.select("dispatch_id", "best"))
             break
         # A small margin covers the rounding of the score.
-        bound = (
-            f"({scoring.least_travel_cost(radius)}D + {scoring.duration_cost('d.duration_min')}) * "
-            f"({scoring.priority_weight('d.priority')})"
-        )
         kth = f"try_element_at(best, {k})"
         near = "" if not by_level or radius >= rules.hard_max_km else f" AND {kth}.far = 0"
-        found = cut_lineage(found.selectExpr("*", f"coalesce({kth}.cost + 1e-3D < {bound}{near}, false) AS settled"))
-        parts.append(found.filter("settled").drop("settled"))
-        opened = found.filter("NOT settled").drop("settled", "best")
+        settled = cut_lineage(found.filter(f"{kth}.cost + 1e-3D < bound{near}").select("dispatch_id", "best"))
+        parts.append(settled)
+        opened = cut_lineage(opened.join(settled, "dispatch_id", "left_anti"))
         if opened.isEmpty():
             break
-    state = parts[0]
-    for part in parts[1:]:
-        state = state.unionByName(part)
-    won = state.selectExpr("dispatch_id", "d", "posexplode(best) AS (at, b)").selectExpr(
-        "dispatch_id", "at + 1 AS score_rank", *[f"d.{c} AS {c}" for c in carried], *[f"b.t.{c} AS {c}" for c in brought]
+    won = reduce(DataFrame.unionByName, parts).selectExpr("dispatch_id", "posexplode(best) AS (at, b)").selectExpr(
+        "dispatch_id", "at + 1 AS score_rank", "b.technician_id AS technician_id"
     )
-    return scoring.score_pairs(won, scorer, rules.hard_max_km)
+    # (date, technician) is the calendar's key: one row each
+    pairs = won.join(wanted.drop("pool", "salt"), "dispatch_id").join(
+        rows.drop("kind").withColumnRenamed("technician_id", "t_id"), F.expr("technician_id = t_id AND appointment_date = date")
+    ).drop("t_id")
+    return scoring.score_pairs(pairs, scorer, rules.hard_max_km)
 
 
 def _named_pools(rows: DataFrame) -> DataFrame:
@@ -283,16 +279,16 @@ def best_technician(
     Order: constraint level, then final score (6 decimals), then the lower technician id. A
     technician may win several dispatches.
     """
-    rows = cut_lineage(calendar_pool(calendar, technicians))  # every round reads it
+    rows = _stored_pool(calendar, technicians)
     d = dispatches.select(*_SEARCH_COLUMNS)
-    days = _days(d, rows, rules.rows_per_salt)
+    days = cut_lineage(_days(d, rows, rules.rows_per_salt))
     wanted = (
         _with_days(d, days)
         .selectExpr(*_SEARCH_COLUMNS, "appointment_date", "salt", f"{_POOL_NAME} AS pool")
         .filter("pool IS NOT NULL")
     )
     pool = _salt_pool(_named_pools(rows), days)
-    return _search(wanted, pool, scorer or scoring.linear_scorer(rules.scorer), rules, k=1, by_level=True)
+    return _search(wanted, pool, rows, scorer or scoring.linear_scorer(rules.scorer), rules, k=1, by_level=True)
 
 
 def top_technicians(
@@ -304,12 +300,12 @@ def top_technicians(
     rules: C.DispatchRules = C.DEFAULT_RULES,
 ) -> DataFrame:
     """The ``k`` best by score alone, over every technician of the day, with ``score_rank``."""
-    rows = cut_lineage(calendar_pool(calendar, technicians))  # every round reads it
+    rows = _stored_pool(calendar, technicians)
     d = dispatches.select(*_SEARCH_COLUMNS)
-    days = _days(d, rows, rules.rows_per_salt)
+    days = cut_lineage(_days(d, rows, rules.rows_per_salt))
     wanted = _with_days(d, days).filter("n_day > 0").selectExpr(*_SEARCH_COLUMNS, "appointment_date", "salt", f"'{ANY}' AS pool")
     pool = _salt_pool(rows.selectExpr(*[c for c in rows.columns if c != "kind"], f"'{ANY}' AS pool"), days)
-    return _search(wanted, pool, scorer or scoring.linear_scorer(rules.scorer), rules, k=k, by_level=False)
+    return _search(wanted, pool, rows, scorer or scoring.linear_scorer(rules.scorer), rules, k=k, by_level=False)
 
 
 def day_candidates(

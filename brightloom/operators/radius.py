@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.functions.geo import KM_PER_DEGREE, cells_in_reach, grid_cell, haversine_km
+from brightloom.functions.geo import KM_PER_DEGREE, explode_reach, grid_cell, haversine_km
 
 
 def neighbour_counts(points: DataFrame, key: str, radius_km: float, cells_per_radius: int = 8) -> DataFrame:
@@ -40,12 +40,15 @@ def neighbour_counts(points: DataFrame, key: str, radius_km: float, cells_per_ra
     # every point of a box lies within r of its middle, for boxes far smaller than the sphere;
     # the reach is widened by the largest possible r
     slack = 2 * math.sqrt(2) * radius_km / cells_per_radius
-    left = a.selectExpr("at AS at1", "fy AS fy1", "fx AS fx1", "my AS my1", "mx AS mx1", "r AS r1",
-                        f"explode({cells_in_reach('my', 'mx', radius_km + 2 * slack)}) AS cell")
-    right_cells = a.selectExpr("at AS at2", "fy AS fy2", "fx AS fx2", "my AS my2", "mx AS mx2", "r AS r2",
-                               f"{grid_cell('my', 'mx', radius_km + 2 * slack)} AS cell")
+    left = explode_reach(
+        a.selectExpr("at AS at1", "fy AS fy1", "fx AS fx1", "my AS my1", "mx AS mx1", "r AS r1"), "my1", "mx1", radius_km + 2 * slack
+    )
+    right_cells = a.selectExpr(
+        "at AS at2", "fy AS fy2", "fx AS fx2", "my AS my2", "mx AS mx2", "r AS r2",
+        f"inline(array({grid_cell('my', 'mx', radius_km + 2 * slack)}))",
+    )
     sizes = boxes.selectExpr("at AS at2", "fy AS fy2", "fx AS fx2", "size")
-    near = left.join(right_cells, "cell").selectExpr(
+    near = left.join(right_cells, ["band", "cell"]).selectExpr(
         "at1", "fy1", "fx1", "at2", "fy2", "fx2", f"{haversine_km('my1', 'mx1', 'my2', 'mx2')} AS d", "r1", "r2",
     ).filter(f"d - r1 - r2 <= {radius_km}D")
     inside = near.filter(f"d + r1 + r2 <= {radius_km * (1 - 1e-9)}D")

@@ -19,6 +19,8 @@ def local_session(app: str = "brightloom", cores: int | str = "*", shuffle: int
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
+        # hash instead of sort joins where the measured build partitions are small
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "32m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BRIGHTLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
