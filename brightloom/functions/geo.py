@@ -12,10 +12,10 @@ KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180
 
 
 def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    """Great-circle km. Any NULL coordinate gives NULL; rounding cannot push asin above 1."""
+    """Great-circle km. Any NULL coordinate gives NULL; a root that rounding lifts above 1 counts as 1."""
     return (
-        f"{2 * EARTH_RADIUS_KM}D * asin(least(1D, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + "
-        f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
+        f"{2 * EARTH_RADIUS_KM}D * nanvl(asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + "
+        f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))), {math.pi / 2}D)"
     )
 
 

@@ -22,7 +22,7 @@ from brightloom import config as C
 from brightloom.functions import scoring
 from brightloom.functions.geo import explode_reach, grid_cell
 from brightloom.functions.scoring import Scorer
-from brightloom.session import broadcast_if_small, cut_lineage
+from brightloom.session import broadcast_if_small, cut_lineage, small_side
 
 ANY = "any"
 
@@ -64,8 +64,8 @@ def _days(dispatches: DataFrame, pool: DataFrame, rows_per_salt: int) -> DataFra
     """One row per day: technicians by skill and class, and how many join keys the day needs.
 
     A day with more than ``rows_per_salt`` dispatches is split over several keys. There are
-    only as many rows as days in the data, so the frame can be broadcast at any scale; the map
-    holds one entry per skill.
+    only as many rows as days in the data; they are counted before the broadcast. The map holds
+    one entry per skill.
     """
     by_skill = pool.groupBy("date", "primary_skill").agg(
         F.expr("count(*) AS n_skill"),
@@ -81,16 +81,18 @@ def _days(dispatches: DataFrame, pool: DataFrame, rows_per_salt: int) -> DataFra
         ),
     )
     load = dispatches.groupBy(F.expr("to_date(appointment_start) AS day")).count()
-    return by_day.join(load, "day", "full").selectExpr(
-        "day", "coalesce(n_day, 0L) AS n_day", "skills",
-        f"CAST(greatest(1, ceil(coalesce(count, 0) / {rows_per_salt})) AS INT) AS n_salt",
+    return small_side(
+        by_day.join(load, "day", "full").selectExpr(
+            "day", "coalesce(n_day, 0L) AS n_day", "skills",
+            f"CAST(greatest(1, ceil(coalesce(count, 0) / {rows_per_salt})) AS INT) AS n_salt",
+        )
     )
 
 
 def _with_days(dispatches: DataFrame, days: DataFrame) -> DataFrame:
     """Each dispatch with its day's counts for its skill, and its salt."""
     got = "try_element_at(skills, required_skill)"
-    return dispatches.join(F.broadcast(days), F.expr("to_date(appointment_start) = day"), "left").selectExpr(
+    return dispatches.join(days, F.expr("to_date(appointment_start) = day"), "left").selectExpr(
         *dispatches.columns, "to_date(appointment_start) AS appointment_date",
         *[f"coalesce({got}.{n}, 0L) AS {n}" for n in ("n_skill", "n_eligible", "n_unavailable", "n_full")],
         "coalesce(n_day, 0L) AS n_day",
@@ -99,7 +101,7 @@ def _with_days(dispatches: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def _salt_pool(pool: DataFrame, days: DataFrame) -> DataFrame:
-    salted = pool.join(F.broadcast(days), F.expr("date = day"), "left")
+    salted = pool.join(days, F.expr("date = day"), "left")
     return salted.selectExpr(*pool.columns, "explode(sequence(0, coalesce(n_salt, 1) - 1)) AS salt")
 
 
@@ -189,7 +191,8 @@ def _search(
         far = "1 - distance_ok" if by_level else "0"
         costs = scoring.score_pairs(met, scorer, rules.hard_max_km).selectExpr(
             "dispatch_id", f"{bound} AS bound",
-            f"named_struct('far', {far}, 'cost', round(-final_score, 6), 'technician_id', technician_id) AS e",
+            f"""named_struct('far', {far}, 'cost', coalesce(round(-final_score, 6), double('Infinity')),
+                'technician_id', technician_id) AS e""",  # an unknown cost ranks last
         )
         if k == 1:
             # combines on the map side: one narrow row per dispatch and task is shuffled
@@ -281,7 +284,7 @@ def best_technician(
     """
     rows = _stored_pool(calendar, technicians)
     d = dispatches.select(*_SEARCH_COLUMNS)
-    days = cut_lineage(_days(d, rows, rules.rows_per_salt))
+    days = _days(d, rows, rules.rows_per_salt)
     wanted = (
         _with_days(d, days)
         .selectExpr(*_SEARCH_COLUMNS, "appointment_date", "salt", f"{_POOL_NAME} AS pool")
@@ -302,7 +305,7 @@ def top_technicians(
     """The ``k`` best by score alone, over every technician of the day, with ``score_rank``."""
     rows = _stored_pool(calendar, technicians)
     d = dispatches.select(*_SEARCH_COLUMNS)
-    days = cut_lineage(_days(d, rows, rules.rows_per_salt))
+    days = _days(d, rows, rules.rows_per_salt)
     wanted = _with_days(d, days).filter("n_day > 0").selectExpr(*_SEARCH_COLUMNS, "appointment_date", "salt", f"'{ANY}' AS pool")
     pool = _salt_pool(rows.selectExpr(*[c for c in rows.columns if c != "kind"], f"'{ANY}' AS pool"), days)
     return _search(wanted, pool, rows, scorer or scoring.linear_scorer(rules.scorer), rules, k=k, by_level=False)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.config import LIGHT_SPEED_KM_S, VELOCITY_GRID_KM_S
+from brightloom.session import broadcast_if_small, cut_lineage, small_side
 
 
 def wave_index(wave: str, wave_min: str, step: str) -> str:
@@ -93,7 +94,7 @@ def background_stats(image: DataFrame, y0: int, y1: int, x0: int, x1: int, ids:
 
 def threshold_mask(image: DataFrame, stats: DataFrame, n: float, ids: list[str]) -> DataFrame:
     """Blank pixels at or below median + n·std; ``stats`` has one row per image."""
-    joined = image.join(stats, ids)
+    joined = image.join(small_side(stats), ids)
     return joined.withColumn("f", F.expr(f"CASE WHEN f > median + {n}D * std THEN f END")).drop("median", "std")
 
 
@@ -125,7 +126,7 @@ def moments(image: DataFrame, ids: list[str]) -> DataFrame:
     centre = image.groupBy(*ids).agg(
         F.expr("sum(f) AS total"), F.expr("sum(y * f) / sum(f) AS cy"), F.expr("sum(x * f) / sum(f) AS cx"), F.expr("max(f) AS height")
     )
-    lines = image.join(centre, ids)  # one row per image on the right
+    lines = image.join(small_side(centre), ids)  # one row per image on the right
     return lines.groupBy(*ids).agg(
         F.expr("first(total) AS total"), F.expr("first(height) AS height"), F.expr("first(cy) AS cy"), F.expr("first(cx) AS cx"),
         F.expr("sqrt(abs(sum(CASE WHEN x = floor(cx) THEN pow(y - cx, 2) * f END) / sum(CASE WHEN x = floor(cx) THEN f END))) AS width_y"),
@@ -160,8 +161,8 @@ def regrid_nearest(cube: DataFrame, center: float, low: float, high: float, wave
     ids = [c for c in cube.columns if c not in ("w", "flux")]
     flux = "flux"
     if weights is not None:
-        # one weight per channel of the line, a few dozen
-        cube, flux = cube.join(F.broadcast(weights), "w"), "weight * flux"
+        cube, flux = cube.join(broadcast_if_small(weights), "w"), "weight * flux"
+    # one row per grid velocity of the line: its length is known here
     return cube.join(F.broadcast(grid), "w").selectExpr(*ids, "v", f"{flux} * {VELOCITY_GRID_KM_S}D / {v_step!r}D AS flux")
 
 
@@ -218,7 +219,7 @@ def median_filter(image: DataFrame, ids: list[str], size: int = 8) -> DataFrame:
         at = f"CASE WHEN pmod(p, 2 * {n}) < {n} THEN pmod(p, 2 * {n}) ELSE 2 * {n} - 1 - pmod(p, 2 * {n}) END"
         return f"transform(sequence(-{back}, {n} - 1 + {ahead}), p -> {array}[CAST({at} AS INT)])"
 
-    rows = image.groupBy(*ids, "y").agg(F.expr("map_from_entries(collect_list(struct(x, f))) AS m")).join(extent, ids)
+    rows = image.groupBy(*ids, "y").agg(F.expr("map_from_entries(collect_list(struct(x, f))) AS m")).join(small_side(extent), ids)
     slices = rows.selectExpr(
         *ids, "y", "ny", f"{mirrored('transform(sequence(0, nx - 1), i -> try_element_at(m, i))', 'nx')} AS a", "nx"
     ).selectExpr(*ids, "y", "ny", f"posexplode(transform(sequence(1, nx), i -> array_compact(slice(a, i, {size})))) AS (x, near)")
@@ -242,8 +243,6 @@ def gaussian_fit(images: DataFrame, ids: list[str], rounds: int = 12, cut_every:
     import numpy as np
     import pandas as pd
 
-    from brightloom.session import cut_lineage
-
     names = ["height", "cy", "cx", "width_y", "width_x"]
     params = moments(images, ids).selectExpr(*ids, *names, "1e-3D AS damping", "CAST(NULL AS DOUBLE) AS loss",
                                              *[f"{n} AS best_{n}" for n in names])

@@ -261,5 +261,5 @@ def softmax_head(data: DataFrame, features: str, label: str, max_iter: int = 20)
 
 def boosted_with_validation(train: DataFrame, label: str, indicator: str, config: TrainConfig, tolerance: float = 0.01):
     """Boosting that stops when the validation rows stop improving."""
-    gbt = _gbt(config, label).setValidationIndicatorCol(indicator).setValidationTol(tolerance)
+    gbt = _gbt(config, label).setParams(validationIndicatorCol=indicator, validationTol=tolerance)
     return gbt.fit(train)

@@ -68,3 +68,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """
     seen = df.limit(max_rows + 1).count()
     return F.broadcast(df) if seen <= max_rows else df
+
+
+def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """A side that is much smaller than its input: computed once, stored, counted, and then
+    broadcast if the count allows it, so that the large side is not shuffled for it."""
+    return broadcast_if_small(cut_lineage(df), max_rows)
