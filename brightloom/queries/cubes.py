@@ -223,10 +223,10 @@ def fn_gaussian2d(spark: SparkSession, sf: str) -> DataFrame:
 )
 def fn_flip_augment(spark: SparkSession, sf: str) -> DataFrame:
     images = A.cube(spark, sf).selectExpr(
-        "2 * w + CASE WHEN exposure = 'exp2' THEN 1 ELSE 0 END AS image", "y", "x", "round(flux, 4) + 0D AS f"
+        "2 * w + CASE WHEN exposure = 'exp2' THEN 1 ELSE 0 END AS image", "y", "x", "flux AS f"
     )
     ny, nx = images.agg(F.expr("max(y) + 1"), F.expr("max(x) + 1")).first()
-    return C.flip_augment(images, "image", ny, nx, seed=5)
+    return C.flip_augment(images, "image", ny, nx, seed=5).selectExpr("image", "y", "x", *r4("f"))
 
 
 @query("cube_regrid_nearest", with_views("grid_a", f"SELECT exposure, v, y, x, {r4s('flux')} FROM grid_a"))

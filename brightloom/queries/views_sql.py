@@ -31,8 +31,9 @@ def with_views(names: str, body: str) -> str:
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    # least() skips NULL, so a missing coordinate is ruled out first
     return (
-        f"CASE WHEN {lon1} IS NOT NULL AND {lon2} IS NOT NULL THEN 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
+        f"CASE WHEN {lat1} + {lon1} + {lat2} + {lon2} IS NOT NULL THEN 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
         f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))) END"
     )
 
