@@ -27,9 +27,12 @@ from brightloom.session import broadcast_if_small, cut_lineage, small_side
 ANY = "any"
 
 
-def on_or_after(dispatches: DataFrame, floor: str) -> DataFrame:
-    """Dispatches from the floor date on. A DATE literal, so that the filter can be pushed down."""
-    return dispatches.filter(f"to_date(appointment_start) >= DATE '{floor}'")
+def on_or_after(dispatches: DataFrame, floor: str, column: str = "appointment_start") -> DataFrame:
+    """Dispatches from the floor date on.
+
+    A DATE literal, so that the filter reaches the scan when ``column`` is a stored one.
+    """
+    return dispatches.filter(f"to_date({column}) >= DATE '{floor}'")
 
 
 def unoptimized(dispatches: DataFrame, column: str = "prior_technician_id") -> DataFrame:

@@ -38,9 +38,15 @@ def written(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFr
     return spark.read.parquet(_WRITTEN[key])
 
 
+def since_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dispatches from the floor date on; appointments are on the order's day, so the scan skips the rest."""
+    orders = assignment.on_or_after(A.table(spark, sf_dir, "orders"), DEFAULT_RULES.date_floor, "o_orderdate")
+    return A.dispatches(spark, sf_dir, orders)
+
+
 def optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open dispatches from the floor date on get a technician; all of them are in the result."""
-    since = assignment.on_or_after(A.dispatches(spark, sf_dir), DEFAULT_RULES.date_floor)
+    since = since_floor(spark, sf_dir)
     best = assignment.best_technician(
         assignment.unoptimized(since), A.tech_calendar(spark, sf_dir), A.technicians(spark, sf_dir)
     )

@@ -115,7 +115,7 @@ def cube_wave_to_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cube_velocity_axis", with_views("cube", "SELECT DISTINCT w, round(299792.458 * (3715.0 + CAST(0.25 AS DOUBLE) * w - 3726.05) / 3726.05, 4) + CAST(0 AS DOUBLE) AS v FROM cube"))
 def cube_velocity_axis(spark: SparkSession, sf: str) -> DataFrame:
-    return A.cube(spark, sf).select("w").distinct().selectExpr("w", f"round({C.velocity(f'({WAVE_MIN}D + {STEP}D * w)', LINE_A[0])}, 4) + 0D AS v")
+    return A.cube(spark, sf).select("w").distinct().selectExpr("w", f"round({C.velocity(f'({WAVE_MIN}D + {STEP}D * w)', LINE_A[0])} + 1e-9D, 4) + 0D AS v")
 
 
 @query("cube_axis_step", with_views("ax_3726", "SELECT round(avg(d), 4) AS step FROM (SELECT v1 - lag(v1) OVER (ORDER BY w) AS d, row_number() OVER (ORDER BY w) AS up, row_number() OVER (ORDER BY w DESC) AS down FROM ax_3726) s WHERE up = 2 OR down = 1"))

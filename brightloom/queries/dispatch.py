@@ -12,7 +12,7 @@ from brightloom.config import DEFAULT_RULES, FIRST_FREE_ID
 from brightloom.functions import scoring, wording
 from brightloom.operators import assignment as S
 from brightloom.operators import ranking
-from brightloom.queries.base import RUN_AT, best, optimize, optimized, query
+from brightloom.queries.base import best, optimize, optimized, query, since_floor
 from brightloom.queries.views_sql import LEVEL_RANK_SQL, haversine_sql, with_views
 from brightloom.session import fresh_path
 from brightloom.sources import tables, tickets
@@ -49,8 +49,7 @@ FLOOR = DEFAULT_RULES.date_floor
     WHERE CAST(appointment_start AS DATE) >= DATE '{FLOOR}'"""),
 )
 def src_date_floor(spark: SparkSession, sf: str) -> DataFrame:
-    kept = S.on_or_after(A.dispatches(spark, sf), FLOOR)
-    return kept.selectExpr("dispatch_id", "CAST(to_date(appointment_start) AS STRING) AS day")
+    return since_floor(spark, sf).selectExpr("dispatch_id", "CAST(to_date(appointment_start) AS STRING) AS day")
 
 
 @query(
@@ -197,7 +196,7 @@ def sink_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     AS prior_technician_id, CASE WHEN optimization_status = 'Complete' THEN 'Complete' ELSE status END AS status FROM optimized"""),
 )
 def sink_keyed_update(spark: SparkSession, sf: str) -> DataFrame:
-    current = S.on_or_after(A.dispatches(spark, sf), FLOOR).select("dispatch_id", "prior_technician_id", "status")
+    current = since_floor(spark, sf).select("dispatch_id", "prior_technician_id", "status")
     updates = optimized(spark, sf).filter("optimization_status = 'Complete'").selectExpr(
         "dispatch_id", "optimized_technician_id AS prior_technician_id", "optimization_status AS status"
     )
