@@ -59,7 +59,9 @@ def calendar_pool(calendar: DataFrame, technicians: DataFrame) -> DataFrame:
 def _stored_pool(calendar: DataFrame, technicians: DataFrame) -> DataFrame:
     """The pool, written once because every round reads it, spread evenly for that."""
     rows = calendar_pool(calendar, technicians)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    local = spark.sparkContext.master.startswith("local")
+    parts = spark.sparkContext.defaultParallelism if local else int(spark.conf.get("spark.sql.shuffle.partitions"))
     return cut_lineage(rows.repartition(parts, "date", "technician_id"))
 
 
