@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import packing, repair
+from brightloom.llm import packing, repair, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +40,19 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_repair_shards")
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return repair.token_shards(table(spark, d, "documents"), vocabulary())
+
+
+@query(
+    "op9_warc",
+    """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+    ), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first_id FROM p)
+    SELECT page_id, payload_bytes, sha256(h) AS payload_digest,
+      CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+    FROM f
+    """,
+)
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(table(spark, d, "pages"))
