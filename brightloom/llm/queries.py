@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import packing, repair, warc
+from brightloom.llm import packing, quality, repair, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,3 +56,13 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 )
 def op9(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(table(spark, d, "pages"))
+
+
+@query("op3_pu_quality")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op4_segment_toxicity")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))

@@ -6,7 +6,7 @@ compressed sequence. No rule spans the end of a document, so a document can be d
 itself: look up where its symbols start and expand them.
 
 Empty and missing texts give documents of the end id alone. Documents are written in ascending
-``doc_id`` order (a missing doc_id first, equal ones by text); an empty table gives no shard.
+``doc_id`` order (a missing doc_id first, equal ones by a hash of the text); an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from brightloom.session import fresh_path
 
 MAGIC = b"REPAIR01"
 SHARD_IDS = 1 << 20
+SHARDS_PER_TASK = 4
 _SLOT_BITS = 18
 _NARROW = 1 << 16
 
@@ -207,7 +208,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, fir
         if held:
             yield close()
 
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "_hash"]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
@@ -243,7 +246,9 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     cols.append(pa.array([ids[a:z].tolist() for a, z in zip(first.tolist(), last.tolist(), strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return starts.repartition("file").mapInArrow(read, schema)
+    # a number of its own, as the rows are few and the work behind each is large
+    tasks = -(-manifest.count() // SHARDS_PER_TASK)
+    return starts.repartition(max(1, tasks), "file").mapInArrow(read, schema)
 
 
 def token_shards(docs: DataFrame, vocabulary: str, end_id: int = 1, first_free: int = 49408) -> DataFrame:

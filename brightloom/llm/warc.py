@@ -29,7 +29,7 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConten
 
 DATE = "2000-01-01T00:00:00Z"
 MIN_REVISIT_BYTES = 100
-FILE_BYTES, SPLIT_BYTES, READ_BYTES = 1 << 28, 1 << 24, 1 << 18
+FILE_BYTES, SPLIT_BYTES, READ_BYTES = 1 << 28, 1 << 22, 1 << 18
 MANIFEST = "file string, bytes long, records long"
 RECORD = (
     "file string, offset long, record_id string, record_type string, target_uri string, refers_to string, "
@@ -209,7 +209,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payl
                 if rows:
                     yield _batch(rows, kinds, names)
 
-    return splits.repartition("file", "start").mapInArrow(read, RECORD)
+    # a number of its own, as the rows are few and the work behind each is large
+    tasks = manifest.selectExpr(f"coalesce(sum(ceil(bytes / {split_bytes})), 0)").first()[0]
+    return splits.repartition(max(1, int(tasks)), "file", "start").mapInArrow(read, RECORD)
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
