@@ -1,6 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
-A token's score is its log-odds of standing in toxic against other training documents, shrunk by a
+A token is a word; its score is the log-odds of standing in toxic against other training documents,
+the word's own or that of one of its stems, whichever is higher, shrunk by a
 Dirichlet prior that follows the token's share of all documents; every token also costs ``DRIFT``, so
 that a text of ordinary words scores ever lower. One linear scan finds all maximal segments, that
 is, disjoint passages that no extension or cut makes better. A passage's score S becomes
@@ -35,13 +36,36 @@ MAX_LABELLED = 100_000
 MIN_DOCS = 3
 MAX_TOKENS = 1 << 17
 PRIOR_DOCS = 10.0
-MIN_Z = 3.0
+MIN_Z = 4.0
 CALIBRATE = "pmod(xxhash64(doc_id, 1), 3) = 0"  # training labels that only calibrate
-DRIFT = 0.15
+DRIFT = 0.05
+STEMS = (5, 6, 7)
+KEPT_WORDS = 500_000
 SIGNIFICANT = math.log(20)
 SEGMENT = "struct<first:int,last:int,start:int,end:int,score:double>"
 
 
+def units(text: str | None) -> set[str]:
+    """The distinct words of a text, and the stems of those that are longer."""
+    found = set(words(text))
+    return found.union(*({w[:k] + "*" for w in found if len(w) > k} for k in STEMS))
+
+
+class Gains(dict):
+    """Score per word: the best of the word's own and of its stems; 0 for words that say nothing."""
+
+    def __init__(self, learnt: dict[str, float]):
+        super().__init__()
+        self.learnt = learnt
+
+    def __missing__(self, w: str) -> float:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        get = self.learnt.get
+        self[w] = g = max(get(w, 0.0), *(get(w[:k] + "*", 0.0) for k in STEMS if len(w) > k), 0.0)
+        return g
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
@@ -79,16 +103,17 @@ class ToxicityModel:
     weights: tuple[float, ...]  # constant, best passage, sum of passages
 
 
-def find_segments(text: str | None, gains: dict[str, float]) -> tuple[int, list[tuple]]:
+def find_segments(text: str | None, gains: Gains) -> tuple[int, list[tuple]]:
     """Number of tokens and the maximal segments (first and last token, start and end in the text, score)."""
     if not text:
         return 0, []
     low = text.lower()  # where this changes the length, places refer to the lower-cased text
     tokens = WORD.findall(low)
-    at = [i for i, w in enumerate(tokens) if w in gains]
+    gain = [gains[w] for w in tokens]
+    at = [i for i, g in enumerate(gain) if g]
     if not at:
         return len(tokens), []
-    found = maximal_segments(at, [gains[tokens[i]] for i in at])
+    found = maximal_segments(at, [gain[i] for i in at])
     spans = [m.span() for m in WORD.finditer(low)]
     return len(tokens), [(a, z, spans[a][0], spans[z][1], s) for a, z, s in found]
 
@@ -112,7 +137,7 @@ def _token_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[toxic].update(set(words(text)))
+                counts[toxic].update(units(text))
                 counts[toxic][""] += 1
             for k in (0, 1):
                 yield pa.RecordBatch.from_arrays(
@@ -145,10 +170,9 @@ def learn_gains(docs: DataFrame, labelled: DataFrame) -> tuple[dict[str, float],
     def gather(b: pa.RecordBatch) -> np.ndarray:
         v = np.zeros(len(place) + 2)
         for t in b.column(0).to_pylist():
-            tokens = words(t)
-            v[-1] += len(tokens)
+            v[-1] += len(words(t))
             v[-2] += 1
-            for w in place.keys() & tokens:
+            for w in place.keys() & units(t):
                 v[place[w]] += 1
         return v
 
@@ -213,8 +237,9 @@ def scan(docs: DataFrame, gains: dict[str, float]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(gains)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looked_up = Gains(shared.value)
         for b in batches:
-            found = [find_segments(t, shared.value) for t in b.column(1).to_pylist()]
+            found = [find_segments(t, looked_up) for t in b.column(1).to_pylist()]
             segments = [[dict(zip(names, s, strict=True)) for s in x[1]] for x in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array(segments, kind)], names=["doc_id", "n_tokens", "segments"]
