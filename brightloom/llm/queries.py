@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import packing, quality, repair, toxicity, warc
+from brightloom.llm import packing, pii, quality, repair, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 @query("op4_segment_toxicity")
 def op4(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op5_pattern_pii")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return pii.report(table(spark, d, "documents"))
