@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import packing, pii, quality, repair, toxicity, warc
+from brightloom.llm import decontam, packing, passages, pii, quality, repair, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,13 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 @query("op5_pattern_pii")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     return pii.report(table(spark, d, "documents"))
+
+
+@query("op8_repeated_passages")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return passages.repeated_units(table(spark, d, "documents"))
+
+
+@query("op10_template_leaks")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
