@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontam, packing, passages, pii, quality, repair, toxicity, warc
+from brightloom.llm import decontam, ngram_join, packing, passages, pii, quality, repair, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_template_leaks")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op2_ngram_join")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, d, "documents"), width=3, percent=90)
