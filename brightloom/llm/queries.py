@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontam, ngram_join, packing, passages, pii, quality, repair, toxicity, warc
+from brightloom.llm import ann, decontam, ngram_join, packing, passages, pii, quality, repair, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 @query("op2_ngram_join")
 def op2(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, d, "documents"), width=3, percent=90)
+
+
+@query("op1_kmeans_tree")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return ann.nearest(table(spark, d, "embeddings"))
