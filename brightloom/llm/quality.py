@@ -73,7 +73,7 @@ def text_features(text: str | None) -> np.ndarray:
 
 
 EDGES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
-PENALTY, TOLERANCE, MAX_STEPS = 3e-4, 1e-5, 100
+PENALTY, TOLERANCE, MAX_STEPS = 0.6, 1e-5, 100  # the penalty shrinks with the root of the positives' number
 SHORTER = 0.5 ** np.arange(12)
 FIRST_PRIOR, PRIOR_ROUNDS, TAIL_BINS = 0.5, 2, 4096
 LEAST_TAIL, CONFIDENCE = 0.05, 0.1
@@ -160,6 +160,7 @@ class _Risk:
         total = sum_vectors(self.rows, count, 2 + size)
         self.n_positive, self.n_all = total[0], total[1]
         self.mean_positive = total[2:] / max(1.0, total[0])
+        self.penalty = PENALTY / max(1.0, self.n_positive) ** 0.5
 
     def slope(self, w: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
         edges, k = self.edges, self.size
@@ -170,7 +171,7 @@ class _Risk:
             return np.concatenate([d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
 
         total = sum_vectors(self.rows, gather, k + k * k) / self.n_all
-        return total[:k] - prior * self.mean_positive + PENALTY * w, total[k:].reshape(k, k) + PENALTY * np.eye(k)
+        return total[:k] - prior * self.mean_positive + self.penalty * w, total[k:].reshape(k, k) + self.penalty * np.eye(k)
 
     def along(self, w: np.ndarray, step: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
         """Risk and the part that must not be negative, at w and at w plus each share of the step."""
@@ -185,7 +186,7 @@ class _Risk:
         sums = sum_vectors(self.rows, gather, 3 * len(shares)).reshape(3, -1)
         right, wrong = prior * sums[0] / self.n_positive, sums[2] / self.n_all - prior * sums[1] / self.n_positive
         at = w[:, None] + step[:, None] * shares
-        return right + np.maximum(0, wrong) + PENALTY / 2 * (at * at).sum(axis=0), wrong
+        return right + np.maximum(0, wrong) + self.penalty / 2 * (at * at).sum(axis=0), wrong
 
     def minimise(self, prior: float, w: np.ndarray) -> np.ndarray:
         for _ in range(MAX_STEPS):
