@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from brightloom.session import fresh_path
 
 FIT_ROWS, LEAF_ROWS, BRANCHES, STEPS = 32_768, 128, 8, 12
-CALIBRATION_ROWS, TARGET, WIDEN = 512, 0.95, 1.1
+CALIBRATION_ROWS, TARGET, WIDEN = 512, 0.96, 1.1
 BLOCK_ROWS, QUERY_ROWS = 4_096, 1_024
 
 
@@ -85,7 +85,8 @@ def fit_tree(x: np.ndarray, seed: int = 7) -> Tree:
     node = 0
     while node < len(centers):
         rows = members[node]
-        label = _kmeans(x[rows], min(BRANCHES, len(rows)), rng) if len(rows) > LEAF_ROWS else np.zeros(len(rows), int)
+        parts = min(BRANCHES, -(-len(rows) // LEAF_ROWS))
+        label = _kmeans(x[rows], parts, rng) if parts > 1 else np.zeros(len(rows), int)
         if len(rows) and label.max() > 0:
             first[node], count[node] = len(centers), int(label.max()) + 1
             for c in range(count[node]):

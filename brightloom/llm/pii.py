@@ -170,12 +170,12 @@ def find_base(docs: DataFrame) -> DataFrame:
             )
 
     path = fresh_path(docs.sparkSession, "pii-found")
-    docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(find, _FOUND).write.parquet(path)
+    docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(find, _FOUND).write.parquet(path)
     return docs.sparkSession.read.schema(_FOUND).parquet(path)
 
 
-def text_key() -> F.Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def text_key(text: F.Column) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def confident_patterns(found: DataFrame) -> DataFrame:
@@ -247,10 +247,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; ``n_chars``, if there, follows the new text."""
-    keyed = docs.select("*", text_key().alias("_text_key"))
     plain = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
-    spans = all_spans(find_base(plain)).filter("size(all_spans) > 0").distinct().selectExpr("doc_id AS _doc", "text_key AS _key", "all_spans AS _spans")
-    marked = keyed.join(spans, F.expr("doc_id <=> _doc AND _text_key = _key"), "left").drop("_doc", "_key", "_text_key")
+    spans = all_spans(find_base(plain)).filter("size(all_spans) > 0").distinct()
+    spans = spans.selectExpr("doc_id AS __pii_doc", "text_key AS __pii_key", "all_spans AS __pii_spans")
+    same = docs["doc_id"].eqNullSafe(spans["__pii_doc"]) & (text_key(docs["text"]) == spans["__pii_key"])
+    marked = docs.join(spans, same, "left").drop("__pii_doc", "__pii_key")
     names = docs.columns
     at, last = names.index("text"), len(names)
     size_at = names.index("n_chars") if "n_chars" in names else None
