@@ -72,11 +72,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, min_count: int
         table_sym = np.zeros(1 << _SLOT_BITS, dtype=key_type)
         table_key[_slots(pairs)] = pairs
         table_sym[_slots(pairs)] = np.arange(free, free + len(pairs), dtype=key_type)
+        if not table_sym[0]:
+            table_key[0] = 1  # the pair (0, 0) alone looks into slot 0, and an empty slot must not look like it
         hit = table_key[_slots(keys)] == keys
         hit[across] = False
         pos = np.flatnonzero(hit)
-        if pairs.min() == 0:
-            pos = pos[np.isin(keys[pos], pairs)]  # an empty slot looks like the pair (0, 0)
         if not len(pos):
             break
         # in a chain of hits at neighbouring positions every second one is taken

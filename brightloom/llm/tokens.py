@@ -33,9 +33,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
-
-        self.pieces = self.tok.model.tokenize
+        self.ids: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(words, add_special_tokens=False)
