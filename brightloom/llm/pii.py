@@ -251,7 +251,7 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = all_spans(find_base(plain)).filter("size(all_spans) > 0").distinct()
     spans = spans.selectExpr("doc_id AS __pii_doc", "text_key AS __pii_key", "all_spans AS __pii_spans")
     same = docs["doc_id"].eqNullSafe(spans["__pii_doc"]) & (text_key(docs["text"]) == spans["__pii_key"])
-    marked = docs.join(spans, same, "left").drop("__pii_doc", "__pii_key")
+    marked = docs.join(spans, same, "left").select(*[docs[c] for c in docs.columns], spans["__pii_spans"])
     names = docs.columns
     at, last = names.index("text"), len(names)
     size_at = names.index("n_chars") if "n_chars" in names else None
