@@ -186,7 +186,7 @@ def id_filter(ids: DataFrame, column: str) -> bytes:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, grams): the whole sets of the documents named by ``ids``."""
+    """(doc_id, grams): the whole sets of the documents named by ``ids``, and of a few others with the same hash."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,40 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
     hashed = docs.withColumn("_h", F.expr(f"xxhash64(doc_id) & {(1 << ID_BITS) - 1}"))
-    return hashed.mapInArrow(scan, "doc_id long, grams array<long>").join(ids, "doc_id", "left_semi")
+    return hashed.mapInArrow(scan, "doc_id long, grams array<long>")
+
+
+_POSTING = "g long, cls long, n int, pos int, s0 long, s1 long, s2 long, s3 long"
+
+
+def shared_postings(firsts: DataFrame) -> DataFrame:
+    """One row per prefix n-gram that more than one class has, and class.
+
+    The n-grams in question are marked in a table of fixed size first, so that the others, nearly all,
+    are dropped before anything is joined.
+    """
+    common = cut_lineage(firsts.selectExpr("explode(prefix) AS g").groupBy("g").count().filter("count > 1").select("g"))
+    shared = firsts.sparkSession.sparkContext.broadcast(id_filter(common, "g"))
+    names = [f.split()[0] for f in _POSTING.split(", ")]
+    mask = (1 << ID_BITS) - 1
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint32)
+        for b in batches:
+            lists = b.column(6)
+            g, h = np.asarray(lists.flatten()), np.asarray(b.column(7).flatten())
+            size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+            row = np.repeat(np.arange(len(b)), size)
+            pos = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
+            hit = np.flatnonzero((table[(h & mask) >> 5] >> (h & 31).astype(np.uint32)) & 1)
+            take = b.take(pa.array(row[hit]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g[hit]), take.column(0), take.column(1), pa.array(pos[hit].astype(np.int32)), *(take.column(i) for i in range(2, 6))],
+                names=names,
+            )
+
+    hashed = firsts.withColumn("h", F.expr("transform(prefix, x -> xxhash64(x))"))
+    return cut_lineage(hashed.mapInArrow(pick, _POSTING).join(common, "g"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -243,10 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     firsts = prefixes(docs, width, percent, count_levels(described)).join(classes.selectExpr("cls AS doc_id"), "doc_id", "left_semi")
     firsts.write.parquet(path)
     firsts = spark.read.schema(_PREFIX).parquet(path)
-    slim = firsts.selectExpr("doc_id AS cls", "n", "posexplode(prefix) AS (pos, g)")
-    common = slim.groupBy("g").count().filter("count > 1").select("g")
-    whole = firsts.selectExpr("doc_id AS cls", "s0", "s1", "s2", "s3")
-    postings = cut_lineage(cut_lineage(slim.join(common, "g")).join(whole, "cls"))
+    postings = shared_postings(firsts)
     group = components(links(docs, postings, width, percent)).withColumnRenamed("id", "cls")
     named = classes.join(group, "cls", "left").selectExpr("d1", "d2", "coalesce(component, cls) AS component")
     joined = rows.join(named, ["d1", "d2"], "left")
