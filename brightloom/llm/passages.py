@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.session import fresh_path
+from brightloom.session import cut_lineage, fresh_path
 
 MIN_WORDS = 8
 _LINE = re.compile(r"[^\n\r]+")
@@ -75,8 +75,9 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start and end of every unit to remove, with the place that stays: kept_doc_id, kept_start, kept_end."""
     found = find_units(docs, min_words)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end")
-    # a range tells cheaply whether a unit has more than one place, however many it has
-    groups = (
+    # a range tells cheaply whether a unit has more than one place, however many it has; stored, so that
+    # the join below has an exchange of its own, whose large partitions Spark can split
+    groups = cut_lineage(
         found.groupBy("d1", "d2")
         .agg(F.min(place).alias("kept"), F.max(place).alias("_other"))
         .filter("kept <> _other")
