@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm.files import NewFile, open_random
-from brightloom.session import fresh_path
+from brightloom.session import cut_lineage, fresh_path
 
 # The formats' own marks
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -42,7 +42,8 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     p = pages.selectExpr("CAST(page_id AS BIGINT) AS page_id", "url", "coalesce(html, '') AS payload").selectExpr(
         "*", "sha2(payload, 256) AS digest", "CAST(octet_length(payload) AS BIGINT) AS n_bytes"
     )
-    shared = (
+    # stored, so that the join has an exchange of its own, whose large partitions Spark can split
+    shared = cut_lineage(
         p.filter(F.col("n_bytes") >= min_bytes)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("_copies"))
