@@ -250,7 +250,9 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 def links(docs: DataFrame, postings: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified pairs (a, b) that connect everything that is connected."""
     keep = _passes(percent)
-    pivots = postings.groupBy("g").agg(F.min(F.struct("pos", "n", "cls", "s0", "s1", "s2", "s3")).alias("p")).selectExpr("g", "p.*")
+    # what is joined back to its own input is stored first: Spark can then split large partitions of the join
+    pivots = postings.groupBy("g").agg(F.min(F.struct("pos", "n", "cls", "s0", "s1", "s2", "s3")).alias("p"))
+    pivots = cut_lineage(pivots.selectExpr("g", "p.*"))
     starred = postings.alias("l").join(pivots.alias("r"), F.expr(f"l.g = r.g AND l.cls <> r.cls AND {keep}"))
     tried = cut_lineage(starred.selectExpr("least(l.cls, r.cls) AS a", "greatest(l.cls, r.cls) AS b").distinct())
     first = cut_lineage(verified(docs, tried, width, percent))
@@ -258,7 +260,7 @@ def links(docs: DataFrame, postings: DataFrame, width: int, percent: int) -> Dat
     p = cut_lineage(postings.join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
     # an n-gram whose classes are all connected has nothing left to find
     mixed = p.groupBy("g").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("g")
-    p = cut_lineage(p.join(mixed, "g", "left_semi"))
+    p = cut_lineage(p.join(cut_lineage(mixed), "g", "left_semi"))
     rest = p.alias("l").join(p.alias("r"), F.expr(f"l.g = r.g AND l.cls < r.cls AND l.grp <> r.grp AND {keep}"))
     rest = rest.selectExpr("l.cls AS a", "r.cls AS b").distinct().join(tried, ["a", "b"], "left_anti")
     return first.unionByName(verified(docs, cut_lineage(rest), width, percent))
