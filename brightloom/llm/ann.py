@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.session import fresh_path
+from brightloom.session import cut_lineage, fresh_path
 
 FIT_ROWS, LEAF_ROWS, BRANCHES, STEPS = 32_768, 128, 8, 12
 CALIBRATION_ROWS, TARGET, WIDEN = 512, 0.96, 1.1
 BLOCK_ROWS, QUERY_ROWS = 4_096, 1_024
+FIRST_SHARE = 16  # one visit in so many comes first and sets the score to beat
 
 
 @dataclass(frozen=True)
@@ -122,12 +123,14 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return v.filter(F.size("embedding") == dim), dim
 
 
-def _top(q_ids, q, x_ids, x, k: int, extra: dict[str, np.ndarray] | None = None) -> pa.Table:
-    """The k nearest rows of ``x`` for each query, without the query itself, as rows."""
+def _top(q_ids, q, x_ids, x, k: int, extra: dict[str, np.ndarray] | None = None, least: np.ndarray | None = None) -> pa.Table:
+    """The k nearest rows of ``x`` for each query, without the query itself and those below ``least``, as rows."""
     scores = unit(q) @ unit(x).T
     scores[q_ids[:, None] == x_ids[None, :]] = -np.inf
     m = min(k, len(x_ids))
     floor = -np.partition(-scores, m - 1, axis=1)[:, m - 1 : m] - 1e-9
+    if least is not None:
+        floor = np.maximum(floor, least[:, None] - 1e-9)
     at_q, at_x = np.nonzero((scores >= floor) & np.isfinite(scores))
     # the same sum for equal pairs, wherever they stand in a block
     a, b = q[at_q], x[at_x]
@@ -136,6 +139,8 @@ def _top(q_ids, q, x_ids, x, k: int, extra: dict[str, np.ndarray] | None = None)
     at_q, at_x, exact = at_q[order], at_x[order], exact[order]
     starts = np.searchsorted(at_q, at_q)
     keep = np.arange(len(at_q)) - starts < k
+    if least is not None:
+        keep &= exact >= least[at_q]
     columns = {"query_id": q_ids[at_q][keep], "vec_id": x_ids[at_x][keep], "score": exact[keep]}
     for name, v in (extra or {}).items():
         columns[name] = v[at_x][keep]
@@ -210,11 +215,12 @@ class Index:
         """query_id, rank, vec_id and score of the k nearest found for each (query_id, embedding)."""
         visits = visits or self.calibrate()
         tree, sizes, dim, k = self.tree, self.sizes, self.dim, self.k
+        first = -(-visits // FIRST_SHARE)
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 q = unit(matrix(b.column(1), dim)) if len(b) else []
-                row, leaf, block = [], [], []
+                row, leaf, block, early = [], [], [], []
                 for i, v in enumerate(q):
                     met = 0
                     for n, x in enumerate(tree.leaves(v)):
@@ -225,16 +231,29 @@ class Index:
                             row.append(i)
                             leaf.append(x)
                             block.append(s)
+                            early.append(n < first)
                 take = b.take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*take.columns, pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["query_id", "q", "leaf", "block"]
+                    [*take.columns, pa.array(leaf, pa.int32()), pa.array(block, pa.int32()), pa.array(early, pa.bool_())],
+                    names=["query_id", "q", "leaf", "block", "early"],
                 )
 
         spread = queries.selectExpr("query_id", "CAST(embedding AS array<float>) AS embedding")
-        asked = spread.mapInArrow(walk, "query_id long, q array<float>, leaf int, block int")
+        schema = "query_id long, q array<float>, leaf int, block int, early boolean"
         path = fresh_path(self.spark, "ann-visits")
-        asked.write.parquet(path)
-        asked = self.spark.read.schema("query_id long, q array<float>, leaf int, block int").parquet(path)
+        spread.mapInArrow(walk, schema).write.parquet(path)
+        asked = self.spark.read.schema(schema).parquet(path)
+        # the first leaves give a score that the k nearest reach at least; the others only add what reaches it
+        early = cut_lineage(self._meet(asked.filter("early").withColumn("least", F.lit(-2.0))))
+        early = early.withColumn("_n", _rank()).filter(F.col("_n") <= k)
+        least = early.filter(F.col("_n") == k).selectExpr("query_id", "score AS least")
+        late = asked.filter("NOT early").join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+        ranked = early.drop("_n").unionByName(self._meet(late)).withColumn("rank", _rank()).filter(F.col("rank") <= k)
+        return ranked.selectExpr("query_id", "CAST(rank AS INT) AS rank", "vec_id", "score")
+
+    def _meet(self, asked: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): per query and block the k nearest that reach the query's ``least``."""
+        sizes, dim, k = self.sizes, self.dim, self.k
         # chunks of queries per leaf: as many as keep each within its bound; one row per leaf at most
         n_asked = asked.filter("block = 0").groupBy("leaf").agg(F.expr(f"int(ceil(count(*) / {QUERY_ROWS}))").alias("chunks"))
         blocks = self.spark.createDataFrame([(i, int(-(-n // BLOCK_ROWS))) for i, n in enumerate(sizes.tolist()) if n], "leaf int, blocks int")
@@ -248,12 +267,10 @@ class Index:
             if not a.num_rows or not b.num_rows:
                 return schema.empty_table()
             q, x = matrix(a["q"].combine_chunks(), dim), matrix(b["embedding"].combine_chunks(), dim)
-            return _top(np.asarray(a["query_id"]), q, np.asarray(b["vec_id"]), x, k)
+            return _top(np.asarray(a["query_id"]), q, np.asarray(b["vec_id"]), x, k, least=np.asarray(a["least"]))
 
         key = ["leaf", "block", "chunk"]
-        met = left.drop("chunks").groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
-        ranked = met.withColumn("rank", _rank()).filter(F.col("rank") <= k)
-        return ranked.selectExpr("query_id", "CAST(rank AS INT) AS rank", "vec_id", "score")
+        return left.drop("chunks").groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
 
 
 def _rank() -> F.Column:
