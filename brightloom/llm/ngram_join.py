@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from brightloom.llm.graph import components
 from brightloom.session import cut_lineage, fresh_path
 
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 COUNT_BITS, CHUNK_BITS = 22, 16
 ID_BITS = 23
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(1, 65)], dtype=np.uint64)
@@ -226,11 +226,9 @@ def shared_postings(firsts: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(b)), size)
             pos = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
             hit = np.flatnonzero((table[(h & mask) >> 5] >> (h & 31).astype(np.uint32)) & 1)
-            take = b.take(pa.array(row[hit]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g[hit]), take.column(0), take.column(1), pa.array(pos[hit].astype(np.int32)), *(take.column(i) for i in range(2, 6))],
-                names=names,
-            )
+            at = pa.array(row[hit])  # of the narrow columns only
+            doc, size, *parity = (b.column(i).take(at) for i in range(6))
+            yield pa.RecordBatch.from_arrays([pa.array(g[hit]), doc, size, pa.array(pos[hit].astype(np.int32)), *parity], names=names)
 
     hashed = firsts.withColumn("h", F.expr("transform(prefix, x -> xxhash64(x))"))
     return cut_lineage(hashed.mapInArrow(pick, _POSTING).join(common, "g"))
