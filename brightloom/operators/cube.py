@@ -54,10 +54,14 @@ def gaussian2d(h: str, cx: str, cy: str, wx: str, wy: str, x: str = "x", y: str
     return f"{h} * exp(-0.5D * (pow(({cx} - {x}) / {wx}, 2) + pow(({cy} - {y}) / {wy}, 2)))"
 
 
-def flip_augment(images: DataFrame, id_column: str, ny: int, nx: int, seed: int) -> DataFrame:
-    """Left-right and up-down flips of ny x nx images, each for a seeded part of the images."""
-    lr = f"pmod({id_column} * 31 + {seed}, 7) % 2 = 0"
-    ud = f"pmod({id_column} * 17 + {seed}, 5) % 2 = 0"
+def flip_augment(
+    images: DataFrame, id_column: str, ny: int, nx: int, seed: int, keys: tuple[str, str] | None = None
+) -> DataFrame:
+    """Left-right and up-down flips of ny x nx images, each for half of the images, chosen by seeded hash.
+
+    ``keys``: two integer expressions to choose by instead; an image is flipped where its key is even.
+    """
+    lr, ud = (f"({k}) % 2 = 0" for k in keys or (f"xxhash64({id_column}, {seed})", f"xxhash64({id_column}, {seed}, 1)"))
     return images.selectExpr(
         id_column, f"CASE WHEN {ud} THEN {ny} - 1 - y ELSE y END AS y", f"CASE WHEN {lr} THEN {nx} - 1 - x ELSE x END AS x", "f"
     )
@@ -102,6 +106,8 @@ def histogram(image: DataFrame, bins: int = 100, value_range: tuple[float, float
     """Counts in equal bins, the last one closed; the range defaults to the data's own."""
     if value_range is None:
         ends = image.agg(F.expr("min(f) AS lo"), F.expr("max(f) AS hi")).first()
+        if ends.lo is None:  # no values, no bins
+            return image.filter("false").selectExpr("CAST(NULL AS INT) AS bin", "CAST(NULL AS BIGINT) AS n")
         lo, hi = ends.lo, ends.hi
     else:
         lo, hi = value_range
@@ -204,47 +210,75 @@ def mask_overlay(filtered: DataFrame, mask3: DataFrame, mask4: DataFrame, ids: l
     return joined.selectExpr(*keys, f"CASE WHEN y IN ({rows}) THEN NULL WHEN m3 = m4 THEN m4 ELSE f END AS f")
 
 
-def median_filter(image: DataFrame, ids: list[str], size: int = 8) -> DataFrame:
+TILE = 64
+
+
+def median_filter(image: DataFrame, ids: list[str], size: int = 8, tile: int = TILE) -> DataFrame:
     """Sliding ``size`` x ``size`` median with mirrored edges; the upper one of the two middles.
 
-    The window of a pixel reaches size/2 back and size/2 - 1 ahead. Each row becomes one dense
-    array and hands every column its slice; each column then stacks its slices the same way.
-    Two groupings by row and by column: no group is larger than one side of an image, and no
-    pixel is copied once per window. Blank and absent pixels stay out of the median.
+    The window of a pixel reaches size/2 back and size/2 - 1 ahead. The image is cut into tiles, each
+    with a rim of the pixels around it, mirrored at the edges; so a group has a bounded size and a
+    pixel away from the tiles' rims is sent once. Blank and absent pixels stay out of the median.
     """
     back, ahead = size // 2, size - size // 2 - 1
     extent = image.groupBy(*ids).agg(F.expr("max(y) + 1 AS ny"), F.expr("max(x) + 1 AS nx"))
 
-    def mirrored(array: str, n: str) -> str:
-        at = f"CASE WHEN pmod(p, 2 * {n}) < {n} THEN pmod(p, 2 * {n}) ELSE 2 * {n} - 1 - pmod(p, 2 * {n}) END"
-        return f"transform(sequence(-{back}, {n} - 1 + {ahead}), p -> {array}[CAST({at} AS INT)])"
-
-    rows = image.groupBy(*ids, "y").agg(F.expr("map_from_entries(collect_list(struct(x, f))) AS m")).join(small_side(extent), ids)
-    slices = rows.selectExpr(
-        *ids, "y", "ny", f"{mirrored('transform(sequence(0, nx - 1), i -> try_element_at(m, i))', 'nx')} AS a", "nx"
-    ).selectExpr(*ids, "y", "ny", f"posexplode(transform(sequence(1, nx), i -> array_compact(slice(a, i, {size})))) AS (x, near)")
-    columns = slices.groupBy(*ids, "x").agg(
-        F.expr("map_from_entries(collect_list(struct(y, near))) AS m"), F.expr("max(ny) AS ny")
+    def places(p: str, n: str) -> str:
+        """Where a pixel stands in the mirrored image, as far as windows reach; once more for each period of 2n."""
+        turns = f"sequence(-({size} DIV (2 * {n}) + 1), {size} DIV (2 * {n}) + 1)"
+        both = f"flatten(transform({turns}, k -> array({p} + 2 * k * {n}, 2 * k * {n} - 1 - {p})))"
+        return f"filter({both}, q -> q >= -{back} AND q < {n} + {ahead})"
+
+    def tiles(q: str, n: str) -> str:
+        """The tiles in whose rim or inside a place lies."""
+        first, last = f"greatest(0D, floor(({q} - {ahead}) / {tile}))", f"least(({n} - 1) DIV {tile}, floor(({q} + {back}) / {tile}))"
+        return f"sequence(CAST({first} AS INT), CAST({last} AS INT))"
+
+    pixels = image.select(*ids, "y", "x", "f").join(small_side(extent), ids)
+    across = pixels.selectExpr(*ids, "y", "x", "f", "ny", "nx", f"explode({places('y', 'ny')}) AS py")
+    spread = across.selectExpr("*", f"explode({places('x', 'nx')}) AS px").selectExpr(
+        *ids, "py", "px", "py = y AND px = x AS own", "f", f"{tiles('py', 'ny')} AS tys", f"{tiles('px', 'nx')} AS txs"
     )
-    windows = columns.selectExpr(
-        *ids, "x", "ny", f"{mirrored('transform(sequence(0, ny - 1), i -> coalesce(try_element_at(m, i), array()))', 'ny')} AS a"
-    ).selectExpr(*ids, "x", f"posexplode(transform(sequence(1, ny), i -> sort_array(flatten(slice(a, i, {size}))))) AS (y, near)")
-    medians = windows.selectExpr(*ids, "y", "x", "try_element_at(near, CAST(size(near) / 2 AS INT) + 1) AS f")
-    return image.select(*ids, "y", "x").join(medians, [*ids, "y", "x"])
-
-
-def gaussian_fit(images: DataFrame, ids: list[str], rounds: int = 12, cut_every: int = 4) -> DataFrame:
-    """Least-squares 2-D Gaussian per image: height, cy, cx, width_y, width_x.
+    spread = spread.selectExpr(*ids, "py", "px", "own", "f", "explode(tys) AS ty", "txs")
+    spread = spread.selectExpr(*ids, "py", "px", "own", "f", "ty", "explode(txs) AS tx")
+    kinds = {f.name: f.dataType.simpleString() for f in image.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ids), f"y {kinds['y']}", f"x {kinds['x']}", "f double"])
+
+    def medians(group):
+        import numpy as np
+        import pandas as pd
+
+        ty, tx = int(group["ty"].iloc[0]) * tile, int(group["tx"].iloc[0]) * tile
+        wide = tile + size - 1
+        values = np.full((wide, wide), np.nan)
+        row, column = group["py"].to_numpy() - ty + back, group["px"].to_numpy() - tx + back
+        values[row, column] = group["f"].to_numpy(dtype="float64")
+        inner = group["own"].to_numpy() & (row >= back) & (row < back + tile) & (column >= back) & (column < back + tile)
+        row, column = row[inner] - back, column[inner] - back
+        near = np.lib.stride_tricks.sliding_window_view(values, (size, size))[row, column].reshape(len(row), size * size)
+        near = np.sort(near, axis=1)  # blanks come last
+        known = (~np.isnan(near)).sum(axis=1)
+        middle = near[np.arange(len(row)), np.minimum(known // 2, size * size - 1)]
+        out = {c: [group[c].iloc[0]] * len(row) for c in ids}
+        return pd.DataFrame({**out, "y": row + ty, "x": column + tx, "f": np.where(known > 0, middle, np.nan)})
+
+    found = spread.groupBy(*ids, "ty", "tx").applyInPandas(medians, schema)
+    return found.selectExpr(*ids, "y", "x", "nanvl(f, NULL) AS f")
+
+
+def gaussian_fit(images: DataFrame, ids: list[str], tolerance: float = 1e-9, max_rounds: int = 200, cut_every: int = 4) -> DataFrame:
+    """Least-squares 2-D Gaussian per image: height, cy, cx, width_y, width_x, loss, converged.
 
     Every round is one grouped aggregate of the 5 x 5 normal equations of all images at once;
     the small systems are solved in the executors. Steps are damped when a round would make the
-    fit worse.
+    fit worse. An image has converged once a step no longer improves its loss by more than the share
+    ``tolerance``; the rounds go on until all have. One that has not after ``max_rounds`` says so.
     """
     import numpy as np
     import pandas as pd
 
     names = ["height", "cy", "cx", "width_y", "width_x"]
-    params = moments(images, ids).selectExpr(*ids, *names, "1e-3D AS damping", "CAST(NULL AS DOUBLE) AS loss",
+    params = moments(images, ids).selectExpr(*ids, *names, "1e-3D AS damping", "CAST(NULL AS DOUBLE) AS loss", "false AS converged",
                                              *[f"{n} AS best_{n}" for n in names])
     g = "exp(-0.5D * (pow((cy - y) / width_y, 2) + pow((cx - x) / width_x, 2)))"
     slopes = {
@@ -263,6 +297,8 @@ def gaussian_fit(images: DataFrame, ids: list[str], rounds: int = 12, cut_every:
                 now = np.array([row[n] for n in names])
                 best = np.array([row[f"best_{n}"] for n in names])
                 better = row["loss"] is None or np.isnan(row["loss"]) or row["new_loss"] <= row["loss"]
+                gain = np.inf if row["loss"] is None or np.isnan(row["loss"]) else abs(row["loss"] - row["new_loss"])
+                done = bool(row["converged"]) or gain <= tolerance * abs(row["new_loss"]) + 1e-18
                 damping = row["damping"] / 5 if better else row["damping"] * 10
                 if better:
                     best, loss = now, row["new_loss"]
@@ -271,12 +307,12 @@ def gaussian_fit(images: DataFrame, ids: list[str], rounds: int = 12, cut_every:
                 else:
                     loss, now = row["loss"], (best + now) / 2
                 rest = {k: row[k] for k in ids}
-                rest.update({n: float(v) for n, v in zip(names, now)}, damping=damping, loss=loss)
+                rest.update({n: float(v) for n, v in zip(names, now)}, damping=damping, loss=loss, converged=done)
                 rest.update({f"best_{n}": float(v) for n, v in zip(names, best)})
                 out.append(rest)
             yield pd.DataFrame(out, columns=columns)
 
-    for turn in range(1, rounds + 1):
+    for turn in range(1, max_rounds + 1):
         rows = images.join(params, ids).selectExpr("*", f"{g} AS g").selectExpr(
             "*", "f - height * g AS res", *[f"{e} AS {n}" for n, e in slopes.items()]
         )
@@ -286,4 +322,6 @@ def gaussian_fit(images: DataFrame, ids: list[str], rounds: int = 12, cut_every:
         params = rows.groupBy(*ids).agg(*sums, *now).mapInPandas(step, schema)
         if turn % cut_every == 0:
             params = cut_lineage(params)
-    return params.selectExpr(*ids, *[f"best_{n} AS {n}" for n in names], "loss")
+            if params.filter("NOT converged").isEmpty():
+                break
+    return params.selectExpr(*ids, *[f"best_{n} AS {n}" for n in names], "loss", "converged")

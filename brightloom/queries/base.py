@@ -44,9 +44,14 @@ def since_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.dispatches(spark, sf_dir, orders)
 
 
-def optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open dispatches from the floor date on get a technician; all of them are in the result."""
+def optimize(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Open dispatches from the floor date on get a technician; all of them are in the result.
+
+    ``only`` (dispatch_id) limits the run to some dispatches before anything is matched.
+    """
     since = since_floor(spark, sf_dir)
+    if only is not None:
+        since = since.join(only, "dispatch_id", "left_semi")
     best = assignment.best_technician(
         assignment.unoptimized(since), A.tech_calendar(spark, sf_dir), A.technicians(spark, sf_dir)
     )

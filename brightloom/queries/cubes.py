@@ -217,8 +217,8 @@ def fn_gaussian2d(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fn_flip_augment",
-    with_views("cube", """SELECT image, CASE WHEN ((image * 17 + 5) % 5) % 2 = 0 THEN (SELECT max(y) FROM cube) - y ELSE y END AS y,
-    CASE WHEN ((image * 31 + 5) % 7) % 2 = 0 THEN (SELECT max(x) FROM cube) - x ELSE x END AS x, round(flux + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS f
+    with_views("cube", """SELECT image, CASE WHEN (image // 2) % 2 = 0 THEN (SELECT max(y) FROM cube) - y ELSE y END AS y,
+    CASE WHEN image % 2 = 0 THEN (SELECT max(x) FROM cube) - x ELSE x END AS x, round(flux + CAST(1e-9 AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS f
     FROM (SELECT *, 2 * w + CASE WHEN exposure = 'exp2' THEN 1 ELSE 0 END AS image FROM cube) c"""),
 )
 def fn_flip_augment(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,7 +226,7 @@ def fn_flip_augment(spark: SparkSession, sf: str) -> DataFrame:
         "2 * w + CASE WHEN exposure = 'exp2' THEN 1 ELSE 0 END AS image", "y", "x", "flux AS f"
     )
     ny, nx = images.agg(F.expr("max(y) + 1"), F.expr("max(x) + 1")).first()
-    return C.flip_augment(images, "image", ny, nx, seed=5).selectExpr("image", "y", "x", *r4("f"))
+    return C.flip_augment(images, "image", ny, nx, seed=5, keys=("image", "image DIV 2")).selectExpr("image", "y", "x", *r4("f"))
 
 
 @query("cube_regrid_nearest", with_views("grid_a", f"SELECT exposure, v, y, x, {r4s('flux')} FROM grid_a"))
@@ -340,4 +340,4 @@ def cube_gaussian_fit(spark: SparkSession, sf: str) -> DataFrame:
     y0, y1, x0, x1 = 1, 7, 2, 12
     part = sums(spark, sf).filter(f"y BETWEEN {y0} AND {y1} AND x BETWEEN {x0} AND {x1}").selectExpr("exposure", f"y - {y0} AS y", f"x - {x0} AS x", "f")
     fit = C.gaussian_fit(part, ID)
-    return fit.selectExpr("exposure", "height", f"cy + {y0} AS cy", f"cx + {x0} AS cx", "width_y", "width_x", "loss")
+    return fit.selectExpr("exposure", "height", f"cy + {y0} AS cy", f"cx + {x0} AS cx", "width_y", "width_x", "loss", "converged")

@@ -74,9 +74,9 @@ def flt_status(spark: SparkSession, sf: str) -> DataFrame:
     WHERE dispatch_id = (SELECT max(o_orderkey) FROM orders)"""),
 )
 def flt_single_key(spark: SparkSession, sf: str) -> DataFrame:
-    # the newest ticket, as the intake flow scopes its run
+    # the newest ticket, as the intake flow scopes its run: only that one is matched
     newest = A.table(spark, sf, "orders").agg(F.max("o_orderkey").alias("dispatch_id"))
-    return optimized(spark, sf).join(newest, "dispatch_id", "left_semi").selectExpr(
+    return optimize(spark, sf, newest).selectExpr(
         "dispatch_id", "optimized_technician_id", *r4("optimized_score")
     )
 

@@ -25,10 +25,10 @@ def _blocks(spark: SparkSession, path: str):
     )
 
 
-def read_header(spark: SparkSession, path: str, max_blocks: int = 64) -> tuple[dict[str, object], int]:
+def read_header(spark: SparkSession, path: str) -> tuple[dict[str, object], int]:
     """Header keys of the first array in the file, and the byte offset of its data."""
     header: dict[str, object] = {}
-    for offset, block in _blocks(spark, path).take(max_blocks):
+    for offset, block in _blocks(spark, path).toLocalIterator():  # reads on until END, however long the header
         text = bytes(block).decode("ascii")
         for at in range(0, BLOCK, CARD):
             card = text[at : at + CARD]
@@ -45,25 +45,34 @@ def read_header(spark: SparkSession, path: str, max_blocks: int = 64) -> tuple[d
                         header[key] = float(word.replace("D", "E"))
                     except ValueError:
                         header[key] = word
-    raise ValueError(f"no END card within {max_blocks} blocks of {path}")
+    raise ValueError(f"no END card in {path}")
 
 
 def read_cube(spark: SparkSession, path: str, cube_id: str) -> tuple[DataFrame, dict[str, object]]:
-    """A long table (cube_id, w, y, x, flux) and the header. NaN becomes NULL."""
+    """A long table (cube_id, w, y, x, flux) and the header.
+
+    Stored numbers are scaled by BSCALE and BZERO; BLANK, in integer cubes, and NaN become NULL.
+    """
     header, start = read_header(spark, path)
     kind = NUMBER_TYPES[int(header["BITPIX"])]
     nx, ny, nw = (int(header[f"NAXIS{i}"]) for i in (1, 2, 3))
     width, total = np.dtype(kind).itemsize, nx * ny * nw
+    scale, zero = float(header.get("BSCALE", 1.0)), float(header.get("BZERO", 0.0))
+    blank = header.get("BLANK") if np.dtype(kind).kind != "f" else None
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for offset, block in zip(frame["offset"], frame["block"]):
-                first = (offset - start) // width
-                flux = np.frombuffer(block, dtype=kind)[: max(0, total - first)].astype("float64")
-                at = first + np.arange(len(flux))
-                yield pd.DataFrame(
-                    {"w": at // (nx * ny), "y": at // nx % ny, "x": at % nx, "flux": flux}
-                ).astype({"w": "int32", "y": "int32", "x": "int32"})
+            per_block = BLOCK // width
+            first = (frame["offset"].to_numpy() - start) // width
+            at = (first[:, None] + np.arange(per_block)).ravel()
+            stored = np.frombuffer(b"".join(b.ljust(BLOCK, b"\0") for b in frame["block"]), dtype=kind)
+            stored, at = stored[at < total], at[at < total]
+            flux = stored.astype("float64") * scale + zero
+            if blank is not None:
+                flux[stored == int(blank)] = np.nan
+            yield pd.DataFrame(
+                {"w": at // (nx * ny), "y": at // nx % ny, "x": at % nx, "flux": flux}
+            ).astype({"w": "int32", "y": "int32", "x": "int32"})
 
     data = (
         _blocks(spark, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom import config as C
@@ -36,6 +36,9 @@ _RESULT = {
 }
 
 
+REPEATED = "another ticket of the batch has this key"
+
+
 @dataclass(frozen=True)
 class Intake:
     """Where tickets go, and what they are matched against.
@@ -65,8 +68,14 @@ class Intake:
         """
         spark = raw.sparkSession
         checked = cut_lineage(tickets.with_errors(raw))
-        tables.write_batch(checked.filter("size(errors) > 0"), self.rejects, batch_id)
-        valid = checked.filter("size(errors) = 0").drop("errors").dropDuplicates(["ticket_key"])
+        # of several valid tickets with one key the first by content goes on, the others are rejected
+        content = F.to_json(F.struct(*[c for c in checked.columns if c != "errors"]))
+        place = F.row_number().over(Window.partitionBy("ticket_key").orderBy(F.size("errors") > 0, content))
+        ranked = cut_lineage(checked.withColumn("_place", place))
+        repeated = F.expr(f"CASE WHEN size(errors) = 0 AND _place > 1 THEN array('{REPEATED}') ELSE errors END")
+        marked = ranked.withColumn("errors", repeated).drop("_place")
+        tables.write_batch(marked.filter("size(errors) > 0"), self.rejects, batch_id)
+        valid = marked.filter("size(errors) = 0").drop("errors")
         if batch_id == 0:
             taken = spark.createDataFrame([], "Dispatch_id long")
         else:

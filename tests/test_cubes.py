@@ -100,3 +100,36 @@ def test_align_add_is_commutative(spark):
     one = sorted(map(tuple, C.align_add([a, b], ["c"]).collect()))
     two = sorted(map(tuple, C.align_add([b, a], ["c"]).collect()))
     assert one == two and len(one) == 40
+
+
+def test_median_filter_across_tiles(spark):
+    rng = np.random.default_rng(4)
+    pictures = {0: rng.normal(size=(13, 30)), 1: rng.normal(size=(1, 21)), 2: rng.normal(size=(5, 5))}
+    pictures[0][rng.random((13, 30)) < 0.3] = np.nan
+    rows = [(i, y, x, None if np.isnan(p[y, x]) else float(p[y, x])) for i, p in pictures.items() for y in range(p.shape[0]) for x in range(p.shape[1])]
+    got = C.median_filter(spark.createDataFrame(rows, "id int, y int, x int, f double"), ["id"], tile=5).collect()
+    want = {i: brute_median(p) for i, p in pictures.items()}
+    assert len(got) == len(rows)
+    for r in got:
+        w = want[r.id][r.y, r.x]
+        assert (r.f is None and math.isnan(w)) or math.isclose(r.f, w)
+
+
+def test_histogram_of_nothing(spark):
+    assert C.histogram(spark.createDataFrame([], "y int, x int, f double")).count() == 0
+
+
+def test_scaled_integer_cube(spark, tmp_path):
+    from brightloom.sources import cubes
+
+    cards = ["SIMPLE  =                    T", "BITPIX  =                   16", "NAXIS   =                    3", "NAXIS1  =                    3",
+             "NAXIS2  =                    2", "NAXIS3  =                    2", "BSCALE  =                  0.5", "BZERO   =                 10.0", "BLANK   =                   -1"]
+    header = "".join(c.ljust(80) for c in cards + ["COMMENT x"] * 3000 + ["END"]).encode()
+    data = np.arange(12, dtype=">i2")
+    data[4] = -1
+    body = data.tobytes()
+    path = tmp_path / "c.fits"
+    path.write_bytes(header + b" " * (-len(header) % 2880) + body + b"\0" * (-len(body) % 2880))
+    cube, _ = cubes.read_cube(spark, str(path), "c")
+    got = [r.flux for r in cube.orderBy("w", "y", "x").collect()]
+    assert got == [None if i == 4 else i * 0.5 + 10 for i in range(12)]
