@@ -5,8 +5,6 @@ The sentence parts are fixed values: readers of the result tables rely on them.
 
 from __future__ import annotations
 
-from brightloom.functions.scoring import flag  # noqa: F401  (re-exported for callers that label pairs)
-
 
 def num(sql: str, digits: int) -> str:
     """Number with a fixed count of decimals."""

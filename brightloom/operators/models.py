@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression
@@ -17,6 +18,10 @@ from brightloom.operators import features as X
 from brightloom.operators.metrics import NONLINEAR, class_error, dot, log_loss, normal_sums, ranking_metrics, solve_normal
 from brightloom.operators.splits import stratified_split
 
+# Linear fits run to their tolerance; this only ends one that never settles, and the result says so.
+MAX_STEPS = 1000
+ROWS_PER_PARTITION = 100_000
+
 LABELS = {"p_productive": "productive_dispatch", "p_ftf": "first_time_fix"}
 
 
@@ -111,14 +116,17 @@ def _gbt(c: TrainConfig, label: str) -> GBTClassifier:
 def _calibrated(train: DataFrame, label: str, c: TrainConfig) -> list[Member]:
     if not c.calibrate:
         return [Member(_gbt(c, label).fit(train), 2.0, 0.0)]  # the classifier's own link
-    members = []
-    for i in range(c.folds):
+
+    def fold(i: int) -> Member:
         model = _gbt(c, label).fit(train.filter(f"_fold <> {i}"))
         held = model.transform(train.filter(f"_fold = {i}"))
         one = VectorAssembler(inputCols=["_raw"], outputCol="_r").transform(held.withColumn("_raw", vector_to_array("rawPrediction")[1]))
-        sigmoid = LogisticRegression(featuresCol="_r", labelCol=label, maxIter=50).fit(one.select("_r", label))
-        members.append(Member(model, float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
-    return members
+        sigmoid = LogisticRegression(featuresCol="_r", labelCol=label, maxIter=MAX_STEPS).fit(one.select("_r", label))
+        return Member(model, float(sigmoid.coefficients[0]), float(sigmoid.intercept))
+
+    # the folds are independent, and the jobs of a small tree leave most executors idle
+    with ThreadPoolExecutor(c.folds) as pool:
+        return list(pool.map(fold, range(c.folds)))
 
 
 def training_matrix(rows: DataFrame, encoders: X.Encoders, c: TrainConfig) -> DataFrame:
@@ -137,8 +145,12 @@ def train_success(rows: DataFrame, config: TrainConfig = TrainConfig()) -> tuple
     train = VectorAssembler(inputCols=list(X.FEATURES), outputCol="_x").transform(matrix.filter("split = 'train'")).select(
         "_x", "_fold", *LABELS.values()
     )
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    members = {name: _calibrated(train, label, config) for name, label in LABELS.items()}
+    # each level of each tree is a job over all partitions: as few of them as their rows allow
+    parts = -(-matrix.filter("split = 'train'").count() // ROWS_PER_PARTITION)
+    train = train.repartition(max(1, parts)).persist(StorageLevel.MEMORY_AND_DISK)
+    with ThreadPoolExecutor(len(LABELS)) as pool:
+        fitted = pool.map(lambda label: _calibrated(train, label, config), LABELS.values())
+        members = dict(zip(LABELS, fitted))
     train.unpersist()
     return SuccessModel(config, encoders, members, stats), matrix
 
@@ -193,11 +205,11 @@ POINT = ("1D", "x1", "x2")
 
 
 def logistic_gd(
-    points: DataFrame, eta: float = 1.0, threshold: float = 0.01, max_epochs: int = 1000
-) -> tuple[list[float], int, float]:
-    """Full-batch gradient descent; stops when the weights move less than ``threshold``. (w, epochs, loss)"""
+    points: DataFrame, eta: float = 1.0, threshold: float = 0.01, max_epochs: int = MAX_STEPS
+) -> tuple[list[float], int, float, bool]:
+    """Full-batch gradient descent; stops when the weights move less than ``threshold``. (w, epochs, loss, converged)"""
     p = points.select("x1", "x2", "y").persist(StorageLevel.MEMORY_AND_DISK)
-    w, epoch = [0.0, 0.0, 0.0], 0
+    w, epoch, converged = [0.0, 0.0, 0.0], 0, False
     while epoch < max_epochs:
         s = dot(w, POINT)
         g = p.agg(*[F.expr(f"avg(-y * ({t}) / (1 + exp(y * ({s}))))") for t in POINT]).first()
@@ -205,14 +217,18 @@ def logistic_gd(
         w = [a - b for a, b in zip(w, move)]
         epoch += 1
         if sum(m * m for m in move) ** 0.5 < threshold:
+            converged = True
             break
     loss = p.agg(F.expr(log_loss(dot(w, POINT)))).first()[0]
     p.unpersist()
-    return w, epoch, loss
+    return w, epoch, loss, converged
 
 
-def perceptron(points: DataFrame, max_rounds: int = 50) -> tuple[list[float], int, int]:
-    """Batch perceptron: add y·x of all misclassified points until none is left. (w, rounds, errors)"""
+def perceptron(points: DataFrame, max_rounds: int = 300) -> tuple[list[float], int, int]:
+    """Batch perceptron: add y·x of all misclassified points until none is left. (w, rounds, errors)
+
+    It has converged if there are no errors; after ``max_rounds`` the best weights so far are returned.
+    """
     p = points.select("x1", "x2", "y").persist(StorageLevel.MEMORY_AND_DISK)
     w, best = [0.0, 0.0, 0.0], None
     for rounds in range(max_rounds + 1):
@@ -227,8 +243,8 @@ def perceptron(points: DataFrame, max_rounds: int = 50) -> tuple[list[float], in
     return best
 
 
-def linear_margin(points: DataFrame, max_iter: int = 50) -> list[float]:
-    """Weights (w0, w1, w2) of a maximum-margin line."""
+def linear_margin(points: DataFrame, max_iter: int = MAX_STEPS) -> list[float]:
+    """Weights (w0, w1, w2) of a maximum-margin line, to the solver's tolerance."""
     data = VectorAssembler(inputCols=["x1", "x2"], outputCol="_x").transform(points.selectExpr("x1", "x2", "CAST((y + 1) / 2 AS DOUBLE) AS label"))
     m = LinearSVC(featuresCol="_x", labelCol="label", regParam=1e-6, maxIter=max_iter, standardization=False).fit(data)
     return [float(m.intercept), *map(float, m.coefficients)]
@@ -254,8 +270,8 @@ def order_sweep(points: DataFrame, orders: range = range(3, 8)) -> list[tuple[in
     return out
 
 
-def softmax_head(data: DataFrame, features: str, label: str, max_iter: int = 20):
-    """Multinomial logistic regression on frozen feature vectors."""
+def softmax_head(data: DataFrame, features: str, label: str, max_iter: int = MAX_STEPS):
+    """Multinomial logistic regression on frozen feature vectors, to the solver's tolerance."""
     return LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", maxIter=max_iter, regParam=0.0).fit(data)
 
 

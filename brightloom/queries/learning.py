@@ -18,8 +18,7 @@ from brightloom.queries.views_sql import haversine_sql, view, with_views
 from brightloom.session import fresh_path
 from brightloom.sources import cubes, tables
 
-# Small ensembles keep the registered runs short; the library's defaults are 100 trees of depth 6.
-QUICK = models.TrainConfig(max_iter=4, max_depth=4)
+CONFIG = models.TrainConfig()
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,18 +218,15 @@ def fn_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "embeddings").selectExpr("vec_id", f"array_join(transform({hot}, b -> CAST(b AS STRING)), '') AS hot")
 
 
-# Class names by code.
-CLASSES = ("bogus", "real", "platypus")
-
-
 @query(
     "fn_argmax_label",
-    "SELECT vec_id, CASE list_position(embedding[1:3], list_max(embedding[1:3])) WHEN 1 THEN 'bogus' WHEN 2 THEN 'real' ELSE 'platypus' END AS label FROM embeddings",
+    "SELECT vec_id, 'class_' || (list_position(embedding, list_max(embedding)) - 1) AS label FROM embeddings",
 )
 def fn_argmax_label(spark: SparkSession, sf: str) -> DataFrame:
-    names = ", ".join(f"'{c}'" for c in CLASSES)
+    # one name per entry of the vector, as a classifier's head has one output per class
+    names = "transform(sequence(0, size(embedding) - 1), i -> concat('class_', i))"
     return A.table(spark, sf, "embeddings").selectExpr(
-        "vec_id", f"array({names})[array_position(slice(embedding, 1, 3), array_max(slice(embedding, 1, 3))) - 1] AS label"
+        "vec_id", f"{names}[CAST(array_position(embedding, array_max(embedding)) AS INT) - 1] AS label"
     )
 
 
@@ -326,9 +322,9 @@ _TRAINED: dict[tuple[str, str], tuple[models.SuccessModel, DataFrame]] = {}
 def trained(spark: SparkSession, sf: str) -> tuple[models.SuccessModel, DataFrame]:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
-        model, _ = models.train_success(history(spark, sf), QUICK)
+        model, _ = models.train_success(history(spark, sf), CONFIG)
         path = fresh_path(spark, "training")
-        models.training_matrix(history(spark, sf), model.encoders, QUICK).write.parquet(path)
+        models.training_matrix(history(spark, sf), model.encoders, CONFIG).write.parquet(path)
         _TRAINED[key] = model, spark.read.parquet(path)
     return _TRAINED[key]
 
@@ -337,7 +333,8 @@ def trained(spark: SparkSession, sf: str) -> tuple[models.SuccessModel, DataFram
 def ml_train_success(spark: SparkSession, sf: str) -> DataFrame:
     model, data = trained(spark, sf)
     shares = data.agg(*[F.expr(f"count_if(split = '{s}') AS n_{s}") for s in ("train", "validation", "test")], F.expr(f"{len(X.FEATURES)} AS n_features"))
-    return models.evaluate(model, data, "validation").join(F.broadcast(shares), F.expr("n = n_validation"))
+    # both counts are reported: rows lost in scoring would show, and not empty the result
+    return models.evaluate(model, data, "validation").crossJoin(F.broadcast(shares))
 
 
 @query("ml_calibrate")
@@ -402,8 +399,10 @@ def pipe_train_registry(spark: SparkSession, sf: str) -> DataFrame:
     means = best.groupBy("constraint_level").agg(
         F.expr("count(*) AS n"), F.expr("avg(p_productive) AS avg_p_productive"), F.expr("avg(p_ftf) AS avg_p_ftf")
     )
-    test = models.evaluate(again, data, "test").filter("label = 'productive_dispatch'").select("roc_auc", "pr_auc", "accuracy").first()
-    return means.selectExpr("*", f"{test.roc_auc!r}D AS test_roc_auc", f"{test.pr_auc!r}D AS test_pr_auc", f"{test.accuracy!r}D AS test_accuracy")
+    test = models.evaluate(again, data, "test").filter("label = 'productive_dispatch'").selectExpr(
+        "roc_auc AS test_roc_auc", "pr_auc AS test_pr_auc", "accuracy AS test_accuracy"
+    )
+    return means.crossJoin(F.broadcast(test))  # one row
 
 
 def planted(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,9 +413,9 @@ def planted(spark: SparkSession, sf: str) -> DataFrame:
 @query("ml_logistic_gd")
 def ml_logistic_gd(spark: SparkSession, sf: str) -> DataFrame:
     p = planted(spark, sf)
-    w, epochs, loss = models.logistic_gd(p, eta=4.0, threshold=0.01, max_epochs=60)
+    w, epochs, loss, converged = models.logistic_gd(p, eta=4.0)  # a rate that suits features of this size
     return p.agg(F.expr("count(*) AS n"), F.expr(f"{M.class_error(M.dot(w, models.POINT))} AS error")).selectExpr(
-        "n", "error", f"{epochs} AS epochs", f"{loss!r}D AS loss", f"{w[1] / w[0]!r}D AS w1", f"{w[2] / w[0]!r}D AS w2"
+        "n", "error", f"{epochs} AS epochs", f"{str(converged).lower()} AS converged", f"{loss!r}D AS loss", f"{w[1] / w[0]!r}D AS w1", f"{w[2] / w[0]!r}D AS w2"
     )
 
 
@@ -424,7 +423,7 @@ def ml_logistic_gd(spark: SparkSession, sf: str) -> DataFrame:
 def ml_perceptron(spark: SparkSession, sf: str) -> DataFrame:
     p = planted(spark, sf)
     w, rounds, errors = models.perceptron(p)
-    return p.agg(F.expr("count(*) AS n"), F.expr(f"{M.class_error(M.dot(w, models.POINT))} AS error")).selectExpr("n", "error", f"{rounds} AS rounds", f"{errors} AS misclassified")
+    return p.agg(F.expr("count(*) AS n"), F.expr(f"{M.class_error(M.dot(w, models.POINT))} AS error")).selectExpr("n", "error", f"{rounds} AS rounds", f"{errors} AS misclassified", f"{str(errors == 0).lower()} AS converged")
 
 
 @query("ml_linear_margin")
@@ -446,6 +445,8 @@ def ml_model_order_sweep(spark: SparkSession, sf: str) -> DataFrame:
 @query("ml_softmax_head")
 def ml_softmax_head(spark: SparkSession, sf: str) -> DataFrame:
     e = splits.random_split(A.table(spark, sf, "embeddings"), "vec_id").withColumn("x", array_to_vector(F.expr("CAST(embedding AS array<double>)")))
-    model = models.softmax_head(e.filter("split = 'train'"), "x", "label", max_iter=10)
-    scored = model.transform(e)
-    return scored.groupBy("split").agg(F.expr("count(*) AS n"), F.expr("avg(CASE WHEN prediction = label THEN 1D ELSE 0D END) AS accuracy"))
+    model = models.softmax_head(e.filter("split = 'train'"), "x", "label")
+    scored, converged = model.transform(e), model.summary.totalIterations < models.MAX_STEPS
+    return scored.groupBy("split").agg(
+        F.expr("count(*) AS n"), F.expr("avg(CASE WHEN prediction = label THEN 1D ELSE 0D END) AS accuracy"), F.expr(f"{str(converged).lower()} AS converged")
+    )

@@ -52,8 +52,9 @@ def test_line_models_separate(spark):
     ).filter("abs(0.2D + x1 - 0.5D * x2) > 0.05D")
     w, _, errors = models.perceptron(p, max_rounds=200)
     assert errors == 0 and w[1] > 0 > w[2]
-    w, epochs, loss = models.logistic_gd(p, eta=1.0, threshold=0.05, max_epochs=100)
-    assert epochs <= 100 and loss < 0.5
+    w, epochs, loss, converged = models.logistic_gd(p, eta=1.0, threshold=0.05, max_epochs=100)
+    assert converged and epochs < 100 and loss < 0.5
+    assert not models.logistic_gd(p, eta=1.0, threshold=0.0, max_epochs=2)[3]
     w = models.linear_margin(p)
     assert p.agg({"y": "count"}).first()[0] > 0
     assert p.selectExpr(f"{M.class_error(M.dot(w, models.POINT))} AS e").first().e < 0.05

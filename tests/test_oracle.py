@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, and the others for their rows."""
+"""Every registered query against its SQL, and those that report convergence for it."""
 
 import duckdb
 import pytest
@@ -25,6 +25,12 @@ def test_same_rows_as_sql(spark, db, sf_dir, name):
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(cursor.fetchall(), columns)
 
 
+@pytest.mark.parametrize("name", ["ml_logistic_gd", "ml_softmax_head", "cube_gaussian_fit"])
+def test_iterations_end_by_tolerance(spark, sf_dir, name):
+    rows = entry.queries()[name](spark, sf_dir).collect()
+    assert rows and all(r.converged for r in rows)
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
