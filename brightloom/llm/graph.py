@@ -16,6 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.selectExpr("a AS src", "b AS dst").unionByName(edges.selectExpr("b AS src", "a AS dst"))
     both = cut_lineage(both.filter("src <> dst").distinct())
+    if both.isEmpty():
+        return both.selectExpr("src AS id", "dst AS component")
     labels = cut_lineage(both.groupBy("src").agg(F.min("dst").alias("m")).selectExpr("src AS id", "least(src, m) AS component"))
     while True:
         near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("component").alias("m"))

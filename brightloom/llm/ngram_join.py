@@ -236,7 +236,7 @@ def shared_postings(firsts: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    ids = cut_lineage(pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b")).distinct())
+    ids = pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b"))
     path = fresh_path(docs.sparkSession, "ngram-sets")
     sets_of(docs, ids, width).write.parquet(path)
     sets = docs.sparkSession.read.schema("doc_id long, grams array<long>").parquet(path)
@@ -258,7 +258,7 @@ def links(docs: DataFrame, postings: DataFrame, width: int, percent: int) -> Dat
     p = cut_lineage(postings.join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
     # an n-gram whose classes are all connected has nothing left to find
     mixed = p.groupBy("g").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("g")
-    p = cut_lineage(p.join(cut_lineage(mixed), "g", "left_semi"))
+    p = p.join(cut_lineage(mixed), "g", "left_semi")
     rest = p.alias("l").join(p.alias("r"), F.expr(f"l.g = r.g AND l.cls < r.cls AND l.grp <> r.grp AND {keep}"))
     rest = rest.selectExpr("l.cls AS a", "r.cls AS b").distinct().join(tried, ["a", "b"], "left_anti")
     return first.unionByName(verified(docs, cut_lineage(rest), width, percent))
@@ -271,7 +271,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     described = describe(docs, width)
     rows = described.filter("chunk IS NULL").select("doc_id", "n", "d1", "d2")
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"))
-    classes = cut_lineage(classes)
     path = fresh_path(spark, "ngram-prefixes")
     firsts = prefixes(docs, width, percent, count_levels(described)).join(classes.selectExpr("cls AS doc_id"), "doc_id", "left_semi")
     firsts.write.parquet(path)
