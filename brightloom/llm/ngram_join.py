@@ -185,34 +185,44 @@ def id_filter(ids: DataFrame, column: str) -> bytes:
     return out.tobytes()
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, grams): the whole sets of the documents named by ``ids``, and of a few others with the same hash."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
+_SETS = "doc_id long, grams array<long>, left boolean, right boolean"
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, grams, left, right): the whole sets of the documents that stand on either side of a pair.
+
+    A few others, with the same hash as one of them, are there as well.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((id_filter(pairs, "a"), id_filter(pairs, "b")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, table = _WordCodes(), np.frombuffer(shared.value, np.uint32)
+        codes, tables = _WordCodes(), [np.frombuffer(t, np.uint32) for t in shared.value]
         for b in batches:
             h = np.asarray(b.column(2).fill_null(0))
-            hit = (table[h >> 5] >> (h & 31).astype(np.uint32)) & 1
-            b = b.filter(pa.array(hit.astype(bool)))
-            if len(b):
+            left, right = (((t[h >> 5] >> (h & 31).astype(np.uint32)) & 1).astype(bool) for t in tables)
+            hit = left | right
+            if hit.any():
+                b = b.filter(pa.array(hit))
                 grams = [ngram_set(t, width, codes).view(np.int64) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(grams, pa.list_(pa.int64())), pa.array(left[hit]), pa.array(right[hit])],
+                    names=["doc_id", "grams", "left", "right"],
+                )
 
     hashed = docs.withColumn("_h", F.expr(f"xxhash64(doc_id) & {(1 << ID_BITS) - 1}"))
-    return hashed.mapInArrow(scan, "doc_id long, grams array<long>")
+    return hashed.mapInArrow(scan, _SETS)
 
 
 _POSTING = "g long, cls long, n int, pos int, s0 long, s1 long, s2 long, s3 long"
 
 
 def shared_postings(firsts: DataFrame) -> DataFrame:
-    """One row per prefix n-gram that more than one class has, and class.
+    """One row per class and prefix n-gram that another class may have too.
 
-    The n-grams in question are marked in a table of fixed size first, so that the others, nearly all,
-    are dropped before anything is joined.
+    The n-grams in question are marked in a table of fixed size, so that the others, nearly all, are
+    dropped without a join. What stays by chance stands alone and pairs with nothing.
     """
-    common = cut_lineage(firsts.selectExpr("explode(prefix) AS g").groupBy("g").count().filter("count > 1").select("g"))
+    common = firsts.selectExpr("explode(prefix) AS g").groupBy("g").count().filter("count > 1").select("g")
     shared = firsts.sparkSession.sparkContext.broadcast(id_filter(common, "g"))
     names = [f.split()[0] for f in _POSTING.split(", ")]
     mask = (1 << ID_BITS) - 1
@@ -231,16 +241,15 @@ def shared_postings(firsts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(g[hit]), doc, size, pa.array(pos[hit].astype(np.int32)), *parity], names=names)
 
     hashed = firsts.withColumn("h", F.expr("transform(prefix, x -> xxhash64(x))"))
-    return cut_lineage(hashed.mapInArrow(pick, _POSTING).join(common, "g"))
+    return cut_lineage(hashed.mapInArrow(pick, _POSTING))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    ids = pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b"))
     path = fresh_path(docs.sparkSession, "ngram-sets")
-    sets_of(docs, ids, width).write.parquet(path)
-    sets = docs.sparkSession.read.schema("doc_id long, grams array<long>").parquet(path)
-    left, right = sets.toDF("a", "ga"), sets.toDF("b", "gb")
+    sets_of(docs, pairs, width).write.parquet(path)
+    sets = docs.sparkSession.read.schema(_SETS).parquet(path)
+    left, right = (sets.filter(side).selectExpr(f"doc_id AS {c}", f"grams AS g{c}") for side, c in (("left", "a"), ("right", "b")))
     both = pairs.join(left, "a").join(right, "b").selectExpr("a", "b", "size(ga) AS na", "size(gb) AS nb", "size(array_intersect(ga, gb)) AS common")
     return both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b").distinct()
 
@@ -252,7 +261,9 @@ def links(docs: DataFrame, postings: DataFrame, width: int, percent: int) -> Dat
     pivots = postings.groupBy("g").agg(F.min(F.struct("pos", "n", "cls", "s0", "s1", "s2", "s3")).alias("p"))
     pivots = cut_lineage(pivots.selectExpr("g", "p.*"))
     starred = postings.alias("l").join(pivots.alias("r"), F.expr(f"l.g = r.g AND l.cls <> r.cls AND {keep}"))
-    tried = cut_lineage(starred.selectExpr("least(l.cls, r.cls) AS a", "greatest(l.cls, r.cls) AS b").distinct())
+    # few pivots on the right; two classes that are each other's pivot are one pair
+    tried = starred.selectExpr("struct(l.cls AS a, r.cls AS b) AS p").groupBy(F.expr("least(p.a, p.b) AS lo"), F.expr("greatest(p.a, p.b) AS hi"))
+    tried = cut_lineage(tried.agg(F.min("p").alias("p")).selectExpr("p.a AS a", "p.b AS b"))
     first = cut_lineage(verified(docs, tried, width, percent))
     group = components(first).withColumnsRenamed({"id": "cls", "component": "grp"})
     p = cut_lineage(postings.join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
@@ -260,7 +271,8 @@ def links(docs: DataFrame, postings: DataFrame, width: int, percent: int) -> Dat
     mixed = p.groupBy("g").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("g")
     p = p.join(cut_lineage(mixed), "g", "left_semi")
     rest = p.alias("l").join(p.alias("r"), F.expr(f"l.g = r.g AND l.cls < r.cls AND l.grp <> r.grp AND {keep}"))
-    rest = rest.selectExpr("l.cls AS a", "r.cls AS b").distinct().join(tried, ["a", "b"], "left_anti")
+    done = tried.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
+    rest = rest.selectExpr("l.cls AS a", "r.cls AS b").distinct().join(done, ["a", "b"], "left_anti")
     return first.unionByName(verified(docs, cut_lineage(rest), width, percent))
 
 
