@@ -266,7 +266,7 @@ def median_filter(image: DataFrame, ids: list[str], size: int = 8, tile: int = T
     return found.selectExpr(*ids, "y", "x", "nanvl(f, NULL) AS f")
 
 
-def gaussian_fit(images: DataFrame, ids: list[str], tolerance: float = 1e-9, max_rounds: int = 200, cut_every: int = 4) -> DataFrame:
+def gaussian_fit(images: DataFrame, ids: list[str], tolerance: float = 1e-9, max_rounds: int = 100, cut_every: int = 4) -> DataFrame:
     """Least-squares 2-D Gaussian per image: height, cy, cx, width_y, width_x, loss, converged.
 
     Every round is one grouped aggregate of the 5 x 5 normal equations of all images at once;

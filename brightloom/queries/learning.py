@@ -413,7 +413,7 @@ def planted(spark: SparkSession, sf: str) -> DataFrame:
 @query("ml_logistic_gd")
 def ml_logistic_gd(spark: SparkSession, sf: str) -> DataFrame:
     p = planted(spark, sf)
-    w, epochs, loss, converged = models.logistic_gd(p, eta=4.0)  # a rate that suits features of this size
+    w, epochs, loss, converged = models.logistic_gd(p)
     return p.agg(F.expr("count(*) AS n"), F.expr(f"{M.class_error(M.dot(w, models.POINT))} AS error")).selectExpr(
         "n", "error", f"{epochs} AS epochs", f"{str(converged).lower()} AS converged", f"{loss!r}D AS loss", f"{w[1] / w[0]!r}D AS w1", f"{w[2] / w[0]!r}D AS w2"
     )

@@ -77,6 +77,7 @@ def test_gaussian_fit_finds_planted_centres(spark):
     ]
     fits = C.gaussian_fit(spark.createDataFrame(rows, "id int, y int, x int, f double"), ["id"]).collect()
     for r in fits:
+        assert r.converged
         h, cy, cx, wy, wx = truth[r.id]
         assert abs(r.height - h) < 1e-3 and abs(r.cy - cy) < 1e-3 and abs(r.cx - cx) < 1e-3
         assert abs(abs(r.width_y) - wy) < 1e-3 and abs(abs(r.width_x) - wx) < 1e-3
