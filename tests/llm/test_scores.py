@@ -43,6 +43,15 @@ def test_segments_are_the_maximal_ones(gain):
     assert np.allclose(sorted(s for *_, s in got), sorted(s for *_, s in want))
 
 
+def test_passages_have_places():
+    gains = toxicity.Gains({"vilewordx": 3.0, "nasty*": 2.0})
+    text = "Hello there. VileWordx and nastyword end " + "plain " * 200 + "nastyish"
+    n, found = toxicity.find_segments(text, gains)
+    assert n == 206 and [text[a:z] for _, _, a, z, _ in found] == ["VileWordx and nastyword", "nastyish"]
+    assert abs(found[0][4] - (5.0 - 3 * toxicity.DRIFT)) < 1e-9
+    assert toxicity.find_segments(None, gains) == (0, []) and toxicity.find_segments("plain", gains) == (1, [])
+
+
 def test_toxic_documents_are_found(spark):
     r, texts, marks = random.Random(5), [], []
     for i in range(500):
@@ -61,9 +70,6 @@ def test_toxic_documents_are_found(spark):
     held = [i for i in range(500) if got[i].held_out]
     assert sum(got[i].predicted == int(i % 5 == 0) for i in held) >= 0.95 * len(held)
     assert all(got[i].score < 0.5 and not got[i].passages for i in (10_100, 10_101, 10_102))
-    hit = next(got[i] for i in held if i % 5 == 0 and got[i].passages)
-    text = dict(texts)[hit.doc_id]
-    assert any(w in text[hit.passages[0].start : hit.passages[0].end] for w in ("vile", "nasty", "ugly", "bad"))
     none = toxicity.score_toxicity(documents(spark, texts[:5]), labels(spark, [])).collect()
     assert {r.predicted for r in none} == {0} and all(0 <= r.score < 0.01 for r in none)
     assert toxicity.score_toxicity(documents(spark, []), labels(spark, marks)).count() == 0
