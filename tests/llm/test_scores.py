@@ -47,7 +47,7 @@ def test_passages_have_places():
     gains = toxicity.Gains({"vilewordx": 3.0, "nasty*": 2.0})
     text = "Hello there. VileWordx and nastyword end " + "plain " * 200 + "nastyish"
     n, found = toxicity.find_segments(text, gains)
-    assert n == 206 and [text[a:z] for _, _, a, z, _ in found] == ["VileWordx and nastyword", "nastyish"]
+    assert n == 207 and [text[a:z] for _, _, a, z, _ in found] == ["VileWordx and nastyword", "nastyish"]
     assert abs(found[0][4] - (5.0 - 3 * toxicity.DRIFT)) < 1e-9
     assert toxicity.find_segments(None, gains) == (0, []) and toxicity.find_segments("plain", gains) == (1, [])
 
