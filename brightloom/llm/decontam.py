@@ -1,14 +1,15 @@
 """Benchmark questions in documents, also with other numbers, names and units in them.
 
 Words become a template: numbers, units behind a number, and capitalised words inside a sentence are
-replaced by their type. Windows of ``WINDOW`` template words are joined by hash; what stood in the
-typed places must then be consistent along one alignment: equal fillers of the question have equal
-fillers in the document, and different ones different ones. A document holds a question if
-consistent windows cover at least ``MIN_COVER`` of the question's.
-
-A question of fewer words than a window is one window by itself. A window needs ``MIN_PLAIN`` plain
-words, so a question without such a window is never found. Missing and empty texts hold nothing and
-match nothing; repeated rows count once.
+replaced by their type. Windows of ``WINDOW`` template words with ``MIN_PLAIN`` plain ones are joined
+by hash; what stood in the typed places must then be consistent along one alignment: equal fillers of
+the question have equal fillers in the document, and different ones different ones. All windows are
+also joined word for word, whatever the case of their letters. A document holds a question if
+consistent template windows cover at least ``MIN_COVER`` of the question's, or windows that match in
+either form at least ``MIN_COVER`` of all its windows.
+
+A question of fewer words than a window is one window by itself. Missing and empty texts hold nothing
+and match nothing; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ UNITS = frozenset(
 )
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 _END, _NUMBER, _UNIT, _CAPITAL = 1, 2, 4, 8
+_TEMPLATE, _EXACT = 0, 1
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW + 1)], dtype=np.uint64)
 _TYPED = {t: np.uint64(xxhash.xxh3_64_intdigest(t)) for t in ("<number>", "<unit>", "<name>")}
 
@@ -68,8 +70,8 @@ class Words:
         return self.codes[at], self.kinds[at]
 
 
-def template(tokens: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the words among the tokens, their template codes, and which of them are typed."""
+def template(tokens: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words among the tokens, their codes, their template codes, and which of them are typed."""
     code, kind = words.look_up(tokens)
     place = np.flatnonzero((kind & _END) == 0)
     first = np.concatenate([[True], (kind[:-1] & _END) != 0])[place] if len(tokens) else np.zeros(0, bool)
@@ -77,10 +79,10 @@ def template(tokens: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, n
     number = (kind & _NUMBER) != 0
     unit = ((kind & _UNIT) != 0) & np.concatenate([[False], number[:-1]])[: len(place)]
     name = ((kind & _CAPITAL) != 0) & ~first & ~unit
-    code = code.copy()
+    typed_code = code.copy()
     for mask, t in ((number, "<number>"), (unit, "<unit>"), (name, "<name>")):
-        code[mask] = _TYPED[t]
-    return place, code, number | unit | name
+        typed_code[mask] = _TYPED[t]
+    return place, code, typed_code, number | unit | name
 
 
 def windows(code: np.ndarray, typed: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,31 +101,37 @@ def windows(code: np.ndarray, typed: np.ndarray, width: int) -> tuple[np.ndarray
     return at, h[at]
 
 
-_ROWS = "id long, n_windows int, pos int, width int, start int, end int, h long, fill array<string>"
-_KINDS = [pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.list_(pa.string())]
+# n_rich, n_all: windows of the text with enough plain words, and all
+_ROWS = "id long, n_rich int, n_all int, form int, pos int, width int, start int, end int, h long, fill array<string>"
+_KINDS = [pa.int64(), *[pa.int32()] * 7, pa.int64(), pa.list_(pa.string())]
 _NAMES = [f.split()[0] for f in _ROWS.split(", ")]
 
 
-def _rows(ident, text: str, words: Words, wanted: dict[int, np.ndarray] | None) -> list[tuple]:
-    """Windows of a text as rows: those of a question, or with ``wanted``, filters by window length, of a document."""
+def _rows(ident, text: str, words: Words, wanted: dict[tuple[int, int], np.ndarray] | None) -> list[tuple]:
+    """Windows of a text in both forms: those of a question, or with ``wanted``, filters by form and length, of a document."""
     tokens = _TOKEN.findall(text)
     if not tokens:
         return []
-    place, code, typed = template(tokens, words)
+    place, code, typed_code, typed = template(tokens, words)
     rows, spans = [], None
-    for width in wanted or (min(WINDOW, len(code)),):
-        at, h = windows(code, typed, width) if width else ([], [])
-        n = len(at)
-        if n and wanted is not None:
-            hit = wanted[width][(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+    for form, width in wanted or ((f, min(WINDOW, len(code))) for f in (_TEMPLATE, _EXACT)):
+        if not 0 < width <= len(code):
+            continue
+        marked = typed if form == _TEMPLATE else np.zeros(len(code), bool)
+        at, h = windows(typed_code if form == _TEMPLATE else code, marked, width)
+        n_all, n_rich = len(code) - width + 1, 0
+        if wanted is not None:
+            hit = wanted[form, width][(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
             at, h = at[hit], h[hit]
+        else:
+            n_rich = len(windows(typed_code, typed, width)[0])
         if not len(at):
             continue
         spans = spans or [m.span() for m in _TOKEN.finditer(text)]
         for p, code_h in zip(at.tolist(), h.astype(np.int64).tolist(), strict=True):
             inside = place[p : p + width].tolist()
-            fill = [tokens[i].lower() if t else None for i, t in zip(inside, typed[p : p + width].tolist(), strict=True)]
-            rows.append((ident, n, p, width, spans[inside[0]][0], spans[inside[-1]][1], code_h, fill))
+            fill = [tokens[i].lower() if t else None for i, t in zip(inside, marked[p : p + width].tolist(), strict=True)]
+            rows.append((ident, n_rich, n_all, form, p, width, spans[inside[0]][0], spans[inside[-1]][1], code_h, fill))
     return rows
 
 
@@ -142,17 +150,17 @@ def question_windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.selectExpr("CAST(item_id AS BIGINT) AS id", "text").mapInArrow(cut, _ROWS)
 
 
-def window_filter(questions: DataFrame) -> dict[int, np.ndarray]:
-    """Per window length, which leading hash bits occur; its size does not depend on the benchmark's."""
+def window_filter(questions: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Per form and window length, which leading hash bits occur; its size does not depend on the benchmark's."""
     word = f"shiftrightunsigned(h, {64 - FILTER_BITS})"
-    bits = questions.selectExpr("width", f"shiftright({word}, 5) AS w", f"shiftleft(1L, int({word} & 31)) AS bit")
-    out = {k: np.zeros((1 << FILTER_BITS) // 32, dtype=np.uint32) for k in range(1, WINDOW + 1)}
-    for r in bits.groupBy("width", "w").agg(F.expr("bit_or(bit) AS bits")).collect():
-        out[r.width][r.w] = r.bits
-    return {k: np.unpackbits(v.view(np.uint8), bitorder="little").astype(bool) for k, v in out.items() if v.any()}
+    bits = questions.selectExpr("form", "width", f"shiftright({word}, 5) AS w", f"shiftleft(1L, int({word} & 31)) AS bit")
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for r in bits.groupBy("form", "width", "w").agg(F.expr("bit_or(bit) AS bits")).collect():
+        out.setdefault((r.form, r.width), np.zeros((1 << FILTER_BITS) // 32, dtype=np.uint32))[r.w] = r.bits
+    return {k: np.unpackbits(v.view(np.uint8), bitorder="little").astype(bool) for k, v in out.items()}
 
 
-def document_windows(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
+def document_windows(docs: DataFrame, wanted: dict[tuple[int, int], np.ndarray]) -> DataFrame:
     """Windows of the documents that may stand in a question."""
     packed = {k: np.packbits(v) for k, v in wanted.items()}
 
@@ -168,42 +176,65 @@ def document_windows(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFram
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS id", "text").mapInArrow(cut, _ROWS)
 
 
+_WINDOW = "struct<q_pos:int,form:int,start:int,end:int,fill:array<struct<at:int,q:string,d:string>>>"
+_HELD = "doc_id long, item_id long, n_rich int, n_all int, q_pos int, by_template boolean, verbatim boolean, start int, end int"
+
+
+def consistent(found: list[dict]) -> list[tuple]:
+    """Windows of one alignment that hold: place in the question, whether as a template, whether word for word, start, end."""
+    typed = [w for w in found if w["form"] == _TEMPLATE]
+    fill = {(f["q"], f["d"]) for w in typed for f in w["fill"]}
+    if len({q for q, _ in fill}) < len(fill) or len({d for _, d in fill}) < len(fill):
+        typed = []
+    out = [(w["q_pos"], True, all(f["q"] == f["d"] for f in w["fill"]), w["start"], w["end"]) for w in typed]
+    return out + [(w["q_pos"], False, True, w["start"], w["end"]) for w in found if w["form"] == _EXACT]
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in _HELD.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.bool_(), pa.bool_(), pa.int32(), pa.int32()]
+    for b in batches:
+        keys = zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
+        rows = [(*k, *w) for k, found in zip(keys, b.column(4).to_pylist(), strict=True) for w in consistent(found)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """doc_id, item_id, cover, verbatim (all fillers equal), start and end of the covered stretch.
 
-    One row per document and question that it holds.
+    One row per document and question that it holds. Where template windows alone suffice, the figures are
+    theirs, otherwise those of both forms.
     """
     spark = docs.sparkSession
     questions = cut_lineage(question_windows(benchmark).filter("id IS NOT NULL").distinct())
     path = fresh_path(spark, "benchmark-windows")
     document_windows(docs, window_filter(questions)).write.parquet(path)
     found = spark.read.schema(_ROWS).parquet(path).distinct()
-    q = questions.selectExpr("id AS item_id", "n_windows", "pos AS q_pos", "width", "h", "fill AS q_fill")
-    d = found.selectExpr("id AS doc_id", "pos AS d_pos", "start", "end", "width", "h", "fill AS d_fill")
-    pairs = d.join(q, ["width", "h"]).selectExpr(
-        "doc_id", "item_id", "n_windows", "d_pos - q_pos AS shift", "q_pos", "start", "end",
-        "filter(arrays_zip(q_fill, d_fill), x -> x.q_fill IS NOT NULL) AS fill",
+    q = questions.selectExpr("id AS item_id", "n_rich", "n_all", "form", "pos AS q_pos", "width", "h", "fill AS q_fill")
+    d = found.selectExpr("id AS doc_id", "pos AS d_pos", "start", "end", "form", "width", "h", "fill AS d_fill")
+    fill = "transform(arrays_zip(q_fill, d_fill), (x, i) -> struct(q_pos + i AS at, x.q_fill AS q, x.d_fill AS d))"
+    pairs = d.join(q, ["form", "width", "h"]).selectExpr(
+        "doc_id", "item_id", "n_rich", "n_all", "d_pos - q_pos AS shift",
+        f"CAST(struct(q_pos, form, start, end, filter({fill}, x -> x.q IS NOT NULL) AS fill) AS {_WINDOW}) AS found",
     )
     # along one alignment a window stands once, so a group is no longer than its question
-    aligned = pairs.groupBy("doc_id", "item_id", "n_windows", "shift").agg(
-        F.collect_set("q_pos").alias("q"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.expr("array_distinct(flatten(collect_set(fill)))").alias("fill"),
-    )
-    consistent = aligned.filter(
-        "size(array_distinct(fill.q_fill)) = size(fill) AND size(array_distinct(fill.d_fill)) = size(fill)"
-    )
+    aligned = pairs.groupBy("doc_id", "item_id", "n_rich", "n_all", "shift").agg(F.collect_set("found").alias("found"))
+    covered = aligned.drop("shift").mapInArrow(_check, _HELD)
     # windows of one question next to each other, a few words more or less, count together
-    covered = consistent.selectExpr(
-        "doc_id", "item_id", "n_windows", "start", "end", "forall(fill, x -> x.q_fill = x.d_fill) AS verbatim", "explode(q) AS q_pos"
-    )
-    windows_held = covered.groupBy("doc_id", "item_id", "n_windows", "q_pos").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.max("verbatim").alias("verbatim")
+    windows_held = covered.groupBy("doc_id", "item_id", "n_rich", "n_all", "q_pos").agg(
+        F.max("by_template").alias("by_template"),
+        *(F.expr(f"{f}({c}) {w} AS {p}{c}") for p, w in (("", ""), ("t_", "FILTER (WHERE by_template)"))
+          for f, c in (("min", "start"), ("max", "end"), ("max", "verbatim"))),
     )
-    held = windows_held.groupBy("doc_id", "item_id", "n_windows").agg(
-        F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("verbatim").alias("verbatim")
+    held = windows_held.groupBy("doc_id", "item_id", "n_rich", "n_all").agg(
+        F.count("*").alias("n"), F.count_if("by_template").alias("t_n"),
+        *(F.expr(f"{f}({p}{c}) AS {p}{c}") for p in ("", "t_") for f, c in (("min", "start"), ("max", "end"), ("min", "verbatim"))),
     )
-    return held.filter(f"n >= {min_cover} * n_windows").selectExpr(
-        "doc_id", "item_id", "n / n_windows AS cover", "verbatim", "start", "end"
+    by_template = f"(t_n > 0 AND t_n >= {min_cover} * n_rich)"
+    return held.filter(f"{by_template} OR n >= {min_cover} * n_all").selectExpr(
+        "doc_id", "item_id", f"IF({by_template}, t_n / n_rich, n / n_all) AS cover",
+        *(f"IF({by_template}, t_{c}, {c}) AS {c}" for c in ("verbatim", "start", "end")),
     )
 
 

@@ -106,3 +106,33 @@ def test_template_leaks(spark):
     assert left.columns == documents(spark, texts).columns and {r.doc_id for r in left.collect()} >= {2, 6, None, 100, 101}
     assert decontam.leaks(documents(spark, []), benchmark).count() == 0
     assert decontam.leaks(documents(spark, texts), benchmark.limit(0)).count() == 0
+
+
+def plain_windows(text, width):
+    words = [t.lower() for t in re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*", text or "")]
+    return [tuple(words[k : k + width]) for k in range(len(words) - width + 1)], len(words)
+
+
+def held_whatever_the_case(texts, items):
+    """(doc_id, item_id) where at least 0.6 of the question's windows stand in the text, by brute force."""
+    out = set()
+    for item, question in items:
+        wanted = plain_windows(question, max(1, min(decontam.WINDOW, plain_windows(question, 1)[1])))[0]
+        for doc, text in texts:
+            there = set(plain_windows(text, len(wanted[0]))[0]) if wanted else set()
+            if wanted and sum(w in there for w in wanted) >= 0.6 * len(wanted):
+                out.add((doc, item))
+    return out
+
+
+def test_leaks_whatever_the_case(spark):
+    items = [(1, QUESTION), (2, "What is the name of the river that flows through Paris and Rouen into the sea"), (3, "THE HEAT OF THE SUN IS WHAT KEEPS ALL OF US ALIVE"), *[(10 + k, prose(70 + k, 25)) for k in range(5)]]
+    change = (str.lower, str.upper, str.title, str.swapcase)
+    texts = [(100 * i + k, f"{prose(i + k, 40)} {f(q)} {prose(k, 30)}") for i, q in items for k, f in enumerate(change)]
+    texts += [(5000 + i, f"{prose(i, 10)} {' '.join(q.split()[: len(q.split()) * n // 8]).upper()} {prose(i, 9)}") for i, q in items for n in (3, 7)]
+    texts += [(4, QUESTION.lower()), (6, prose(5, 100))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in decontam.leaks(documents(spark, texts), benchmark).collect()}
+    assert (4, 1) in rows and rows[4, 1].verbatim and (rows[4, 1].start, rows[4, 1].end) == (0, len(QUESTION))
+    expected = held_whatever_the_case(texts, items)
+    assert len(expected) >= 4 * len(items) and set(rows) == expected
