@@ -2,11 +2,13 @@
 
 Words become a template: numbers, units behind a number, and capitalised words inside a sentence are
 replaced by their type. Windows of ``WINDOW`` template words with ``MIN_PLAIN`` plain ones are joined
-by hash; what stood in the typed places must then be consistent along one alignment: equal fillers of
-the question have equal fillers in the document, and different ones different ones. All windows are
-also joined word for word, whatever the case of their letters. A document holds a question if
-consistent template windows cover at least ``MIN_COVER`` of the question's, or windows that match in
-either form at least ``MIN_COVER`` of all its windows.
+by hash; what stood in the typed places must then be consistent along one alignment: each filler of
+the question has one filler in the document, which several may share. It is the one that stands for
+most of its mentions, or of equally many the filler itself, and windows with another one are dropped.
+All windows are also joined word for word, whatever the case of their letters. A document holds a
+question if consistent template windows cover at least ``MIN_COVER`` of the question's, or windows that
+match in either form at least ``MIN_COVER`` of all its windows. Where a filler has no such majority, what
+is left of the alignment's template windows counts for the latter only.
 
 A question of fewer words than a window is one window by itself. Missing and empty texts hold nothing
 and match nothing; repeated rows count once.
@@ -183,10 +185,18 @@ _HELD = "doc_id long, item_id long, n_rich int, n_all int, q_pos int, by_templat
 def consistent(found: list[dict]) -> list[tuple]:
     """Windows of one alignment that hold: place in the question, whether as a template, whether word for word, start, end."""
     typed = [w for w in found if w["form"] == _TEMPLATE]
-    fill = {(f["q"], f["d"]) for w in typed for f in w["fill"]}
-    if len({q for q, _ in fill}) < len(fill) or len({d for _, d in fill}) < len(fill):
-        typed = []
-    out = [(w["q_pos"], True, all(f["q"] == f["d"] for f in w["fill"]), w["start"], w["end"]) for w in typed]
+    mentions: dict[str, dict[str, set[int]]] = {}
+    for w in typed:
+        for f in w["fill"]:
+            mentions.setdefault(f["q"], {}).setdefault(f["d"], set()).add(f["at"])
+    chosen: dict[str, str | None] = {}
+    for q, by in mentions.items():
+        most = max(map(len, by.values()))
+        top = [d for d, at in by.items() if len(at) == most]
+        chosen[q] = q if q in top else top[0] if len(top) == 1 else None
+    settled = None not in chosen.values()
+    kept = [w for w in typed if all(chosen[f["q"]] == f["d"] for f in w["fill"])]
+    out = [(w["q_pos"], settled, all(f["q"] == f["d"] for f in w["fill"]), w["start"], w["end"]) for w in kept]
     return out + [(w["q_pos"], False, True, w["start"], w["end"]) for w in found if w["form"] == _EXACT]
 
 

@@ -136,3 +136,29 @@ def test_leaks_whatever_the_case(spark):
     assert (4, 1) in rows and rows[4, 1].verbatim and (rows[4, 1].start, rows[4, 1].end) == (0, len(QUESTION))
     expected = held_whatever_the_case(texts, items)
     assert len(expected) >= 4 * len(items) and set(rows) == expected
+
+
+def test_leaks_with_fillers_that_coincide_or_change_once(spark):
+    apples = "if a farmer sells 3 apples and then buys 5 pears from the market how much does the farmer have to pay"
+    long = ("the treaty of Verona was signed by both kings after a long winter and it was in the town of Verona that "
+            "the envoys met again to settle who would pay for the broken bridges and the burnt mills along the border")
+    benchmark = spark.createDataFrame([(1, apples), (2, long)], "item_id long, text string")
+    texts = [
+        (1, apples.replace("3", "4").replace("5", "4")), (2, long.replace("Verona", "Pavia", 1)), (3, long[::-1].replace("anoreV", "Pavia", 1)[::-1]),
+        (4, long.replace("Verona", "Pavia")), (5, "the " + prose(3, 60)),
+    ]
+    rows = {(r.doc_id, r.item_id): r for r in decontam.leaks(documents(spark, texts), benchmark).collect()}
+    assert rows.keys() == {(1, 1), (2, 2), (3, 2), (4, 2)}
+    assert rows[1, 1].cover == rows[4, 2].cover == 1 and not rows[1, 1].verbatim and rows[2, 2].verbatim and 0.7 < rows[2, 2].cover < 1
+
+
+def test_majority_of_the_mentions():
+    def window(at, q, d):
+        return {"q_pos": at, "form": 0, "start": at, "end": at + 1, "fill": [{"at": at, "q": q, "d": d}]}
+
+    def kept(*fills):
+        return [(p, t) for p, t, *_ in decontam.consistent([window(k, *f) for k, f in enumerate(fills)])]
+
+    assert kept(("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")) == [(0, True), (1, True), (3, True)]
+    assert kept(("a", "x"), ("a", "a"), ("b", "b")) == [(1, True), (2, True)]
+    assert kept(("a", "x"), ("a", "y"), ("b", "b")) == [(2, False)]
