@@ -8,10 +8,13 @@ most of its mentions, or of equally many the filler itself, and windows with ano
 All windows are also joined word for word, whatever the case of their letters. A document holds a
 question if consistent template windows cover at least ``MIN_COVER`` of the question's, or windows that
 match in either form at least ``MIN_COVER`` of all its windows. Where a filler has no such majority, what
-is left of the alignment's template windows counts for the latter only.
+is left of the alignment's template windows counts for the latter only. ``RUN`` neighbouring windows of a
+question that hold along one alignment suffice whatever share of it they are: in either form, or as
+templates where windows with too few plain words are passed over.
 
-A question of fewer words than a window is one window by itself. Missing and empty texts hold nothing
-and match nothing; repeated rows count once.
+A question of fewer words than a window is one window by itself, and one whose windows all have too few
+plain words is found word for word. Missing and empty texts hold nothing and match nothing; repeated rows
+count once.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from brightloom.session import cut_lineage, fresh_path
 
 WINDOW, MIN_PLAIN, MIN_COVER = 5, 3, 0.6
+RUN = 9  # windows in a row, that is 13 words
 FILTER_BITS = 22
 KEPT_WORDS = 500_000
 # Words that count as units behind a number
@@ -103,9 +107,9 @@ def windows(code: np.ndarray, typed: np.ndarray, width: int) -> tuple[np.ndarray
     return at, h[at]
 
 
-# n_rich, n_all: windows of the text with enough plain words, and all
-_ROWS = "id long, n_rich int, n_all int, form int, pos int, width int, start int, end int, h long, fill array<string>"
-_KINDS = [pa.int64(), *[pa.int32()] * 7, pa.int64(), pa.list_(pa.string())]
+# n_rich, n_all: windows of the text with enough plain words, and all; nth: which of its form in a question
+_ROWS = "id long, n_rich int, n_all int, form int, pos int, nth int, width int, start int, end int, h long, fill array<string>"
+_KINDS = [pa.int64(), *[pa.int32()] * 8, pa.int64(), pa.list_(pa.string())]
 _NAMES = [f.split()[0] for f in _ROWS.split(", ")]
 
 
@@ -130,10 +134,10 @@ def _rows(ident, text: str, words: Words, wanted: dict[tuple[int, int], np.ndarr
         if not len(at):
             continue
         spans = spans or [m.span() for m in _TOKEN.finditer(text)]
-        for p, code_h in zip(at.tolist(), h.astype(np.int64).tolist(), strict=True):
+        for nth, (p, code_h) in enumerate(zip(at.tolist(), h.astype(np.int64).tolist(), strict=True)):
             inside = place[p : p + width].tolist()
             fill = [tokens[i].lower() if t else None for i, t in zip(inside, marked[p : p + width].tolist(), strict=True)]
-            rows.append((ident, n_rich, n_all, form, p, width, spans[inside[0]][0], spans[inside[-1]][1], code_h, fill))
+            rows.append((ident, n_rich, n_all, form, p, 0 if wanted else nth, width, spans[inside[0]][0], spans[inside[-1]][1], code_h, fill))
     return rows
 
 
@@ -178,12 +182,24 @@ def document_windows(docs: DataFrame, wanted: dict[tuple[int, int], np.ndarray])
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS id", "text").mapInArrow(cut, _ROWS)
 
 
-_WINDOW = "struct<q_pos:int,form:int,start:int,end:int,fill:array<struct<at:int,q:string,d:string>>>"
-_HELD = "doc_id long, item_id long, n_rich int, n_all int, q_pos int, by_template boolean, verbatim boolean, start int, end int"
+_WINDOW = "struct<q_pos:int,nth:int,form:int,start:int,end:int,fill:array<struct<at:int,q:string,d:string>>>"
+_HELD = "doc_id long, item_id long, n_rich int, n_all int, q_pos int, by_template boolean, verbatim boolean, start int, end int, in_run boolean"
+
+
+def longest_run(places: set[int]) -> int:
+    best = 0
+    for p in places:
+        if p - 1 not in places:
+            n = 1
+            while p + n in places:
+                n += 1
+            best = max(best, n)
+    return best
 
 
 def consistent(found: list[dict]) -> list[tuple]:
-    """Windows of one alignment that hold: place in the question, whether as a template, whether word for word, start, end."""
+    """Windows of one alignment that hold: place in the question, whether as a template, whether word for word, start,
+    end, whether the alignment has a run."""
     typed = [w for w in found if w["form"] == _TEMPLATE]
     mentions: dict[str, dict[str, set[int]]] = {}
     for w in typed:
@@ -196,13 +212,15 @@ def consistent(found: list[dict]) -> list[tuple]:
         chosen[q] = q if q in top else top[0] if len(top) == 1 else None
     settled = None not in chosen.values()
     kept = [w for w in typed if all(chosen[f["q"]] == f["d"] for f in w["fill"])]
-    out = [(w["q_pos"], settled, all(f["q"] == f["d"] for f in w["fill"]), w["start"], w["end"]) for w in kept]
-    return out + [(w["q_pos"], False, True, w["start"], w["end"]) for w in found if w["form"] == _EXACT]
+    exact = [w for w in found if w["form"] == _EXACT]
+    run = max(longest_run({w["nth"] for w in kept}), longest_run({w["q_pos"] for w in kept + exact})) >= RUN
+    out = [(w["q_pos"], settled, all(f["q"] == f["d"] for f in w["fill"]), w["start"], w["end"], run) for w in kept]
+    return out + [(w["q_pos"], False, True, w["start"], w["end"], run) for w in exact]
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _HELD.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.bool_(), pa.bool_(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
     for b in batches:
         keys = zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
         rows = [(*k, *w) for k, found in zip(keys, b.column(4).to_pylist(), strict=True) for w in consistent(found)]
@@ -221,28 +239,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -
     path = fresh_path(spark, "benchmark-windows")
     document_windows(docs, window_filter(questions)).write.parquet(path)
     found = spark.read.schema(_ROWS).parquet(path).distinct()
-    q = questions.selectExpr("id AS item_id", "n_rich", "n_all", "form", "pos AS q_pos", "width", "h", "fill AS q_fill")
+    q = questions.selectExpr("id AS item_id", "n_rich", "n_all", "form", "pos AS q_pos", "nth", "width", "h", "fill AS q_fill")
     d = found.selectExpr("id AS doc_id", "pos AS d_pos", "start", "end", "form", "width", "h", "fill AS d_fill")
     fill = "transform(arrays_zip(q_fill, d_fill), (x, i) -> struct(q_pos + i AS at, x.q_fill AS q, x.d_fill AS d))"
     pairs = d.join(q, ["form", "width", "h"]).selectExpr(
         "doc_id", "item_id", "n_rich", "n_all", "d_pos - q_pos AS shift",
-        f"CAST(struct(q_pos, form, start, end, filter({fill}, x -> x.q IS NOT NULL) AS fill) AS {_WINDOW}) AS found",
+        f"CAST(struct(q_pos, nth, form, start, end, filter({fill}, x -> x.q IS NOT NULL) AS fill) AS {_WINDOW}) AS found",
     )
     # along one alignment a window stands once, so a group is no longer than its question
     aligned = pairs.groupBy("doc_id", "item_id", "n_rich", "n_all", "shift").agg(F.collect_set("found").alias("found"))
     covered = aligned.drop("shift").mapInArrow(_check, _HELD)
     # windows of one question next to each other, a few words more or less, count together
     windows_held = covered.groupBy("doc_id", "item_id", "n_rich", "n_all", "q_pos").agg(
-        F.max("by_template").alias("by_template"),
+        F.max("by_template").alias("by_template"), F.max("in_run").alias("in_run"),
         *(F.expr(f"{f}({c}) {w} AS {p}{c}") for p, w in (("", ""), ("t_", "FILTER (WHERE by_template)"))
           for f, c in (("min", "start"), ("max", "end"), ("max", "verbatim"))),
     )
     held = windows_held.groupBy("doc_id", "item_id", "n_rich", "n_all").agg(
-        F.count("*").alias("n"), F.count_if("by_template").alias("t_n"),
+        F.count("*").alias("n"), F.count_if("by_template").alias("t_n"), F.max("in_run").alias("in_run"),
         *(F.expr(f"{f}({p}{c}) AS {p}{c}") for p in ("", "t_") for f, c in (("min", "start"), ("max", "end"), ("min", "verbatim"))),
     )
     by_template = f"(t_n > 0 AND t_n >= {min_cover} * n_rich)"
-    return held.filter(f"{by_template} OR n >= {min_cover} * n_all").selectExpr(
+    return held.filter(f"{by_template} OR n >= {min_cover} * n_all OR in_run").selectExpr(
         "doc_id", "item_id", f"IF({by_template}, t_n / n_rich, n / n_all) AS cover",
         *(f"IF({by_template}, t_{c}, {c}) AS {c}" for c in ("verbatim", "start", "end")),
     )

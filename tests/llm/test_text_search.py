@@ -154,7 +154,7 @@ def test_leaks_with_fillers_that_coincide_or_change_once(spark):
 
 def test_majority_of_the_mentions():
     def window(at, q, d):
-        return {"q_pos": at, "form": 0, "start": at, "end": at + 1, "fill": [{"at": at, "q": q, "d": d}]}
+        return {"q_pos": at, "nth": at, "form": 0, "start": at, "end": at + 1, "fill": [{"at": at, "q": q, "d": d}]}
 
     def kept(*fills):
         return [(p, t) for p, t, *_ in decontam.consistent([window(k, *f) for k, f in enumerate(fills)])]
@@ -162,3 +162,16 @@ def test_majority_of_the_mentions():
     assert kept(("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")) == [(0, True), (1, True), (3, True)]
     assert kept(("a", "x"), ("a", "a"), ("b", "b")) == [(1, True), (2, True)]
     assert kept(("a", "x"), ("a", "y"), ("b", "b")) == [(2, False)]
+
+
+def test_leaks_of_short_questions_and_of_long_stretches(spark):
+    long = " ".join(w for w in prose(11, 200).replace(".", "").split())
+    renamed = "when Anna and Berta went to see the old mill near Ulm with Carla they found nobody there but a dog of 7 years that barked " + long
+    benchmark = spark.createDataFrame([(1, "What is 12 + 45?"), (2, long), (3, renamed)], "item_id long, text string")
+    words = long.split()
+    texts = [
+        (1, "so tell me: what is 12 + 45? I do not know"), (2, "so tell me: what is 12 + 46?"), (3, "zz " + " ".join(words[50:63]) + " zz"),
+        (4, "zz " + " ".join(words[50:62]) + " zz"), (5, "zz when Dora and Emma went to see the old mill near Bonn with Frida they found nobody there but a dog of 9 years that barked zz"),
+    ]
+    rows = {(r.doc_id, r.item_id) for r in decontam.leaks(documents(spark, texts), benchmark).collect()}
+    assert rows == {(1, 1), (3, 2), (3, 3), (5, 3)}
