@@ -1,8 +1,11 @@
-"""Repeated passages: lines, and sentences inside long lines, that stood in an earlier place already.
+"""Repeated passages: lines, sentences inside long lines, and windows that stood in an earlier place already.
 
 A text is cut at line ends and, within a line, at the first sentence end behind at least
-``MIN_WORDS`` words; a unit of fewer words is never matched. Units are compared in lower case with
-single spaces. Of equal units the one with the smallest doc_id, then the first place, stays; the
+``MIN_WORDS`` words; a unit of fewer words is never matched. Windows of ``WINDOW`` words are units as
+well, whatever lines they cross: of each ``WINDOW`` neighbouring ones that with the smallest hash. So
+two texts that share a stretch take the same windows from it wherever it stands: of 2 * ``WINDOW`` - 1
+shared words on, all but fewer than ``WINDOW`` words at either end lie in equal units. A unit that
+overlaps an equal one of its own text is left out. Units are compared in lower case with single spaces. Of equal units the one with the smallest doc_id, then the first place, stays; the
 others are removed, with their places in the original text (code points, end exclusive).
 
 Documents without a doc_id rank last. Rows that repeat a doc_id and text are one document. Missing
@@ -14,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,14 +25,16 @@ from pyspark.sql import functions as F
 
 from brightloom.session import cut_lineage, fresh_path
 
-MIN_WORDS = 8
+MIN_WORDS, WINDOW = 8, 16
 _LINE = re.compile(r"[^\n\r]+")
+_WORD = re.compile(r"\S+")
 _SENTENCE_END = re.compile(r"[.!?…]+(?=\s|$)")
 _UNITS = "doc_id long, d1 long, d2 long, start int, end int"
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW + 1)], dtype=np.uint64)
 
 
-def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int]]:
-    """Places of the units that have enough words."""
+def sentences(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int]]:
+    """Places of the lines, and of the sentences of long lines, that have enough words."""
     for line in _LINE.finditer(text or ""):
         start, stop = line.span()
         while start < stop:
@@ -47,6 +53,40 @@ def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, i
             start = end
 
 
+def windows(text: str | None) -> list[tuple[int, int]]:
+    """Places of the windows with the smallest hash among ``WINDOW`` neighbours."""
+    words = text.lower().split() if text else []
+    n = len(words) - WINDOW + 1
+    if n < WINDOW:
+        return []
+    code = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+    codes = np.fromiter(map(code.__getitem__, words), np.uint64, len(words))
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(WINDOW):
+        h += codes[k : k + n] * _POWERS[k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1)
+    spans = [m.span() for m in _WORD.finditer(text)]
+    return [(spans[p][0], spans[p + WINDOW - 1][1]) for p in np.unique(least + np.arange(len(least))).tolist()]
+
+
+def digested(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, tuple[int, int]]]:
+    """Places and digests of all units, from left to right; of equal ones that overlap the first."""
+    free: dict[tuple[int, int], int] = {}
+    for a, z in sorted({*sentences(text, min_words), *windows(text)}):
+        d = digest(text[a:z])
+        if free.get(d, 0) <= a:
+            free[d] = z
+            yield a, z, d
+
+
+def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int]]:
+    """Places of the units."""
+    return ((a, z) for a, z, _ in digested(text, min_words))
+
+
 def digest(unit: str) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(" ".join(unit.lower().split()))
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
@@ -59,7 +99,7 @@ def find_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(doc_id, *digest(text[a:z]), a, z) for a, z in units(text, min_words)]
+                rows += [(doc_id, *d, a, z) for a, z, d in digested(text, min_words)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
@@ -71,8 +111,8 @@ def find_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return docs.sparkSession.read.schema(_UNITS).parquet(path)
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start and end of every unit to remove, with the place that stays: kept_doc_id, kept_start, kept_end."""
+def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
+    """Every unit that stood in an earlier place, with its digest and that place, ``kept``."""
     found = find_units(docs, min_words)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end")
     # a range tells cheaply whether a unit has more than one place, however many it has; stored, so that
@@ -83,9 +123,51 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .filter("kept <> _other")
         .select("d1", "d2", F.expr("struct(kept.doc_id, kept.start, kept.end) AS kept"))
     )
+    return found.join(groups, ["d1", "d2"]).filter("NOT (doc_id <=> kept.doc_id AND start = kept.start)")
+
+
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, start and end of every unit to remove, with the place that stays: kept_doc_id, kept_start, kept_end."""
     return (
-        found.join(groups, ["d1", "d2"])
-        .filter("NOT (doc_id <=> kept.doc_id AND start = kept.start)")
+        _repeats(docs, min_words)
         .selectExpr("doc_id", "start", "end", "kept.doc_id AS kept_doc_id", "kept.start AS kept_start", "kept.end AS kept_end")
         .distinct()
     )
+
+
+def remove(text: str, places: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, z in sorted(places):
+        if z > at:
+            out.append(text[at : max(at, a)])
+            at = z
+    return "".join([*out, text[at:]])
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the units to remove; ``n_chars``, if there, follows the new text.
+
+    A place is cut only where the text has the unit's digest, as several texts can share a doc_id or have none.
+    """
+    unit = F.struct("start", "end", "d1", "d2")
+    found = _repeats(docs, min_words).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(unit).alias("__units"))
+    names, at = docs.columns, docs.columns.index("text")
+    joined = docs.join(found, F.expr("CAST(doc_id AS BIGINT) <=> __doc"), "left").select(*[docs[c] for c in names], "__units")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old, marked = b.column(at).to_pylist(), b.column(len(names)).to_pylist()
+            places = [
+                [(u["start"], u["end"]) for u in x or [] if t and digest(t[u["start"] : u["end"]]) == (u["d1"], u["d2"])]
+                for t, x in zip(old, marked, strict=True)
+            ]
+            texts = [remove(t, x) if x else t for t, x in zip(old, places, strict=True)]
+            columns = [b.column(i) for i in range(len(names))]
+            columns[at] = pa.array(texts, b.schema.field(at).type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                n = [len(t) if x else c for t, x, c in zip(texts, places, columns[k].to_pylist(), strict=True)]
+                columns[k] = pa.array(n, b.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(cut, docs.schema)

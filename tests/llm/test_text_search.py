@@ -175,3 +175,28 @@ def test_leaks_of_short_questions_and_of_long_stretches(spark):
     ]
     rows = {(r.doc_id, r.item_id) for r in decontam.leaks(documents(spark, texts), benchmark).collect()}
     assert rows == {(1, 1), (3, 2), (3, 3), (5, 3)}
+
+
+def test_repeated_stretches_inside_long_lines(spark):
+    shared = prose(90, 50).replace(".", "")
+    texts = [(i, f"{prose(i, 30 + i).replace('.', '')} {shared if i % 2 else shared.title()} {prose(60 + i, 40).replace('.', '')}") for i in range(6)]
+    texts += [(10, prose(200, 20) + " " + shared.replace(" ", "\n")), (11, "la " * 100), *EDGE]
+    rows = passages.repeated_units(documents(spark, texts)).collect()
+    assert {tuple(r) for r in rows} == plain_repeats(texts)
+    earlier = set()
+    for i, t in sorted((x for x in texts if x[0] is not None), key=lambda x: x[0]):
+        spans = [m.span() for m in re.finditer(r"\S+", t or "")]
+        words = (t or "").lower().split()
+        covered = [any(r.start <= a and z <= r.end for r in rows if r.doc_id == i) for a, z in spans]
+        runs = [k for k in range(len(words) - 49) if tuple(words[k : k + 50]) in earlier]
+        assert len(runs) >= (i in {*range(1, 6), 10})
+        for k in runs:
+            assert all(covered[k + 15 : k + 35])
+        earlier |= {tuple(words[k : k + 50]) for k in range(len(words) - 49)}
+    out = passages.without_repeats(documents(spark, texts))
+    assert out.columns == documents(spark, texts).columns
+    left = {r.doc_id: r for r in out.collect()}
+    middle = " ".join(shared.split()[15:35])
+    assert left[0].text == texts[0][1] and left[100].text is None and left[None].text == dict(EDGE)[None]
+    assert all(middle not in " ".join(left[i].text.lower().split()) and left[i].n_chars == len(left[i].text) for i in (1, 2, 3, 4, 5, 10))
+    assert left[1].text.startswith(prose(1, 31).replace(".", "")) and left[11].text.startswith("la " * 16)
