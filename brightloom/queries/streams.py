@@ -51,7 +51,7 @@ view("ticket_best", "ticket_candidates", f"""SELECT * FROM (SELECT *, row_number
     42 AS n_fields, b.technician_id IS NOT NULL AS explained FROM tickets t LEFT JOIN ticket_best b ON t.dispatch_id = b.dispatch_id"""),
 )
 def stream_ticket_intake(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.read.parquet(intake_run(spark, sf).tickets)
+    rows = intake_run(spark, sf).current(spark)
     return rows.selectExpr(
         "Dispatch_id AS dispatch_id", "Optimized_technician_id AS optimized_technician_id", "Optimization_constraint_status AS constraint_status",
         "Optimized_score AS final_score", "Optimization_status AS optimization_status", "All_constraints_met AS all_constraints_met",

@@ -60,11 +60,22 @@ class Intake:
     def rejects(self) -> str:
         return f"{self.path}/rejects"
 
+    @property
+    def ids(self) -> str:
+        return f"{self.path}/ids"
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        """One row per dispatch: its state after the last batch that had its ticket."""
+        rows = spark.read.parquet(self.tickets)
+        last = rows.groupBy(F.col("Dispatch_id").alias("_id")).agg(F.max("batch").alias("_batch"))
+        return rows.join(last, F.expr("Dispatch_id = _id AND batch = _batch")).drop("_id", "_batch")
+
     def run_batch(self, raw: DataFrame, batch_id: int) -> None:
         """Validate, number, match, explain and write one batch.
 
-        Ids follow the highest id of *earlier* batches and each batch owns one folder per sink,
-        so a repeated batch gives the same rows in the same place.
+        A ticket_key of an earlier batch keeps its id and gets a new state, see ``current``. Other ids
+        follow the highest id of *earlier* batches, and each batch owns one folder per sink, so a
+        repeated batch gives the same rows in the same place.
         """
         spark = raw.sparkSession
         checked = cut_lineage(tickets.with_errors(raw))
@@ -78,9 +89,14 @@ class Intake:
         valid = marked.filter("size(errors) = 0").drop("errors")
         if batch_id == 0:
             taken = spark.createDataFrame([], "Dispatch_id long")
+            known = valid.limit(0).selectExpr("ticket_key AS _key", "CAST(NULL AS BIGINT) AS _id")
         else:
             taken = spark.read.parquet(self.tickets).filter(F.col("batch") < batch_id)
-        numbered = ranking.next_ids(valid, taken, "Dispatch_id", "ticket_key", C.FIRST_FREE_ID)
+            known = spark.read.parquet(self.ids).filter(F.col("batch") < batch_id).selectExpr("ticket_key AS _key", "Dispatch_id AS _id")
+        met = cut_lineage(valid.join(known, F.col("ticket_key") == F.col("_key"), "left").drop("_key"))
+        new = cut_lineage(ranking.next_ids(met.filter("_id IS NULL").drop("_id"), taken, "Dispatch_id", "ticket_key", C.FIRST_FREE_ID))
+        tables.write_batch(new.selectExpr("ticket_key", "new_id AS Dispatch_id"), self.ids, batch_id)
+        numbered = new.unionByName(met.filter("_id IS NOT NULL").withColumnRenamed("_id", "new_id"))
         typed = cut_lineage(tickets.typed_tickets(numbered, "new_id"))
         tables.write_batch(self._finished(typed), self.tickets, batch_id)
 

@@ -113,3 +113,17 @@ def test_stream_in_two_batches_and_again(spark):
 
 def test_raw_tickets_cover_all_orders(spark, sf_dir):
     assert raw_tickets(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def test_a_known_ticket_is_updated(spark):
+    run = intake(spark, fresh_path(spark, "out"))
+    run.run_batch(spark.createDataFrame([ticket(1), ticket(2)], RAW), 0)
+    second = [ticket(1, required_skill="B"), ticket(3), ticket(2, city="Y"), ticket(2, city="Z"), ticket(1, city="")]
+    for _ in range(2):
+        run.run_batch(spark.createDataFrame(second, RAW), 1)
+        rows = {r.Dispatch_id: r for r in run.current(spark).collect()}
+        assert run.current(spark).count() == 3 and sorted(rows) == [200_000_001, 200_000_002, 200_000_003]
+        assert rows[200_000_001].Required_skill == "B" and rows[200_000_001].Optimized_technician_id == "1"
+        assert rows[200_000_002].City == "Y" and [rows[200_000_000 + k].batch for k in (1, 2, 3)] == [1, 1, 1]
+        rejected = {(r.ticket_key, *r.errors) for r in spark.read.parquet(run.rejects).collect()}
+        assert rejected == {(1, "City is required"), (2, "another ticket of the batch has this key")}
