@@ -238,6 +238,10 @@ def set_stack_classes(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
+# folder names of the three classes
+CLASSES = ("bogus", "real", "platypus")
+
+
 @query(
     "src_labeled_files",
     """SELECT CASE WHEN label < 3 THEN 0 WHEN label < 7 THEN 1 ELSE 2 END AS label, count(*) AS n, round(sum(list_sum(embedding)), 2) AS total
