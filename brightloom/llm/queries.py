@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import ann, decontam, ngram_join, packing, passages, pii, quality, repair, toxicity, warc
+from brightloom.llm import ann, centroids, decontam, ngram_join, packing, passages, pii, quality, repair, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,32 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
 @query("op1_kmeans_tree")
 def op1(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest(table(spark, d, "embeddings"))
+
+
+def _centroid_rounds(k: int = 8, rounds: int = 10) -> str:
+    """The rounds of ``op13`` one after the other, as plain distances over all components."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, e FROM (
+      SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v ORDER BY h LIMIT {k}) z)"""
+    ]
+    for r in range(rounds + 1):
+        # distance and number in one integer, so that its minimum also settles ties
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(v.e) AS e, min({k} * CAST(list_sum(list_transform(list_zip(v.e, c.e),
+      lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) + c.c) AS m FROM v, c{r} c GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS MATERIALIZED (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM (
+      SELECT m % {k} AS c, i, sum(x) AS s, count(*) AS n FROM (
+        SELECT m, unnest(e) AS x, unnest(range(64)) AS i FROM a{r}) u GROUP BY 1, 2) g GROUP BY c),
+    c{r + 1} AS MATERIALIZED (SELECT c.c, CAST(coalesce(m.e, c.e) AS BIGINT[]) AS e FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c)""")
+    body = ",\n    ".join(steps)
+    return f"""WITH {body}
+    SELECT vec_id, CAST(m % {k} AS INT) AS cluster, m // {k} AS distance, CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+      CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} c ON c.c = m % {k}"""
+
+
+@query("op13_walsh_centroids", _centroid_rounds())
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.cluster(table(spark, d, "embeddings"))
