@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import ann, centroids, decontam, ngram_join, packing, passages, pii, quality, repair, toxicity, warc
+from brightloom.llm import ann, centroids, decontam, ngram_join, packing, passages, pii, quality, repair, spelling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +120,48 @@ def _centroid_rounds(k: int = 8, rounds: int = 10) -> str:
 @query("op13_walsh_centroids", _centroid_rounds())
 def op13(spark: SparkSession, d: str) -> DataFrame:
     return centroids.cluster(table(spark, d, "embeddings"))
+
+
+@query(
+    "op12_spelling_tiles",
+    r"""
+    WITH RECURSIVE bits AS MATERIALIZED (
+      SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], CAST(range(8) AS BIGINT[])),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+    ), runs AS MATERIALIZED (
+      SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) x GROUP BY 1, 2
+    ), hexed AS MATERIALIZED (
+      SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs WHERE length(run) >= 6
+    ), hashed AS MATERIALIZED (
+      SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2),
+        lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+        lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) + 1 AS INT)]))) AS h
+      FROM hexed, bits
+    ), words AS MATERIALIZED (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed) g
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), holes AS MATERIALIZED (
+      SELECT word, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, unnest(range(length(word))) AS i FROM words) u
+    ), near AS MATERIALIZED (
+      SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+      UNION SELECT h.word, w.word FROM holes h JOIN words w ON w.word = h.head || h.tail
+      UNION SELECT w.word, h.word FROM holes h JOIN words w ON w.word = h.head || h.tail
+    ), ranked AS (
+      SELECT near.word, other, o.n AS other_n, w.n, count(*) OVER (PARTITION BY near.word) AS n_near,
+        row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS rn
+      FROM near JOIN words w ON w.word = near.word JOIN words o ON o.word = other
+    ), forms AS MATERIALIZED (
+      SELECT word, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+      FROM ranked WHERE rn = 1
+    ), chain AS (
+      SELECT word, form AS goal, 1 AS d FROM forms WHERE form IS NOT NULL
+      UNION ALL SELECT c.word, f.form, d + 1 FROM chain c JOIN forms f ON f.word = c.goal WHERE f.form IS NOT NULL
+    ), roots AS (SELECT word, arg_max(goal, d) AS root FROM chain GROUP BY word)
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, w.word) AS root
+    FROM words w LEFT JOIN forms f ON f.word = w.word LEFT JOIN roots r ON r.word = w.word
+    """,
+)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, d, "documents"))
