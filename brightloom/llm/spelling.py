@@ -174,7 +174,9 @@ def near_words(words: DataFrame) -> DataFrame:
     blocks = done[0]
     for more in done[1:]:
         blocks = blocks.unionByName(more)
-    in_order = blocks.select("_key", "m", "a", "b", "word", "n").repartition("_key").sortWithinPartitions("_key")
+    # a number, so that few bytes with much work behind them are not put into a few tasks
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = blocks.select("_key", "m", "a", "b", "word", "n").repartition(parts, "_key").sortWithinPartitions("_key")
     return in_order.mapInArrow(_tiles, "word string, n long, other string, other_n long")
 
 
