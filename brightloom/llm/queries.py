@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import ann, centroids, decontam, ngram_join, packing, passages, pii, quality, repair, spelling, toxicity, warc
+from brightloom.llm import ann, centroids, decontam, ngram_join, outliers, packing, passages, pii, quality, repair, spelling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +165,72 @@ def op13(spark: SparkSession, d: str) -> DataFrame:
 )
 def op12(spark: SparkSession, d: str) -> DataFrame:
     return spelling.group_spellings(table(spark, d, "documents"))
+
+
+def _layers_sql(source: str, layers: list[list[str]]) -> str:
+    for layer in layers:
+        source = f"(SELECT *, {', '.join(layer)} FROM {source} t)"
+    return source
+
+
+def _outlier_sql() -> str:
+    o = outliers
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    x, y = ", ".join(f"x{i}" for i in o.AXES), ", ".join(o.ELLIPSOID)
+    floors = "[" + ", ".join(o.num(o.STEPS * f) for f in o.FLOORS) + "]"
+    part, whole = o.SHARE
+    ctes = [
+        f"""texts AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w,
+      list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{word}')) AS lines FROM documents)""",
+        """grams AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (
+      SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM texts) u)""",
+        """repeats AS MATERIALIZED (SELECT doc_id, count(DISTINCT k) AS n FROM (
+      SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) c WHERE c > 1) z GROUP BY 1)""",
+        f"""stats AS MATERIALIZED (SELECT t.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '{space}', '', 'g')) AS word_chars,
+      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+      coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM texts t LEFT JOIN repeats r ON r.doc_id = t.doc_id)""",
+        f"""vectors AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {', '.join(o.vector_columns())} FROM stats)""",
+        "fit AS (SELECT * FROM vectors WHERE NOT base_failed)",
+        "by_source AS (SELECT lang, source, count(*) AS n FROM fit GROUP BY 1, 2)",
+        f"by_lang AS (SELECT lang, sum(n) AS n, bool_or(n < {o.MIN_GROUP}) AS any_source FROM by_source GROUP BY 1)",
+        f"by_all AS (SELECT sum(n) AS n, bool_or(n < {o.MIN_GROUP}) AS any_lang FROM by_lang)",
+        f"""judges AS MATERIALIZED (SELECT s.lang, s.source, s.n >= {o.MIN_GROUP} AS own, l.n >= {o.MIN_GROUP} AND any_source AS of_lang, a.n >= {o.MIN_GROUP} AND any_lang AS of_all,
+      CASE WHEN s.n >= {o.MIN_GROUP} THEN 's' || s.lang || '/' || s.source WHEN l.n >= {o.MIN_GROUP} THEN 'l' || s.lang WHEN a.n >= {o.MIN_GROUP} THEN 'a' END AS judge
+      FROM by_source s JOIN by_lang l ON l.lang = s.lang, by_all a)""",
+        f"""points AS MATERIALIZED (SELECT 's' || f.lang || '/' || f.source AS unit, {x} FROM fit f JOIN judges j ON j.lang = f.lang AND j.source = f.source WHERE own
+      UNION ALL SELECT 'l' || f.lang, {x} FROM fit f JOIN judges j ON j.lang = f.lang AND j.source = f.source WHERE of_lang
+      UNION ALL SELECT 'a', {x} FROM fit f JOIN judges j ON j.lang = f.lang AND j.source = f.source WHERE of_all)""",
+        "axes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT unit, {i} AS axis, x{i} AS v FROM points" for i in o.AXES) + ")",
+        "mid AS MATERIALIZED (SELECT unit, axis, quantile_disc(v, 0.5) AS m FROM axes GROUP BY 1, 2)",
+        f"""dev AS MATERIALIZED (SELECT a.unit, a.axis, any_value(CAST(m AS DOUBLE)) AS m, greatest({o.num(1.4826)} * quantile_disc(abs(v - m), 0.5), any_value({floors}[a.axis])) AS l
+      FROM axes a JOIN mid ON mid.unit = a.unit AND mid.axis = a.axis GROUP BY 1, 2)""",
+    ]
+    medians = ", ".join(f"max(CASE WHEN axis = {i} THEN m END) AS m{i}" for i in o.AXES)
+    factor = ", ".join(f"max(CASE WHEN axis = {i} THEN l END) AS l{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS l{i}{j}" for i, j in o.LOWER)
+    moments = ", ".join(o.moment_sums())
+    everything = _layers_sql(f"(SELECT unit, {moments} FROM points GROUP BY unit)", o.ellipsoid_layers(1.0))
+    ctes.append(f"""e0 AS MATERIALIZED (SELECT unit, 0 AS start, {medians}, {factor}, CAST(0 AS DOUBLE) AS logdet FROM dev GROUP BY unit
+      UNION ALL SELECT unit, 1, {y} FROM {everything} z)""")
+    for r in range(o.MAX_ROUNDS):
+        at = _layers_sql(f"(SELECT e.*, {x} FROM points p JOIN e{r} e ON e.unit = p.unit)", o.distance_layers())
+        ctes.append(f"d{r} AS MATERIALIZED (SELECT unit, start, {o.DISTANCE_CLASS} AS d, {x} FROM {at} z)")
+        picked = f"""(SELECT unit, start, d FROM (SELECT *, sum(c) OVER (PARTITION BY unit, start ORDER BY d) - c AS before, sum(c) OVER (PARTITION BY unit, start) AS total
+          FROM (SELECT unit, start, d, count(*) AS c FROM d{r} GROUP BY 1, 2, 3) g) h WHERE before * {whole} < total * {part})"""
+        near = f"(SELECT z.unit, z.start, {moments} FROM d{r} z JOIN {picked} k ON k.unit = z.unit AND k.start = z.start AND k.d = z.d GROUP BY 1, 2)"
+        ctes.append(f"e{r + 1} AS MATERIALIZED (SELECT unit, start, {y} FROM {_layers_sql(near, o.ellipsoid_layers(part / whole))} z)")
+    ctes.append(f"best AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY logdet, start) AS rn FROM e{o.MAX_ROUNDS}) z WHERE rn = 1)")
+    central = _layers_sql(f"(SELECT e.*, {x} FROM points p JOIN best e ON e.unit = p.unit)", o.distance_layers())
+    kept = f"(SELECT unit, {moments} FROM (SELECT unit, {x} FROM {central} z WHERE d2 <= {o.num(o.WITHIN)}) w GROUP BY unit)"
+    ctes.append(f"final AS MATERIALIZED (SELECT unit, {y} FROM {_layers_sql(kept, o.ellipsoid_layers(0.975))} z)")
+    body = ",\n    ".join(ctes)
+    verdict = _layers_sql(
+        """(SELECT v.*, f.* EXCLUDE (unit) FROM vectors v LEFT JOIN judges j ON j.lang = v.lang AND j.source = v.source LEFT JOIN final f ON f.unit = j.judge)""",
+        o.distance_layers(),
+    )
+    return f"""WITH {body}
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {o.num(o.CUT)}, TRUE) AS kept FROM {verdict} z"""
+
+
+@query("op11_mcd_outliers", _outlier_sql())
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return outliers.judged(table(spark, d, "documents"))
