@@ -48,8 +48,10 @@ class DispatchRules:
     hard_max_km: float = HARD_MAX_DISTANCE_KM
     date_floor: str = "1995-06-01"
     scorer: LinearScorer = field(default_factory=LinearScorer)
-    # Search radii, in km. Beyond the last one the whole pool is searched.
-    search_radii_km: tuple[float, ...] = (30.0, 120.0)
+    # Pools of up to this many technicians are searched whole.
+    small_pool: int = 256
+    # Search radii are powers of two, in km, from 1 to this one; beyond it the whole pool is searched.
+    widest_level: int = 10
     # A date with more dispatches than this is split over several join keys.
     rows_per_salt: int = 250_000
 

@@ -19,20 +19,23 @@ def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     )
 
 
-def _band_height(radius_km: float) -> float:
-    return radius_km / KM_PER_DEGREE * 1.000001
+def _band_height(radius_km: float | str) -> str:
+    if isinstance(radius_km, str):
+        return f"({radius_km} * {1.000001 / KM_PER_DEGREE}D)"
+    return f"{radius_km / KM_PER_DEGREE * 1.000001}D"
 
 
-def _band(lat: str, radius_km: float) -> str:
-    return f"CAST(floor(({lat} + 90) / {_band_height(radius_km)}D) AS INT)"
+def _band(lat: str, radius_km: float | str) -> str:
+    return f"CAST(floor(({lat} + 90) / {_band_height(radius_km)}) AS INT)"
 
 
-def _cells_in_band(band: str, radius_km: float) -> str:
+def _cells_in_band(band: str, radius_km: float | str) -> str:
     """Longitude cells in a band, each at least as wide as the radius spans anywhere near it."""
     h = _band_height(radius_km)
-    edge = f"greatest(abs(({band} - 1) * {h}D - 90), abs(({band} + 2) * {h}D - 90))"
-    sine = math.sin(radius_km / (2 * EARTH_RADIUS_KM))
-    width = f"degrees(2 * asin(least(1D, {sine}D / cos(radians(least({edge}, 89.9D))))))"
+    edge = f"greatest(abs(({band} - 1) * {h} - 90), abs(({band} + 2) * {h} - 90))"
+    half = 2 * EARTH_RADIUS_KM
+    sine = f"sin({radius_km} / {half}D)" if isinstance(radius_km, str) else f"{math.sin(radius_km / half)}D"
+    width = f"degrees(2 * asin(least(1D, {sine} / cos(radians(least({edge}, 89.9D))))))"
     return f"CASE WHEN {edge} >= 89.9D THEN 1 ELSE CAST(greatest(1, floor(360 / {width})) AS INT) END"
 
 
@@ -40,14 +43,14 @@ def _cell(lon: str, cells: str) -> str:
     return f"least({cells} - 1, CAST(floor(pmod({lon} + 180, 360D) / 360 * {cells}) AS INT))"
 
 
-def grid_cell(lat: str, lon: str, radius_km: float) -> str:
-    """The one cell ``(band, cell)`` that holds the point; NULL without coordinates."""
+def grid_cell(lat: str, lon: str, radius_km: float | str) -> str:
+    """The one cell ``(band, cell)`` that holds the point; NULL without coordinates. The radius may be a column."""
     band = _band(lat, radius_km)
     cell = _cell(lon, _cells_in_band(band, radius_km))
     return f"CASE WHEN {lat} IS NOT NULL AND {lon} IS NOT NULL THEN named_struct('band', {band}, 'cell', {cell}) END"
 
 
-def explode_reach(df: DataFrame, lat: str, lon: str, radius_km: float, band: str = "band", cell: str = "cell") -> DataFrame:
+def explode_reach(df: DataFrame, lat: str, lon: str, radius_km: float | str, band: str = "band", cell: str = "cell") -> DataFrame:
     """Each row once per distinct cell that can hold a point within ``radius_km``, across the date line too.
 
     Plain arithmetic in three projections, so it stays inside code generation. Rows without

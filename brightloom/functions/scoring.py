@@ -64,6 +64,13 @@ def least_travel_cost(km: float) -> float:
     return C.TRAVEL_BASE_COST * km + C.TRAVEL_PENALTY_MULTIPLIER * max(0.0, km - C.TRAVEL_PENALTY_THRESHOLD_KM)
 
 
+def reach_of(cost: str) -> str:
+    """The distance in km beyond which travel alone costs more than ``cost``."""
+    base, steep = C.TRAVEL_BASE_COST, C.TRAVEL_BASE_COST + C.TRAVEL_PENALTY_MULTIPLIER
+    bend, knee = C.TRAVEL_PENALTY_THRESHOLD_KM, C.TRAVEL_BASE_COST * C.TRAVEL_PENALTY_THRESHOLD_KM
+    return f"CASE WHEN {cost} <= {knee}D THEN greatest(0D, {cost} / {base}D) ELSE {bend}D + ({cost} - {knee}D) / {steep}D END"
+
+
 def workload_cost(u: str = "utilization") -> str:
     return (
         f"CASE WHEN {u} < {C.UNDERUTIL_THRESHOLD}D THEN {C.UNDERUTIL_PENALTY}D * ({C.UNDERUTIL_THRESHOLD}D - {u}) "
@@ -102,6 +109,8 @@ def linear_scorer(coefficients: C.LinearScorer = C.LinearScorer()) -> Scorer:
             "*", f"{p(coefficients.productive)} AS p_productive", f"{p(coefficients.first_time_fix)} AS p_ftf"
         )
 
+    # skill, city, distance and utilization decide, a match never harms and distance never helps
+    score.by_profile = all(w[1] >= 0 and w[2] >= 0 and w[3] <= 0 for w in (coefficients.productive, coefficients.first_time_fix))
     return score
 
 
@@ -150,6 +159,20 @@ def with_costs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def profile_cost(technicians: DataFrame, scorer: Scorer, name: str, skill_match: int = 1, city_match: int = 1, km: float = 0.0) -> DataFrame:
+    """Add ``name``: what each technician costs besides travel and duration, for a job with these matches and distance.
+
+    With the defaults no job costs less, if the scorer decides by profile; success counts as
+    certain for any other scorer.
+    """
+    columns = technicians.columns
+    if not getattr(scorer, "by_profile", False):
+        return add(add(technicians, {"utilization": UTILIZATION}), {name: workload_cost()}).select(*columns, name)
+    given = add(technicians, {"skill_match": str(skill_match), "city": "tech_city" if city_match else "CAST(NULL AS STRING)", "distance_km": f"{km}D"})
+    scored = add(default_scores(scorer(given)), {"utilization": UTILIZATION, "quality_score": QUALITY_SCORE})
+    return add(scored, {name: f"{workload_cost()} + {RISK_COST}"}).select(*columns, name)
+
+
 def score_pairs(pairs: DataFrame, scorer: Scorer, hard_max_km: float = C.HARD_MAX_DISTANCE_KM) -> DataFrame:
     """Flags, level, probabilities, costs and scores of each pair row."""
     return with_costs(default_scores(scorer(with_levels(with_constraint_flags(pairs, hard_max_km)))))

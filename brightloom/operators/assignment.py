@@ -6,9 +6,8 @@ operator here lists those pairs:
 * how many candidates a dispatch has at each constraint level follows from counts per
   (date, skill) plus a radius join among the eligible technicians;
 * a dispatch's best level fixes the one pool of technicians its winner comes from;
-* inside the pool a grid search stops as soon as no farther technician can win, because
-  travel cost alone bounds the score. What is still open after the last radius is searched
-  over its whole pool, so the result is exact.
+* inside the pool a few probes per dispatch bound the winner's cost, and with it how far away the
+  winner can be; then only the cells within that distance are searched. The result is exact.
 """
 
 from __future__ import annotations
@@ -170,60 +169,138 @@ _POOL_NAME = f"""CASE WHEN n_eligible > 0 THEN concat_ws('|', required_skill, 'e
   WHEN n_full > 0 THEN concat_ws('|', required_skill, 'full')
   WHEN n_day > 0 THEN '{ANY}' END"""
 
+_RADIUS = "pow(2D, level)"
+
+
+def _best_of(costs: DataFrame, k: int) -> DataFrame:
+    """(dispatch_id, best): the ``k`` smallest ``e`` of each dispatch, in order."""
+    if k == 1:
+        # combines on the map side: one narrow row per dispatch and task is shuffled
+        return costs.groupBy("dispatch_id").agg(F.expr("array(min(e)) AS best"))
+    # row_number with a filter sorts and cuts to k before the shuffle, then again after it
+    first = costs.selectExpr("*", "row_number() OVER (PARTITION BY dispatch_id ORDER BY e) AS rn").filter(f"rn <= {k}")
+    return first.groupBy("dispatch_id").agg(F.expr("sort_array(collect_list(e)) AS best"))
+
+
+def _costs(met: DataFrame, scorer: Scorer, rules: C.DispatchRules, by_level: bool) -> DataFrame:
+    far = "1 - distance_ok" if by_level else "0"
+    return scoring.score_pairs(met, scorer, rules.hard_max_km).selectExpr(
+        "dispatch_id",
+        f"""named_struct('far', {far}, 'cost', coalesce(round(-final_score, 6), double('Infinity')),
+            'technician_id', technician_id) AS e""",  # an unknown cost ranks last
+    )
+
+
+def _meet(probe: DataFrame, side: DataFrame, *keys: str) -> DataFrame:
+    """Pairs of dispatches and technicians of one pool that agree on ``keys`` as well."""
+    keys = ("pool", "salt", *keys)
+    probe = probe.withColumnsRenamed({c: f"p_{c}" for c in keys}).withColumnRenamed("appointment_date", "p_date")
+    on = " AND ".join(["p_date = date", *[f"p_{c} = {c}" for c in keys]])
+    met = probe.join(side, F.expr(on)).withColumn("appointment_date", F.col("p_date"))
+    return met.drop("p_date", *[f"p_{c}" for c in keys], *keys)
+
+
+def _top(rows: DataFrame, k: int, order: str, *keys: str) -> DataFrame:
+    by = ", ".join(("date", "pool", "salt", *keys))
+    return rows.selectExpr("*", f"row_number() OVER (PARTITION BY {by} ORDER BY {order}, technician_id) AS rn").filter(f"rn <= {k}").drop("rn")
+
+
+def _without_place(opened: DataFrame, pool: DataFrame, scorer: Scorer, k: int) -> DataFrame:
+    """Pairs that hold the ``k`` best of every dispatch that lacks a coordinate.
+
+    Its distance is the same fixed or unknown one for all technicians (who lack a place or do not),
+    so costs differ by skill match, city match and utilization alone. Who is among the best is among
+    the best of those with the skill and the city, with either, or of all at no match; or, where the
+    cost is unknown, has one of the smallest ids.
+    """
+    classes = []
+    for skill in (1, 0):
+        for city in (1, 0):
+            keyed = scoring.profile_cost(pool, scorer, "own", skill, city, -1.0).selectExpr(
+                "*", "latitude IS NULL AS no_place", f"{'primary_skill' if skill else 'CAST(NULL AS STRING)'} AS k_skill",
+                f"{'tech_city' if city else 'CAST(NULL AS STRING)'} AS k_city", f"{2 * skill + city} AS class",
+            )
+            classes.append(_top(keyed, k, "own", "k_skill", "k_city", "no_place").drop("own", "no_place"))
+    by_id = _top(pool.filter("latitude IS NOT NULL"), k, "0").selectExpr(
+        "*", "CAST(NULL AS STRING) AS k_skill", "CAST(NULL AS STRING) AS k_city", "4 AS class"
+    )
+    side = reduce(DataFrame.unionByName, [*classes, by_id])
+    side = side.withColumnsRenamed({"k_skill": "t_skill", "k_city": "t_city"})
+    asked = opened.selectExpr("*", "explode(sequence(0, 4)) AS class").selectExpr(
+        "*", "CASE WHEN class IN (2, 3) THEN required_skill END AS k_skill", "CASE WHEN class IN (1, 3) THEN city END AS k_city"
+    )
+    met = _meet(asked, side, "class").filter("k_skill <=> t_skill AND k_city <=> t_city").drop("k_skill", "k_city", "t_skill", "t_city")
+    # a technician may be among the best of several classes
+    return met.dropDuplicates(["dispatch_id", "technician_id"])
+
+
+def searched_pairs(
+    wanted: DataFrame, pool: DataFrame, scorer: Scorer, rules: C.DispatchRules, k: int, by_level: bool
+) -> tuple[DataFrame | None, DataFrame]:
+    """The pairs that are scored: probes (None if no pool is large), and pairs that hold the ``k`` best of every dispatch.
+
+    A pool of at most ``small_pool`` technicians is searched whole. In a larger one a dispatch is first
+    scored against the ``k`` technicians that cost least besides travel in its own cell of every
+    third radius, and in the pool. The k-th cost found, less what any technician of the pool
+    costs besides travel, says how far a better one can be, so a second look takes the cells of the
+    smallest radius that covers it: near where technicians are dense, wide where they are sparse.
+    Dispatches without a place meet summaries by skill and city.
+    """
+    keys = ["date", "pool", "salt"]
+    asked = small_side(wanted.selectExpr("appointment_date AS date", "pool", "salt").distinct())
+    pool = pool.join(asked, keys, "left_semi")
+    priced = scoring.profile_cost(pool, scorer, "spot")
+    facts = small_side(priced.groupBy(*keys).agg(F.expr("count(*) AS n_pool"), F.expr("min(spot) AS floor")))
+    rated = wanted.join(facts.withColumnsRenamed({"date": "f_date", "pool": "f_pool", "salt": "f_salt"}), F.expr(
+        "appointment_date = f_date AND pool = f_pool AND salt = f_salt"
+    )).drop("f_date", "f_pool", "f_salt")
+    small = f"n_pool <= {max(rules.small_pool, k)}"
+    if facts.filter(f"NOT ({small})").isEmpty():
+        return None, _meet(wanted, pool)
+    rated = cut_lineage(rated)
+    large = priced.join(facts.filter(f"NOT ({small})").select(*keys), keys, "left_semi")
+    placed = "customer_latitude IS NOT NULL AND customer_longitude IS NOT NULL"
+    opened = rated.filter(f"NOT ({small}) AND {placed}")
+    levels = ", ".join(str(x) for x in range(2, rules.widest_level + 1, 3))
+    cell = lambda lat, lon: f"inline(array(CASE WHEN level < 0 THEN named_struct('band', 0, 'cell', 0) ELSE {grid_cell(lat, lon, _RADIUS)} END))"
+    cells = large.selectExpr("*", f"explode(array(-1, {levels})) AS level").selectExpr("*", cell("latitude", "longitude"))
+    best_in_cell = _top(cells.filter("cell IS NOT NULL"), k, "spot", "level", "band", "cell").drop("spot")
+    own = opened.selectExpr("*", f"explode(array(-1, {levels})) AS level").selectExpr("*", cell("customer_latitude", "customer_longitude"))
+    probes = _meet(own, best_in_cell, "level", "band", "cell")
+    # a technician may be met on several levels; there are a few per level
+    found = _costs(probes, scorer, rules, by_level).groupBy("dispatch_id").agg(F.expr(f"try_element_at(sort_array(collect_set(e)), {k}) AS kth"))
+    slack = f"((kth.cost + 1e-3D) / ({scoring.priority_weight()}) - ({scoring.duration_cost()}) - floor)"
+    near = f"CASE WHEN kth.far = 0 THEN least(reach, {rules.hard_max_km}D) ELSE greatest(reach, {rules.hard_max_km}D) END" if by_level else "reach"
+    reached = opened.join(found, "dispatch_id", "left").selectExpr(
+        "*", f"CASE WHEN kth IS NULL THEN double('Infinity') ELSE {scoring.reach_of(slack)} END AS reach"
+    ).selectExpr("*", f"{near} AS km").selectExpr(
+        *rated.columns, f"CASE WHEN km <= {2.0**rules.widest_level}D THEN CAST(greatest(0, ceil(log2(greatest(km, 1e-9D)))) AS INT) END AS level"
+    )
+    reached = cut_lineage(reached)
+    used = small_side(reached.filter("level IS NOT NULL").selectExpr("appointment_date AS date", "pool", "salt", "level").distinct())
+    side = pool.join(used, keys).selectExpr("*", f"inline(array({grid_cell('latitude', 'longitude', _RADIUS)}))")
+    around = explode_reach(reached.filter("level IS NOT NULL"), "customer_latitude", "customer_longitude", _RADIUS)
+    parts = [_meet(around, side, "level", "band", "cell")]
+    unplaced = rated.filter(f"NOT ({small}) AND NOT ({placed})")
+    whole = rated.filter(small).unionByName(reached.filter("level IS NULL").drop("level"))
+    if getattr(scorer, "by_profile", False):
+        parts.append(_without_place(unplaced, large.drop("spot"), scorer, k))
+    else:
+        whole = whole.unionByName(unplaced)
+    parts.append(_meet(whole, pool))
+    return probes, reduce(DataFrame.unionByName, parts)
+
+
 def _search(
     wanted: DataFrame, pool: DataFrame, rows: DataFrame, scorer: Scorer, rules: C.DispatchRules, k: int, by_level: bool
 ) -> DataFrame:
     """The ``k`` best technicians of each row of ``wanted`` within its (date, pool), with scores.
 
-    The cells of a radius hold every technician within it, so what a round finds is complete up
-    to the radius, and travel cost bounds whatever lies beyond: a dispatch whose k-th best beats
-    that bound is settled. Only open dispatches enter the next, wider round. A round keeps ids
-    and costs; it is checkpointed, and the winners' columns are joined on once at the end.
+    The search keeps ids and costs; the winners' columns are joined on once at the end.
     """
-    opened, parts = wanted, []
-    for radius in (*rules.search_radii_km, None):
-        if radius is None:
-            probe = opened.selectExpr("*", "0 AS p_band", "0 AS p_cell")
-            side = pool.selectExpr("*", "0 AS band", "0 AS cell")
-            bound = "CAST(NULL AS DOUBLE)"
-        else:
-            probe = explode_reach(opened, "customer_latitude", "customer_longitude", radius, "p_band", "p_cell")
-            side = pool.selectExpr("*", f"inline(array({grid_cell('latitude', 'longitude', radius)}))")
-            bound = f"({scoring.least_travel_cost(radius)}D + {scoring.duration_cost()}) * ({scoring.priority_weight()})"
-        met = probe.withColumnsRenamed({"pool": "p_pool", "salt": "p_salt"}).join(
-            side, F.expr("appointment_date = date AND p_salt = salt AND p_pool = pool AND p_band = band AND p_cell = cell")
-        )
-        far = "1 - distance_ok" if by_level else "0"
-        costs = scoring.score_pairs(met, scorer, rules.hard_max_km).selectExpr(
-            "dispatch_id", f"{bound} AS bound",
-            f"""named_struct('far', {far}, 'cost', coalesce(round(-final_score, 6), double('Infinity')),
-                'technician_id', technician_id) AS e""",  # an unknown cost ranks last
-        )
-        if k == 1:
-            # combines on the map side: one narrow row per dispatch and task is shuffled
-            found = costs.groupBy("dispatch_id").agg(F.expr("min(e) AS e"), F.expr("min(bound) AS bound")).selectExpr(
-                "dispatch_id", "array(e) AS best", "bound"
-            )
-        else:
-            # row_number with a filter sorts and cuts to k before the shuffle, then again after it
-            found = (
-                costs.selectExpr("*", "row_number() OVER (PARTITION BY dispatch_id ORDER BY e) AS rn")
-                .filter(f"rn <= {k}")
-                .groupBy("dispatch_id")
-                .agg(F.expr("sort_array(collect_list(e)) AS best"), F.expr("min(bound) AS bound"))
-            )
-        if radius is None:
-            parts.append(found.select("dispatch_id", "best"))
-            break
-        # A small margin covers the rounding of the score.
-        kth = f"try_element_at(best, {k})"
-        near = "" if not by_level or radius >= rules.hard_max_km else f" AND {kth}.far = 0"
-        settled = cut_lineage(found.filter(f"{kth}.cost + 1e-3D < bound{near}").select("dispatch_id", "best"))
-        parts.append(settled)
-        opened = cut_lineage(opened.join(settled, "dispatch_id", "left_anti"))
-        if opened.isEmpty():
-            break
-    won = reduce(DataFrame.unionByName, parts).selectExpr("dispatch_id", "posexplode(best) AS (at, b)").selectExpr(
+    _, met = searched_pairs(wanted, pool, scorer, rules, k, by_level)
+    best = _best_of(_costs(met, scorer, rules, by_level), k)
+    won = best.selectExpr("dispatch_id", "posexplode(best) AS (at, b)").selectExpr(
         "dispatch_id", "at + 1 AS score_rank", "b.technician_id AS technician_id"
     )
     # (date, technician) is the calendar's key: one row each

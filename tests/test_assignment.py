@@ -92,6 +92,44 @@ def test_best_and_counts_equal_brute_force(spark, place):
     assert top == {(d, i + 1): t for d, rows in by_score.items() for i, (_, t) in enumerate(sorted(rows)[:3])}
 
 
+@pytest.mark.parametrize("place", PLACES)
+@pytest.mark.parametrize("by_profile", [True, False])
+def test_large_pools_equal_brute_force(spark, place, by_profile):
+    """Every pool counts as large, so that probes, radii and summaries decide."""
+    data = world(11 + len(place), PLACES[place], n_dispatches=120, n_technicians=150, hot=0.8)
+    rules = DispatchRules(rows_per_salt=50, small_pool=1)
+    exact = scoring.linear_scorer()
+    scorer = exact if by_profile else lambda df: exact(df)
+    rank = {n: i for i, n in enumerate(CONSTRAINT_LEVELS)}
+    want, by_score = {}, {}
+    for p in all_pairs(spark, data):
+        cost = math.inf if p.final_score is None else round(-p.final_score, 6)
+        want.setdefault(p.dispatch_id, []).append((rank[p.constraint_level], cost, p.technician_id))
+        by_score.setdefault(p.dispatch_id, []).append((cost, p.technician_id))
+    args = frames(spark, data)
+    got = {r.dispatch_id: r.technician_id for r in S.best_technician(*args, scorer=scorer, rules=rules).collect()}
+    assert got == {d: min(rows)[2] for d, rows in want.items()}
+    top = {(r.dispatch_id, r.score_rank): r.technician_id for r in S.top_technicians(*args, k=3, scorer=scorer, rules=rules).collect()}
+    assert top == {(d, i + 1): t for d, rows in by_score.items() for i, (_, t) in enumerate(sorted(rows)[:3])}
+
+
+def test_scored_pairs_follow_the_input_not_its_square(spark):
+    """Four times the dispatches and technicians on the same map: about four times the pairs."""
+
+    def scored(times):
+        data = world(3, PLACES["town"], n_dispatches=100 * times, n_technicians=1500 * times, hot=1.0)
+        dispatches, calendar, technicians = frames(spark, data)
+        rows = S._stored_pool(calendar, technicians)
+        days = S._days(dispatches, rows, 10**9)
+        wanted = S._with_days(dispatches, days).selectExpr(*S._SEARCH_COLUMNS, "appointment_date", "salt", "'any' AS pool")
+        pool = S._salt_pool(rows.selectExpr(*[c for c in rows.columns if c != "kind"], "'any' AS pool"), days)
+        probes, met = S.searched_pairs(wanted, pool, scoring.linear_scorer(), DispatchRules(), 1, False)
+        return probes.count() + met.count()
+
+    few, many = scored(1), scored(4)
+    assert few < 100 * 1000 / 4 and many < 6 * few
+
+
 @pytest.mark.parametrize("place", PLACES)
 def test_neighbour_counts_equal_brute_force(spark, place):
     _, _, technicians = world(7, PLACES[place], n_technicians=150)
