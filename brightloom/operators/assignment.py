@@ -12,6 +12,7 @@ operator here lists those pairs:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -109,7 +110,8 @@ def _salt_pool(pool: DataFrame, days: DataFrame) -> DataFrame:
     return salted.selectExpr(*pool.columns, "explode(sequence(0, coalesce(n_salt, 1) - 1)) AS salt")
 
 
-def _within(demand: DataFrame, pool: DataFrame, days: DataFrame, km: float) -> DataFrame:
+def _near_sides(demand: DataFrame, pool: DataFrame, days: DataFrame, km: float) -> tuple[DataFrame, DataFrame]:
+    """Dispatches in all cells that matter to them, and eligible technicians in theirs."""
     supply = _salt_pool(pool.filter("kind = 'eligible'"), days).selectExpr(
         "date AS appointment_date", "primary_skill AS required_skill", "salt", "technician_id", "latitude", "longitude",
         f"inline(array({grid_cell('latitude', 'longitude', km)}))",
@@ -118,6 +120,11 @@ def _within(demand: DataFrame, pool: DataFrame, days: DataFrame, km: float) -> D
         demand.select("dispatch_id", "appointment_date", "required_skill", "salt", "customer_latitude", "customer_longitude"),
         "customer_latitude", "customer_longitude", km,
     )
+    return reach, supply
+
+
+def _within(demand: DataFrame, pool: DataFrame, days: DataFrame, km: float) -> DataFrame:
+    reach, supply = _near_sides(demand, pool, days, km)
     return (
         reach.join(supply, ["appointment_date", "required_skill", "salt", "band", "cell"])
         .selectExpr("dispatch_id", "technician_id", f"{scoring.pair_distance()} AS distance_km")
@@ -138,6 +145,23 @@ def feasible_pairs(
     return _within(_with_days(dispatches, days), pool, days, rules.hard_max_km)
 
 
+def dispatches_with_feasible(
+    dispatches: DataFrame, calendar: DataFrame, technicians: DataFrame, rules: C.DispatchRules = C.DEFAULT_RULES
+) -> DataFrame:
+    """(dispatch_id) of every dispatch that some technician can serve under all constraints.
+
+    A semi join: each of a dispatch's cells stops at its first hit, and no pair becomes a row.
+    """
+    pool = calendar_pool(calendar, technicians)
+    days = _days(dispatches, pool, rules.rows_per_salt)
+    reach, supply = _near_sides(_with_days(dispatches, days), pool, days, rules.hard_max_km)
+    keys = ("appointment_date", "required_skill", "salt", "band", "cell")
+    hit = supply.withColumnsRenamed({k: f"s_{k}" for k in keys})
+    km = scoring.haversine_km("latitude", "longitude", "customer_latitude", "customer_longitude")
+    on = " AND ".join([*[f"{k} = s_{k}" for k in keys], f"{km} <= {rules.hard_max_km}D"])
+    return reach.join(hit, F.expr(on), "left_semi").select("dispatch_id").distinct()
+
+
 def candidate_levels(
     dispatches: DataFrame, calendar: DataFrame, technicians: DataFrame, rules: C.DispatchRules = C.DEFAULT_RULES
 ) -> DataFrame:
@@ -352,28 +376,56 @@ _SEARCH_COLUMNS = (
 )
 
 
-def best_technician(
-    dispatches: DataFrame,
-    calendar: DataFrame,
-    technicians: DataFrame,
-    scorer: Scorer | None = None,
-    rules: C.DispatchRules = C.DEFAULT_RULES,
-) -> DataFrame:
+@dataclass(frozen=True)
+class Supply:
+    """What all searches for the same dispatches share: the stored pool and the counts per day."""
+
+    dispatches: DataFrame
+    rows: DataFrame
+    days: DataFrame
+
+    def counted(self) -> DataFrame:
+        return _with_days(self.dispatches, self.days)
+
+
+def supply_for(
+    dispatches: DataFrame, calendar: DataFrame, technicians: DataFrame, rules: C.DispatchRules = C.DEFAULT_RULES
+) -> Supply:
+    rows = _stored_pool(calendar, technicians)
+    d = dispatches.select(*_SEARCH_COLUMNS)
+    return Supply(d, rows, _days(d, rows, rules.rows_per_salt))
+
+
+def best_of(supply: Supply, scorer: Scorer | None = None, rules: C.DispatchRules = C.DEFAULT_RULES) -> DataFrame:
     """One scored row per dispatch that has any technician on its day.
 
     Order: constraint level, then final score (6 decimals), then the lower technician id. A
     technician may win several dispatches.
     """
-    rows = _stored_pool(calendar, technicians)
-    d = dispatches.select(*_SEARCH_COLUMNS)
-    days = _days(d, rows, rules.rows_per_salt)
     wanted = (
-        _with_days(d, days)
+        supply.counted()
         .selectExpr(*_SEARCH_COLUMNS, "appointment_date", "salt", f"{_POOL_NAME} AS pool")
         .filter("pool IS NOT NULL")
     )
-    pool = _salt_pool(_named_pools(rows), days)
-    return _search(wanted, pool, rows, scorer or scoring.linear_scorer(rules.scorer), rules, k=1, by_level=True)
+    pool = _salt_pool(_named_pools(supply.rows), supply.days)
+    return _search(wanted, pool, supply.rows, scorer or scoring.linear_scorer(rules.scorer), rules, k=1, by_level=True)
+
+
+def top_of(supply: Supply, k: int = 3, scorer: Scorer | None = None, rules: C.DispatchRules = C.DEFAULT_RULES) -> DataFrame:
+    """The ``k`` best by score alone, over every technician of the day, with ``score_rank``."""
+    wanted = supply.counted().filter("n_day > 0").selectExpr(*_SEARCH_COLUMNS, "appointment_date", "salt", f"'{ANY}' AS pool")
+    pool = _salt_pool(supply.rows.selectExpr(*[c for c in supply.rows.columns if c != "kind"], f"'{ANY}' AS pool"), supply.days)
+    return _search(wanted, pool, supply.rows, scorer or scoring.linear_scorer(rules.scorer), rules, k=k, by_level=False)
+
+
+def best_technician(
+    dispatches: DataFrame,
+    calendar: DataFrame,
+    technicians: DataFrame,
+    scorer: Scorer | None = None,
+    rules: C.DispatchRules = C.DEFAULT_RULES,
+) -> DataFrame:
+    return best_of(supply_for(dispatches, calendar, technicians, rules), scorer, rules)
 
 
 def top_technicians(
@@ -384,13 +436,7 @@ def top_technicians(
     scorer: Scorer | None = None,
     rules: C.DispatchRules = C.DEFAULT_RULES,
 ) -> DataFrame:
-    """The ``k`` best by score alone, over every technician of the day, with ``score_rank``."""
-    rows = _stored_pool(calendar, technicians)
-    d = dispatches.select(*_SEARCH_COLUMNS)
-    days = _days(d, rows, rules.rows_per_salt)
-    wanted = _with_days(d, days).filter("n_day > 0").selectExpr(*_SEARCH_COLUMNS, "appointment_date", "salt", f"'{ANY}' AS pool")
-    pool = _salt_pool(rows.selectExpr(*[c for c in rows.columns if c != "kind"], f"'{ANY}' AS pool"), days)
-    return _search(wanted, pool, rows, scorer or scoring.linear_scorer(rules.scorer), rules, k=k, by_level=False)
+    return top_of(supply_for(dispatches, calendar, technicians, rules), k, scorer, rules)
 
 
 def day_candidates(

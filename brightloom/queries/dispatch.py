@@ -344,7 +344,7 @@ def agg_constraint_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     with_views("candidates", "SELECT DISTINCT dispatch_id FROM candidates WHERE constraint_level = 'ALL_CONSTRAINTS_MET'"),
 )
 def set_distinct_dispatches(spark: SparkSession, sf: str) -> DataFrame:
-    return S.feasible_pairs(*_inputs(spark, sf)).select("dispatch_id").distinct()
+    return S.dispatches_with_feasible(*_inputs(spark, sf))
 
 
 @query(

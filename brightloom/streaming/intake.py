@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from brightloom import config as C
 from brightloom.functions import wording
 from brightloom.functions.scoring import Scorer
 from brightloom.operators import assignment, ranking
-from brightloom.session import cut_lineage
+from brightloom.session import cut_lineage, small_side
 from brightloom.sources import tables, tickets
 
 _TO_DISPATCH = (
@@ -37,6 +38,9 @@ _RESULT = {
 
 
 REPEATED = "another ticket of the batch has this key"
+NO_KEY = "Ticket key is required"
+# batches of the n-th checkpoint over a folder are numbered from n times this on
+EPOCH = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -62,8 +66,18 @@ class Intake:
 
     @property
     def ids(self) -> str:
+        """The ledger: (ticket_key, Dispatch_id, batch) of every key's first batch."""
         return f"{self.path}/ids"
 
+    @property
+    def marks(self) -> str:
+        """(top, batch): the highest id after each batch, one row per batch."""
+        return f"{self.path}/marks"
+
+    @property
+    def epochs(self) -> str:
+        return f"{self.path}/epochs"
+
     def current(self, spark: SparkSession) -> DataFrame:
         """One row per dispatch: its state after the last batch that had its ticket."""
         rows = spark.read.parquet(self.tickets)
@@ -74,41 +88,56 @@ class Intake:
         """Validate, number, match, explain and write one batch.
 
         A ticket_key of an earlier batch keeps its id and gets a new state, see ``current``. Other ids
-        follow the highest id of *earlier* batches, and each batch owns one folder per sink, so a
-        repeated batch gives the same rows in the same place.
+        follow the high-water mark of the *earlier* batches, and each batch owns one folder per sink, so
+        a repeated batch gives the same rows in the same place. A ticket without a key is rejected.
         """
         spark = raw.sparkSession
-        checked = cut_lineage(tickets.with_errors(raw))
-        # of several valid tickets with one key the first by content goes on, the others are rejected
+        no_key = f"CASE WHEN ticket_key IS NULL THEN array_append(errors, '{NO_KEY}') ELSE errors END"
+        checked = cut_lineage(tickets.with_errors(raw).withColumn("errors", F.expr(no_key)))
+        # of several valid tickets with one key the first by content goes on, the others are rejected;
+        # rejected ones need no place, so no group is larger than the valid tickets of one key
         content = F.to_json(F.struct(*[c for c in checked.columns if c != "errors"]))
-        place = F.row_number().over(Window.partitionBy("ticket_key").orderBy(F.size("errors") > 0, content))
-        ranked = cut_lineage(checked.withColumn("_place", place))
-        repeated = F.expr(f"CASE WHEN size(errors) = 0 AND _place > 1 THEN array('{REPEATED}') ELSE errors END")
-        marked = ranked.withColumn("errors", repeated).drop("_place")
-        tables.write_batch(marked.filter("size(errors) > 0"), self.rejects, batch_id)
-        valid = marked.filter("size(errors) = 0").drop("errors")
-        if batch_id == 0:
-            taken = spark.createDataFrame([], "Dispatch_id long")
-            known = valid.limit(0).selectExpr("ticket_key AS _key", "CAST(NULL AS BIGINT) AS _id")
-        else:
-            taken = spark.read.parquet(self.tickets).filter(F.col("batch") < batch_id)
-            known = spark.read.parquet(self.ids).filter(F.col("batch") < batch_id).selectExpr("ticket_key AS _key", "Dispatch_id AS _id")
+        place = F.row_number().over(Window.partitionBy("ticket_key").orderBy(content))
+        valid = checked.filter("size(errors) = 0")
+        ranked = cut_lineage(valid.withColumn("_place", place))
+        repeated = ranked.filter("_place > 1").withColumn("errors", F.array(F.lit(REPEATED))).drop("_place")
+        tables.write_batch(checked.filter("size(errors) > 0").unionByName(repeated), self.rejects, batch_id)
+        valid = ranked.filter("_place = 1").drop("errors", "_place")
+        before = self._before(spark, self.marks, "top long", batch_id).agg(F.max("top").alias("top")).first().top
+        top = C.FIRST_FREE_ID if before is None else before
+        known = self._before(spark, self.ids, "ticket_key long, Dispatch_id long", batch_id).selectExpr("ticket_key AS _key", "Dispatch_id AS _id")
         met = cut_lineage(valid.join(known, F.col("ticket_key") == F.col("_key"), "left").drop("_key"))
-        new = cut_lineage(ranking.next_ids(met.filter("_id IS NULL").drop("_id"), taken, "Dispatch_id", "ticket_key", C.FIRST_FREE_ID))
-        tables.write_batch(new.selectExpr("ticket_key", "new_id AS Dispatch_id"), self.ids, batch_id)
+        new = cut_lineage(ranking.ids_after(met.filter("_id IS NULL").drop("_id"), top, "ticket_key"))
+        tables.write_batch(new.selectExpr("CAST(ticket_key AS BIGINT) AS ticket_key", "CAST(new_id AS BIGINT) AS Dispatch_id"), self.ids, batch_id)
+        tables.write_batch(new.agg(F.expr(f"CAST(coalesce(max(new_id), {top}) AS BIGINT) AS top")), self.marks, batch_id)
         numbered = new.unionByName(met.filter("_id IS NOT NULL").withColumnRenamed("_id", "new_id"))
         typed = cut_lineage(tickets.typed_tickets(numbered, "new_id"))
         tables.write_batch(self._finished(typed), self.tickets, batch_id)
 
+    @staticmethod
+    def _before(spark: SparkSession, path: str, columns: str, batch_id: int) -> DataFrame:
+        """What earlier batches wrote to ``path``; nothing if there is none yet."""
+        schema = f"{columns}, batch long"
+        try:
+            rows = spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = spark.createDataFrame([], schema)
+        return rows.filter(F.col("batch") < batch_id)
+
     def _finished(self, typed: DataFrame) -> DataFrame:
         spark = typed.sparkSession
         d = typed.selectExpr(*_TO_DISPATCH)
-        inputs = (d, self.calendar(spark), self.technicians(spark))
-        best = assignment.best_technician(*inputs, scorer=self.scorer, rules=self.rules)
-        second = assignment.top_technicians(*inputs, k=2, scorer=self.scorer, rules=self.rules).filter("score_rank = 2").selectExpr(
+        # only the days of the batch, stored once for both searches
+        dates = small_side(d.selectExpr("to_date(appointment_start) AS date").distinct())
+        calendar = self.calendar(spark).join(dates, "date", "left_semi")
+        supply = assignment.supply_for(d, calendar, self.technicians(spark), self.rules)
+        best = assignment.best_of(supply, self.scorer, self.rules)
+        second = assignment.top_of(supply, 2, self.scorer, self.rules).filter("score_rank = 2").selectExpr(
             "dispatch_id", "technician_name AS alt_name", "distance_km AS alt_km", "utilization AS alt_utilization", "final_score AS alt_score"
         )
-        counts = assignment.day_candidates(*inputs, rules=self.rules)
+        counts = supply.counted().select("dispatch_id", F.col("n_day").alias("n_candidates"))
         found = best.join(counts, "dispatch_id").join(second, "dispatch_id", "left")
         result = found.selectExpr("dispatch_id AS _id", *[f"{sql} AS _{name}" for name, sql in _RESULT.items()])
         joined = typed.join(result, F.expr("Dispatch_id = _id"), "left")
@@ -121,10 +150,29 @@ class Intake:
             f"coalesce(_explanation, '{wording.NO_EXPLANATION}') AS explanation",
         )
 
+    def _epoch(self, spark: SparkSession, checkpoint: str) -> int:
+        """Which checkpoint over this folder it is, from 0. Its number lies in the checkpoint itself, so
+        that a new one never repeats the batch numbers, and with them the ids, of another."""
+        mine = f"{checkpoint.rstrip('/')}/epoch"
+        own = self._before(spark, mine, "epoch long", EPOCH)
+        found = own.first()
+        if found is not None:
+            return found.epoch
+        last = self._before(spark, self.epochs, "epoch long", EPOCH).agg(F.max("epoch").alias("last")).first().last
+        epoch = 0 if last is None else last + 1
+        named = spark.range(1).selectExpr(f"{epoch}L AS epoch")
+        tables.write_batch(named, self.epochs, epoch)
+        tables.write_batch(named, mine, 0)
+        return epoch
+
     def start(self, raw_stream: DataFrame, checkpoint: str):
-        """Everything that is there now, then stop; a restart with the same checkpoint goes on from there."""
+        """Everything that is there now, then stop; a restart with the same checkpoint goes on from there.
+
+        A new checkpoint over the same folder goes on after the batches of the earlier ones.
+        """
+        first = EPOCH * self._epoch(raw_stream.sparkSession, checkpoint)
         return (
-            raw_stream.writeStream.foreachBatch(self.run_batch)
+            raw_stream.writeStream.foreachBatch(lambda raw, batch_id: self.run_batch(raw, first + batch_id))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()

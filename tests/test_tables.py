@@ -127,3 +127,26 @@ def test_a_known_ticket_is_updated(spark):
         assert rows[200_000_002].City == "Y" and [rows[200_000_000 + k].batch for k in (1, 2, 3)] == [1, 1, 1]
         rejected = {(r.ticket_key, *r.errors) for r in spark.read.parquet(run.rejects).collect()}
         assert rejected == {(1, "City is required"), (2, "another ticket of the batch has this key")}
+
+
+def test_a_new_checkpoint_goes_on_after_the_old_one(spark):
+    root = fresh_path(spark, "in")
+    run = intake(spark, fresh_path(spark, "out"))
+    spark.createDataFrame([ticket(1), ticket(2)], RAW).coalesce(1).write.mode("append").parquet(root)
+    for name, more in (("cp1", None), ("cp2", ticket(9, required_skill="B"))):
+        if more:
+            spark.createDataFrame([more], RAW).coalesce(1).write.mode("append").parquet(root)
+        raw = spark.readStream.schema(RAW).parquet(root)
+        run.start(raw, f"{run.path}-{name}").awaitTermination()
+    rows = run.current(spark).collect()
+    # known tickets keep their ids although the second checkpoint sees them again, the new one follows
+    assert sorted(r.Dispatch_id for r in rows) == [200_000_001, 200_000_002, 200_000_003]
+    assert {r.batch for r in rows} == {1 << 32} and spark.read.parquet(run.ids).count() == 3
+
+
+def test_tickets_without_a_key_are_rejected(spark):
+    run = intake(spark, fresh_path(spark, "out"))
+    run.run_batch(spark.createDataFrame([ticket(None), ticket(None), ticket(4), ticket(None, city="")], RAW), 0)
+    assert [r.Dispatch_id for r in run.current(spark).collect()] == [200_000_001]
+    errors = sorted(tuple(r.errors) for r in spark.read.parquet(run.rejects).collect())
+    assert errors == [("City is required", "Ticket key is required"), ("Ticket key is required",), ("Ticket key is required",)]
