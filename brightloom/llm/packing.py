@@ -80,9 +80,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                raw = [x + end for x in enc.encode(part.column(1).to_pylist())]
+            for at in range(0, len(b), 1024):
+                part = b.slice(at, 1024)
+                raw = [x + end for x in enc.encode(part.column(1))]
                 ids = [np.frombuffer(x, "<u4") for x in raw]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -195,10 +195,10 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, fir
             return pa.RecordBatch.from_arrays([pa.array(v) for v in row], names=["part", "shard", "file", "docs", "ids", "bytes"])
 
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(1)
             doc_ids = b.column(0).to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc_id, raw in zip(doc_ids[at : at + 256], enc.encode(texts[at : at + 256]), strict=True):
+            for at in range(0, len(texts), 1024):
+                for doc_id, raw in zip(doc_ids[at : at + 1024], enc.encode(texts.slice(at, 1024)), strict=True):
                     names.append(doc_id)
                     held.append(np.concatenate([np.frombuffer(raw, "<u4"), end]))
                     total += len(held[-1])

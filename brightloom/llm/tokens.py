@@ -1,22 +1,23 @@
 """Token ids of whole texts, with the ids of repeated words kept per Python worker.
 
 The vocabulary's normaliser and splitter never look across ASCII white space, so the ids of a
-text are the ids of its words, one after the other. A worker keeps the ids of words that it
-has seen (at most ``KEPT_WORDS``; the store is emptied when full) and passes all new words of
-a batch to the tokenizers library at once.
+text are the ids of its words, one after the other. A batch is split and its distinct words are
+numbered by Arrow; each distinct word is looked up once, and the ids of all its texts are gathered by
+number. A worker keeps the ids of words that it has seen (at most ``KEPT_WORDS``; the store is
+emptied when full) and passes all new words of a batch to the tokenizers library at once.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import string
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 KEPT_WORDS = 1_000_000
-# characters that Python's split takes for white space and the vocabulary's pattern does not
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 # The character by which byte-level vocabularies write a byte (printable ones stand for themselves)
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -39,38 +40,58 @@ class Encoder:
         found = self.tok.encode_batch_fast(words, add_special_tokens=False)
         return [_as_bytes(e.ids) for e in found]
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Ids of new words. A word of letters with ASCII punctuation behind it is split there by the
         vocabulary's own pattern, so its two halves are looked up by themselves."""
         ids, halves, whole, cores = self.ids, [], set(), set()
         for w in new:
-            core = w.rstrip(string.punctuation)
-            if core.isalpha() and max(core) <= "\xff":  # no letter up to here has another normal form
-                tail, core = w[len(core):], core.lower()
-                halves.append((w, core, tail))
+            letters = w if w.isalpha() else w.rstrip(string.punctuation)
+            # no letter up to here has another normal form
+            if not letters.isalpha() or not (letters.isascii() or max(letters) <= "\xff"):
+                whole.add(w)
+                continue
+            core = letters.lower()
+            if core not in ids:
                 cores.add(core)
+            if core != w:
+                tail = w[len(letters):]
+                halves.append((w, core, tail))
                 if tail not in ids:
                     whole.add(tail)
-            else:
-                whole.add(w)
         whole.discard("")
         ids.update(zip(whole, self._encode(list(whole)), strict=True))
         pieces = self.tok.model.tokenize
-        for core in cores.difference(ids):
-            ids[core] = _as_bytes([p.id for p in pieces(core.encode().decode("latin-1").translate(_BYTE_CHARS))])
+        for core in cores:
+            # letters of ASCII stand for their own bytes
+            spelt = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids[core] = _as_bytes([p.id for p in pieces(spelt)])
         for w, core, tail in halves:
-            ids[w] = ids[core] + ids[tail] if tail else ids[core]
+            ids[w] = ids[core] + ids[tail]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers; a missing text counts as empty."""
-        split = [(_SPACE.split(t) if _ODD_SPACE.search(t) else t.split()) if t else [] for t in texts]
+        if not len(texts):
+            return []
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(column.fill_null(""))
+        numbered = split.flatten().dictionary_encode()
+        words, at = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
         if len(self.ids) > KEPT_WORDS:
             self.ids = {"": b""}
         ids = self.ids
-        new = set().union(*split).difference(ids)
+        new = [w for w in words if w not in ids]
         if new:
             self._learn(new)
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        found = [ids[w] for w in words]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(length) - length
+        # every id of every word of the batch, by its place in ``flat``
+        n = length[at]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(start[at] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        cut = 4 * np.r_[0, ends][split.offsets.to_numpy()]
+        return [out[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def encoder(path: str) -> Encoder:
