@@ -1,11 +1,15 @@
 """Personal data: fixed formats, and identifiers that stand where such data stands.
 
-The fixed formats (e-mail, IP address, card, phone) seed a graph of patterns and instances. An
-instance is a value that looks like an identifier (it holds a digit or an at sign), a pattern the
-words around it together with the value's outline. In each round a pattern's confidence in a kind
-is the share of its distinct values that are of that kind, and a value that confident patterns
-surround takes their kind; this goes on until nothing new is found. Values that no fixed format
-knows are reported wherever an accepted pattern surrounds them.
+The fixed formats (e-mail, IP address, card, phone) and strings that mix letters and digits at random
+(access keys) seed a graph of patterns and instances. An instance is a value that looks like an
+identifier: a run of neighbouring tokens with a digit or an at sign, cut where a fixed format begins or
+ends. A pattern is a few of the words before it, after it, or on both sides; how the value is spelt is no
+part of it. In each round a pattern's confidence in a kind is the share of that kind among the distinct
+values that speak for or against it: values of another kind, and values that cannot be of the kind
+(``may_be``), speak against it, unknown ones that can be do neither. Unknown values around which confident
+patterns stand take their kind and count like seeds from the next round on, until a round finds nothing
+new. Such values are reported wherever they stand. A key is never reported for its spelling alone: it
+needs a confident pattern.
 
 Places count code points; ends are exclusive. Missing and empty texts have no spans. Repeated rows
 give the same spans each; an empty table gives no rows.
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 from brightloom.session import cut_lineage, fresh_path
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MIN_CONFIDENCE, MAX_ROUNDS, MAX_WORDS = 4, 0.6, 20, 4
+ALL_KINDS = (*KINDS, "key")  # in the order in which bits of ``may_be`` name them
+MIN_SEEDS, MIN_CONFIDENCE = 4, 0.7
 
 # A run of digits is entered at its start, and a run of an e-mail's first part ends at the at sign:
 # the same matches as a search from every character, in one pass over the text.
@@ -36,6 +41,10 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
+_MIXED = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+_ADDRESS = re.compile(r"[0-9A-Fa-f]*([.:][0-9A-Fa-f]*){3,}")
+_NUMERIC = re.compile(r"[0-9 ().+/-]+")
 _EDGE = "\"'`.,;:!?)]}>([{<=%$&*#|"
 
 
@@ -82,78 +91,109 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def outline(value: str) -> str:
-    """Runs of digits as 9, runs of letters as a, everything else as it is."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", value))
+def may_be(value: str) -> int:
+    """Bits of the kinds that a value can be of, judged by its characters alone."""
+    n = len(_digits(value))
+    numeric = _NUMERIC.fullmatch(value) is not None
+    fits = (
+        "@" in value.strip("@") and " " not in value,
+        n >= 4 and _ADDRESS.fullmatch(value) is not None,
+        numeric and n >= 8,
+        numeric and 6 <= n <= 15,
+        len(value) >= 8 and _MIXED.search(value) is not None and "@" not in value and " " not in value,
+    )
+    return sum(1 << i for i, f in enumerate(fits) if f)
+
+
+def is_key(value: str) -> bool:
+    """A long string in which letters and digits take turns: one of the seeds for access keys."""
+    return _KEY.fullmatch(value) is not None and len(_MIXED.findall(value)) >= 6
 
 
 def _code(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def _word(token: str) -> str:
-    return token.lower().strip(_EDGE) or token
+def _trimmed(text: str, a: int, z: int) -> tuple[int, int]:
+    while a < z and (text[z - 1] in _EDGE or text[z - 1].isspace()) and not (text[z - 1] == ")" and text.find("(", a, z) >= 0):
+        z -= 1
+    while a < z and (text[a] in _EDGE or text[a].isspace()) and not (text[a] == "(" and text.find(")", a, z) >= 0):
+        a += 1
+    return a, z
 
 
-def candidates(text: str | None, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str | None, list[int]]]:
-    """Identifier-like values: start, end, code of the value, kind if a fixed format matches all of it, patterns.
-
-    Neighbouring tokens with digits make one value of at most ``MAX_WORDS`` tokens. A value that a fixed
-    format covers in part only is left to that format.
-    """
-    if not text or not _HINT.search(text):
-        return []
+def _pieces(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, bool]]:
+    """Words and values of a text in order: start, end, kind of a fixed format, whether a value."""
     tokens = [m.span() for m in _TOKEN.finditer(text)]
-    ends, out, i, at_span = [t[1] for t in tokens], [], 0, 0
-    by_start = sorted(spans)
+    out: list[tuple[int, int, str | None, bool]] = []
+    i = at = free = 0  # token, span, end of the last fixed format
     while i < len(tokens):
         a, z = tokens[i]
+        i += 1
         if not _HINT.search(text, a, z):
-            i += 1
+            if a >= free:
+                out.append((a, z, None, False))
             continue
-        j = i
-        while j + 1 < len(tokens) and j - i + 1 < MAX_WORDS and _HINT.search(text, *tokens[j + 1]) and text[ends[j]] == " ":
-            j += 1
-        z = ends[j]
-        while a < z and text[a] in _EDGE and not (text[a] == "(" and a):
-            a += 1
-        while a < z and text[z - 1] in _EDGE:
-            z -= 1
-        while at_span < len(by_start) and by_start[at_span][1] <= a:
-            at_span += 1
-        over = []
-        for s in by_start[at_span:]:
-            if s[0] >= z:
+        while i < len(tokens) and text[z] == " " and tokens[i][0] == z + 1 and _HINT.search(text, *tokens[i]):
+            z = tokens[i][1]
+            i += 1
+        a = max(a, free)
+        while a < z:
+            while at < len(spans) and spans[at][0] < a:
+                at += 1
+            here = spans[at] if at < len(spans) and spans[at][0] < z else None
+            x, y = _trimmed(text, a, here[0] if here else z)
+            if x < y and _HINT.search(text, x, y):
+                out.append((x, y, None, True))
+            if here is None:
                 break
-            if s[1] > a:
-                over.append(s)
-        exact = [s[2] for s in over if (s[0], s[1]) == (a, z)]
-        if a < z and (exact or not over):
-            value = text[a:z]
-            left = [_word(text[slice(*tokens[k])]) for k in range(max(0, i - 2), i)]
-            right = _word(text[slice(*tokens[j + 1])]) if j + 1 < len(tokens) else ""
-            shape = outline(value)
-            patterns = []
-            if left:
-                patterns.append(_code("l1r1", left[-1], right, shape))
-            if len(left) == 2:
-                patterns.append(_code("l2", *left, shape))
-            if patterns:
-                out.append((a, z, _code("value", value), exact[0] if exact else None, patterns))
-        i = j + 1
+            out.append((*here, True))
+            a = free = here[1]
+    return out
+
+
+def candidates(text: str | None, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str | None, int, list[int]]]:
+    """Values of a text: start, end, code, kind if known by its format, kinds that it may be of, patterns.
+
+    Spelling with or without spaces, hyphens and brackets gives the same code.
+    """
+    if not text or not _HINT.search(text):
+        return []
+    pieces, out = _pieces(text, spans), []
+
+    def word(k: int) -> str:
+        if not 0 <= k < len(pieces):
+            return ""
+        a, z, kind, value = pieces[k]
+        token = text[a:z].lower()
+        return f"<{kind or 'value'}>" if value else token.strip(_EDGE) or token
+
+    for k, (a, z, kind, value) in enumerate(pieces):
+        if not value:
+            continue
+        spelt = text[a:z]
+        left, right = [word(j) for j in range(k - 4, k)], [word(k + 1), word(k + 2)]
+        patterns = [_code(f"left{n}", *left[-n:]) for n in (2, 3, 4) if left[-n]]
+        if left[-1]:
+            patterns.append(_code("both", left[-1], right[0]))
+        if right[1]:
+            patterns.append(_code("right", *right))
+        same = spelt.lower().translate(_SPELLING)
+        out.append((a, z, _code("value", same), kind or ("key" if is_key(spelt) else None), may_be(spelt), patterns))
     return out
 
 
+_SPELLING = str.maketrans("", "", " ()-")
 _SPAN = "struct<start:int,end:int,kind:string>"
-_FOUND = f"doc_id long, text_key long, spans array<{_SPAN}>, values array<struct<start:int,end:int,value:long,kind:string,patterns:array<long>>>"
+_VALUE = ("start", "end", "value", "kind", "may", "patterns")
+_FOUND = f"doc_id long, text_key long, spans array<{_SPAN}>, values array<struct<start:int,end:int,value:long,kind:string,may:int,patterns:array<long>>>"
 
 
 def find_base(docs: DataFrame) -> DataFrame:
     """Fixed formats and identifier-like values of every document, stored once."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-    value = pa.list_(pa.struct([
-        ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("kind", pa.string()), ("patterns", pa.list_(pa.int64())),
-    ]))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()))
+    value = pa.list_(pa.struct(list(zip(_VALUE, kinds, strict=True))))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +204,7 @@ def find_base(docs: DataFrame) -> DataFrame:
                 [
                     b.column(0), b.column(1),
                     pa.array([[dict(zip(("start", "end", "kind"), s, strict=True)) for s in x] for x in spans], span),
-                    pa.array([[dict(zip(("start", "end", "value", "kind", "patterns"), v, strict=True)) for v in x] for x in values], value),
+                    pa.array([[dict(zip(_VALUE, v, strict=True)) for v in x] for x in values], value),
                 ],
                 names=["doc_id", "text_key", "spans", "values"],
             )
@@ -178,47 +218,53 @@ def text_key(text: F.Column) -> F.Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def confident_patterns(found: DataFrame) -> DataFrame:
-    """(pattern, kind): patterns whose distinct values are nearly all of one kind, after all rounds."""
-    values = found.selectExpr("explode(values) AS v").selectExpr("v.value", "v.kind", "explode(v.patterns) AS pattern")
-    edges = cut_lineage(values.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
-    known = cut_lineage(edges.filter("kind IS NOT NULL").groupBy("value").agg(F.max("kind").alias("kind")))
-    seeds = known.withColumnRenamed("kind", "seed")
-    # only patterns around enough seeds can ever be trusted
-    worth = edges.filter("kind IS NOT NULL").groupBy("pattern").count().filter(F.col("count") >= MIN_SEEDS).select("pattern")
-    edges = cut_lineage(edges.select("pattern", "value").join(worth, "pattern").join(seeds, "value", "left"))
-    n_known = known.count()
-    for _ in range(MAX_ROUNDS):
-        marked = edges.join(known, "value", "left")
-        size = marked.groupBy("pattern").agg(F.count("*").alias("n"))
-        per_kind = marked.filter("kind IS NOT NULL").groupBy("pattern", "kind").agg(
-            F.count("*").alias("of_kind"), F.sum(F.expr("int(seed <=> kind)")).alias("n_seeds")
-        )
-        trusted = (
-            per_kind.join(size, "pattern")
-            .filter(f"n_seeds >= {MIN_SEEDS} AND of_kind / (n + 1) >= {MIN_CONFIDENCE}")
-            .selectExpr("pattern", "kind", "of_kind / (n + 1) AS confidence")
-        )
-        trusted = cut_lineage(trusted)
+def _confident(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """pattern, kind and confidence of the patterns that the known values make trustworthy."""
+    marked = edges.join(known.select("value", F.col("kind").alias("is")), "value", "left")
+    per_kind = [
+        f"struct('{k}' AS kind, count_if(is = '{k}') AS n, count_if(is <> '{k}' OR is IS NULL AND may & {1 << i} = 0) AS against)"
+        for i, k in enumerate(ALL_KINDS)
+    ]
+    counted = marked.groupBy("pattern", "n_bad").agg(F.expr(f"array({', '.join(per_kind)})").alias("kinds"))
+    return (
+        counted.selectExpr("pattern", "n_bad", "inline(kinds)")
+        .selectExpr("pattern", "kind", "n", "n / (n + against + n_bad + 1) AS confidence")
+        .filter(f"n >= {MIN_SEEDS} AND confidence >= {MIN_CONFIDENCE}")
+        .drop("n")
+    )
+
+
+def accepted_values(found: DataFrame) -> DataFrame:
+    """(value, kind): what the fixed formats and the trusted patterns know after the last round."""
+    values = found.selectExpr("explode(values) AS v").selectExpr("v.value", "v.kind", "v.may", "explode(v.patterns) AS pattern")
+    every = cut_lineage(values.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.expr("bit_or(may)").alias("may")))
+    known = every.filter("kind IS NOT NULL").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("seed", F.lit(True))
+    known = cut_lineage(known)
+    # a pattern around fewer values that can be personal data can never be trusted; of the others only the number counts
+    worth = every.groupBy("pattern").agg(F.expr("count_if(may <> 0) AS n"), F.expr("count_if(may = 0) AS n_bad"))
+    edges = every.filter("may <> 0").select("pattern", "value", "may").join(worth.filter(f"n >= {MIN_SEEDS}").drop("n"), "pattern")
+    edges = cut_lineage(edges)
+    fits = " OR ".join(f"kind = '{k}' AND may & {1 << i} <> 0" for i, k in enumerate(ALL_KINDS))
+    while True:  # each round but the last adds a value
+        trusted = cut_lineage(_confident(edges, known))
+        open_edges = edges.join(known.select("value"), "value", "left_anti")
         # a value's score for a kind: that not all patterns around it are wrong
-        scored = edges.filter("seed IS NULL").join(trusted, "pattern").groupBy("value", "kind").agg(
+        scored = open_edges.join(trusted, "pattern").filter(fits).groupBy("value", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")
         )
-        new = scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best")).filter(f"best.score >= {MIN_CONFIDENCE}")
-        now = cut_lineage(seeds.selectExpr("value", "seed AS kind").unionByName(new.selectExpr("value", "best.kind AS kind")))
-        n_now = now.count()
-        if n_now == n_known:
+        new = cut_lineage(scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best")).selectExpr("value", "best.kind AS kind", "false AS seed"))
+        if new.isEmpty():
             break
-        known, n_known = now, n_now
-    return trusted.select("pattern", "kind")
+        known = cut_lineage(known.unionByName(new))
+    keys = edges.join(trusted.filter("kind = 'key'").select("pattern"), "pattern", "left_semi").select("value").distinct()
+    lone = known.filter("seed AND kind = 'key'").join(keys, "value", "left_anti").select("value")
+    return known.join(lone, "value", "left_anti").select("value", "kind")
 
 
 def discovered(found: DataFrame) -> DataFrame:
     """doc_id, text_key and ``more``: spans that only the patterns find."""
-    unknown = found.filter("exists(values, v -> v.kind IS NULL)").selectExpr("doc_id", "text_key", "explode(values) AS v").filter("v.kind IS NULL")
-    by_pattern = unknown.distinct().selectExpr("doc_id", "text_key", "v.start", "v.end", "explode(v.patterns) AS pattern")
-    hits = by_pattern.join(confident_patterns(found), "pattern")
-    spans = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.min("kind").alias("kind"))
+    unknown = found.selectExpr("doc_id", "text_key", "explode(filter(values, v -> v.kind IS NULL OR v.kind = 'key')) AS v")
+    spans = unknown.selectExpr("doc_id", "text_key", "v.start", "v.end", "v.value").distinct().join(accepted_values(found), "value")
     return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", "kind")).alias("more"))
 
 
@@ -226,7 +272,7 @@ def all_spans(found: DataFrame) -> DataFrame:
     """The base spans and those that the patterns add, per document, by start and kind."""
     more = discovered(found).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
     both = found.join(more, F.expr("doc_id <=> _doc AND text_key = _key"), "left").drop("_doc", "_key")
-    order = "array_position(array('email', 'ip', 'card', 'phone'), {}.kind)"
+    order = "array_position(array('email', 'ip', 'card', 'phone', 'key'), {}.kind)"
     compare = f"(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE int({order.format('a')} - {order.format('b')}) END"
     merged = f"array_sort(concat(spans, coalesce(more, array())), {compare})"
     return both.select("doc_id", "text_key", "spans", F.expr(merged).alias("all_spans"))

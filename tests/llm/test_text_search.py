@@ -58,6 +58,91 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.report(documents(spark, [])).count() == 0 and pii.redact(documents(spark, [])).count() == 0
 
 
+PHONES = [f"+1 (843) 555-{k}" for k in (7672, 5254, 1017, 3380, 9026)]
+UNKNOWN = ["4111111111111112", "5500 0000 0000 0005", "340000000000001", "30000000000009", "6011-0000-0000-0009", "4222222222222229"]
+KEYS = ["ed85aea7af91af30d358df8319c45ee8ae9f5135", "740d10cfb38a379bfbce847f43f32482d573dc8b", "9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "65f8700754a1d8161928a1d0cca87ca77d009e4f"]
+
+
+def identifiers():
+    """Texts and, by doc_id, the spans that only patterns find."""
+    texts = [(i, f"note {i}: the number of my card {v} was lost") for i, v in enumerate(SEEDS)]
+    texts += [(20 + i, f"note {i}: the number of my card {v} was lost") for i, v in enumerate(UNKNOWN)]
+    # a second context, which only values found in the first one make trustworthy, and a new value in it
+    texts += [(40 + i, f"paid by plastic ending {v} on {i} March") for i, v in enumerate([*UNKNOWN, "4333333333333331"])]
+    texts += [(60 + i, f"please call me on {v} tonight") for i, v in enumerate(PHONES)]
+    texts += [(70, "please call me on 843 555 1234 tonight"), (71, "please call me on 12 tonight"), (72, "and 843 555-1234 again, alone")]
+    texts += [(80 + i, f'secret token = "{v}" {"x" * i}') for i, v in enumerate(KEYS)]
+    texts += [(90, 'secret token = "hunter2hunter2"'), (91, f"commit {KEYS[0][::-1]} merged"), (92, "in 2020 and 2021 there were 10000000 of them")]
+    texts += [(93, "the number of my card joe@example.org 4111111111111111 and"), (94, "year 2020 2021 2022")]
+    want = {20 + i: [("card", v)] for i, v in enumerate(UNKNOWN)}
+    want |= {40 + i: [("card", v)] for i, v in enumerate([*UNKNOWN, "4333333333333331"])}
+    want |= {70: [("phone", "843 555 1234")], 72: [("phone", "843 555-1234")], 90: [("key", "hunter2hunter2")]}
+    want |= {80 + i: [("key", v)] for i, v in enumerate(KEYS)}
+    return texts, want
+
+
+def plain_rounds(texts):
+    """Spans per document by the rounds on sets in plain Python."""
+    values = {(i, *v[:2]): v for i, t in texts for v in pii.candidates(t, pii.base_spans(t))}
+    kind, may, around = {}, {}, {}
+    for _, _, code, k, bits, patterns in values.values():
+        if k:
+            kind[code] = max(k, kind.get(code, k))
+        for p in patterns:
+            around.setdefault(p, set()).add(code)
+            may[p, code] = may.get((p, code), 0) | bits
+    keys = {c for c, k in kind.items() if k == "key"}
+    while True:
+        trusted = []
+        for p, codes in around.items():
+            for b, k in enumerate(pii.ALL_KINDS):
+                n = sum(1 for c in codes if may[p, c] and kind.get(c) == k)
+                against = sum(1 for c in codes if not may[p, c] or kind.get(c, k) != k or c not in kind and not may[p, c] >> b & 1)
+                if n >= pii.MIN_SEEDS and n / (n + against + 1) >= pii.MIN_CONFIDENCE:
+                    trusted.append((p, k, b, n / (n + against + 1)))
+        doubt = {}
+        for p, k, b, confidence in trusted:
+            for c in around[p]:
+                if c not in kind and may[p, c] >> b & 1:
+                    doubt[c, k] = doubt.get((c, k), 1.0) * (1 - confidence)
+        if not doubt:
+            break
+        kind |= {c: max((1 - d, k) for (x, k), d in doubt.items() if x == c)[1] for c, _ in doubt}
+    shown = {c for p, k, *_ in trusted if k == "key" for c in around[p]}
+    out = {}
+    for (i, a, z), (_, _, code, k, _, _) in values.items():
+        if k in (None, "key") and code in kind and not (code in keys and code not in shown):
+            out.setdefault(i, set()).add((a, z, kind[code]))
+    return out
+
+
+def test_rounds_spread_to_new_contexts_and_spellings(spark):
+    texts, want = identifiers()
+    rows = texts + EDGE + texts[:30]
+    found = pii.find_base(documents(spark, rows).select("doc_id", "text"))
+    more = {r.doc_id: {(s.start, s.end, s.kind) for s in r.more} for r in pii.discovered(found).collect()}
+    assert more == plain_rounds(texts)
+    by_id = dict(texts)
+    assert {i: [(k, by_id[i][a:z]) for a, z, k in sorted(x)] for i, x in more.items()} == want
+    report = {r.doc_id: r for r in pii.report(documents(spark, rows)).collect()}
+    assert report[93].spans.count(":") == 4 and report[93].n_email == report[93].n_card == 1
+    red = {r.doc_id: r.text for r in pii.redact(documents(spark, texts)).collect()}
+    assert red[90] == 'secret token = "<KEY>"' and red[70] == "please call me on <PHONE> tonight" and red[91] == by_id[91]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="a1.@-+ (2_0)9é\n", max_size=60))
+def test_values_lie_beside_the_fixed_formats(text):
+    spans = pii.base_spans(text)
+    values = pii.candidates(text, spans)
+    assert [v[0] for v in values] == sorted(v[0] for v in values) and all(0 <= v[0] < v[1] <= len(text) for v in values)
+    for a, z, _, kind, *_ in values:
+        if kind in pii.KINDS:
+            assert (a, z, kind) in spans
+        else:
+            assert any(c in "@0123456789" for c in text[a:z])
+
+
 def test_overlapping_spans_are_covered_once():
     assert pii.cover("ab 1.2.3.4 cd", [(3, 10, "ip"), (5, 10, "card")]) == "ab <IP> cd"
     assert pii.cover("0123456789", [(1, 4, "ip"), (3, 6, "card")]) == "0<IP>6789"
