@@ -66,6 +66,22 @@ class Gains(dict):
         return g
 
 
+class Places(dict):
+    """Numbers of the learnt tokens that a word stands for: its own and those of its stems."""
+
+    def __init__(self, place: dict[str, int]):
+        super().__init__()
+        self.place = place
+
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        get = self.place.get
+        found = (get(w), *(get(w[:k] + "*") for k in STEMS if len(w) > k))
+        self[w] = found = tuple(i for i in found if i is not None)
+        return found
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
@@ -109,7 +125,7 @@ def find_segments(text: str | None, gains: Gains) -> tuple[int, list[tuple]]:
         return 0, []
     low = text.lower()  # where this changes the length, places refer to the lower-cased text
     tokens = WORD.findall(low)
-    gain = [gains[w] for w in tokens]
+    gain = list(map(gains.__getitem__, tokens))
     at = [i for i, g in enumerate(gain) if g]
     if not at:
         return len(tokens), []
@@ -167,13 +183,18 @@ def learn_gains(docs: DataFrame, labelled: DataFrame) -> tuple[dict[str, float],
     )
     place = {r.token: i for i, r in enumerate(rows)}
 
+    numbers: list[Places] = []  # one per task, kept from batch to batch
+
     def gather(b: pa.RecordBatch) -> np.ndarray:
-        v = np.zeros(len(place) + 2)
+        if not numbers:
+            numbers.append(Places(place))
+        look_up, n_words, hits = numbers[0].__getitem__, 0, []
         for t in b.column(0).to_pylist():
-            v[-1] += len(words(t))
-            v[-2] += 1
-            for w in place.keys() & units(t):
-                v[place[w]] += 1
+            w = words(t)
+            n_words += len(w)
+            hits += set().union(*filter(None, map(look_up, set(w))))
+        v = np.bincount(np.array(hits, np.int64), minlength=len(place) + 2).astype(float)
+        v[-2:] = len(b), n_words
         return v
 
     seen = sum_vectors(docs.select("text"), gather, len(place) + 2)
