@@ -20,10 +20,13 @@ count once.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +35,9 @@ from brightloom.session import cut_lineage, fresh_path
 
 WINDOW, MIN_PLAIN, MIN_COVER = 5, 3, 0.6
 RUN = 9  # windows in a row, that is 13 words
-FILTER_BITS = 22
+FILTER_BITS = 24
 KEPT_WORDS = 500_000
+CHUNK = 1 << 22  # code points that are cut at once; a longer text is cut by itself
 # Words that count as units behind a number
 UNITS = frozenset(
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces "
@@ -41,6 +45,7 @@ UNITS = frozenset(
     "hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split()
 )
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
+_ENDS = frozenset(".!?")
 _END, _NUMBER, _UNIT, _CAPITAL = 1, 2, 4, 8
 _TEMPLATE, _EXACT = 0, 1
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW + 1)], dtype=np.uint64)
@@ -48,62 +53,90 @@ _TYPED = {t: np.uint64(xxhash.xxh3_64_intdigest(t)) for t in ("<number>", "<unit
 
 
 class Words:
-    """Code and kind of every word that a worker has met."""
+    """Codes and kinds of the tokens of every stretch without white space that a task has met."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
-        self.codes, self.kinds = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
-
-    def _add(self, t: str) -> None:
-        at, low = len(self.index), t.lower()
-        if at == len(self.codes):
-            self.codes, self.kinds = np.append(self.codes, np.zeros(at, np.uint64)), np.append(self.kinds, np.zeros(at, np.uint8))
-        self.index[t] = at
-        self.codes[at] = xxhash.xxh3_64_intdigest(low)
-        if t in ".!?\n":
-            self.kinds[at] = _END
-        elif t[0].isdigit():
-            self.kinds[at] = _NUMBER
-        else:
-            self.kinds[at] = (_UNIT if low in UNITS else 0) | (_CAPITAL if t[0] != low[0] else 0)
-
-    def look_up(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.index: dict[str, int] = {"": 0}
+        self.codes, self.kinds, self.first, self.n = array("Q"), bytearray(), array("q", [0]), array("q", [0])
+
+    def _add(self, stretch: str) -> None:
+        tokens = (stretch,) if stretch.isalpha() else _TOKEN.findall(stretch)
+        self.index[stretch] = len(self.n)
+        self.first.append(len(self.codes))
+        self.n.append(len(tokens))
+        for t in tokens:
+            low = t.lower()
+            self.codes.append(xxhash.xxh3_64_intdigest(low))
+            if t in _ENDS:
+                self.kinds.append(_END)
+            elif t[0].isdigit():
+                self.kinds.append(_NUMBER)
+            else:
+                self.kinds.append((_UNIT if low in UNITS else 0) | (_CAPITAL if t[0] != low[0] else 0))
+
+    def look_up(self, stretches: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes and kinds of all tokens of the stretches in order, and the number of tokens of each."""
         if len(self.index) > KEPT_WORDS:
             self.__init__()
-        for t in set(tokens).difference(self.index):
-            self._add(t)
-        at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
-        return self.codes[at], self.kinds[at]
-
-
-def template(tokens: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the words among the tokens, their codes, their template codes, and which of them are typed."""
-    code, kind = words.look_up(tokens)
-    place = np.flatnonzero((kind & _END) == 0)
-    first = np.concatenate([[True], (kind[:-1] & _END) != 0])[place] if len(tokens) else np.zeros(0, bool)
-    code, kind = code[place], kind[place]
+        distinct = stretches.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = self.index
+        for w in [w for w in distinct if w not in index]:
+            self._add(w)
+        at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[stretches.indices.to_numpy()]
+        n = np.array(self.n)[at]
+        ends = np.cumsum(n)
+        token = np.repeat(np.array(self.first)[at] - (ends - n), n) + np.arange(n.sum())
+        return np.array(self.codes, np.uint64)[token], np.frombuffer(bytes(self.kinds), np.uint8)[token], n
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The words of some texts, one text after the other."""
+
+    text: np.ndarray  # number of the text
+    place: np.ndarray  # place among the text's tokens
+    code: np.ndarray
+    template: np.ndarray  # code with numbers, units and names replaced by their type
+    typed: np.ndarray  # which words are replaced
+
+
+def cut(texts: list[str], words: Words) -> Cut:
+    # a line end is a token like a full stop; no other token holds white space
+    split = pc.ascii_split_whitespace(pc.replace_substring(pa.array(texts, pa.string()), "\n", " . "))
+    code, kind, n = words.look_up(split.flatten().dictionary_encode())
+    bounds = np.concatenate([[0], np.cumsum(n)])[split.offsets.to_numpy()]
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    new_text = np.diff(text, prepend=-1) != 0
+    first = new_text | np.concatenate([[True], (kind[:-1] & _END) != 0])[: len(kind)]
+    word = np.flatnonzero((kind & _END) == 0)
+    text, first, code, kind = text[word], first[word], code[word], kind[word]
     number = (kind & _NUMBER) != 0
-    unit = ((kind & _UNIT) != 0) & np.concatenate([[False], number[:-1]])[: len(place)]
+    behind_number = np.concatenate([[False], number[:-1] & (text[:-1] == text[1:])])[: len(text)]
+    unit = ((kind & _UNIT) != 0) & behind_number
     name = ((kind & _CAPITAL) != 0) & ~first & ~unit
-    typed_code = code.copy()
+    template = code.copy()
     for mask, t in ((number, "<number>"), (unit, "<unit>"), (name, "<name>")):
-        typed_code[mask] = _TYPED[t]
-    return place, code, typed_code, number | unit | name
+        template[mask] = _TYPED[t]
+    return Cut(text, word - bounds[text], code, template, number | unit | name)
 
 
-def windows(code: np.ndarray, typed: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the windows of ``width`` words that hold enough plain ones."""
-    n = len(code) - width + 1
+def windows(c: Cut, form: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the windows of ``width`` words of one text; of templates those with enough plain words."""
+    n = len(c.text) - width + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    code = c.template if form == _TEMPLATE else c.code
     h = np.zeros(n, dtype=np.uint64)
     for k in range(width):
         h += code[k : k + n] * _POWERS[k]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    total = np.concatenate([[0], np.cumsum(~typed)])
-    at = np.flatnonzero(total[width:] - total[:-width] >= min(MIN_PLAIN, width))
+    good = c.text[:n] == c.text[width - 1 :]
+    if form == _TEMPLATE:
+        total = np.concatenate([[0], np.cumsum(~c.typed)])
+        good &= total[width:] - total[:-width] >= min(MIN_PLAIN, width)
+    at = np.flatnonzero(good)
     return at, h[at]
 
 
@@ -113,47 +146,68 @@ _KINDS = [pa.int64(), *[pa.int32()] * 8, pa.int64(), pa.list_(pa.string())]
 _NAMES = [f.split()[0] for f in _ROWS.split(", ")]
 
 
-def _rows(ident, text: str, words: Words, wanted: dict[tuple[int, int], np.ndarray] | None) -> list[tuple]:
-    """Windows of a text in both forms: those of a question, or with ``wanted``, filters by form and length, of a document."""
-    tokens = _TOKEN.findall(text)
-    if not tokens:
-        return []
-    place, code, typed_code, typed = template(tokens, words)
-    rows, spans = [], None
-    for form, width in wanted or ((f, min(WINDOW, len(code))) for f in (_TEMPLATE, _EXACT)):
-        if not 0 < width <= len(code):
+def _rows(idents: list, texts: list[str], words: Words, wanted: dict[tuple[int, int], np.ndarray] | None) -> list[tuple]:
+    """Windows of texts in both forms: all of a single question, or with ``wanted``, filters by form and length, some of documents."""
+    c = cut(texts, words)
+    n_words = np.bincount(c.text, minlength=len(texts))
+    start = np.cumsum(n_words) - n_words
+    rows: list[tuple] = []
+    tokens: dict[int, list[re.Match]] = {}
+    for form, width in wanted or ((f, min(WINDOW, len(c.text))) for f in (_TEMPLATE, _EXACT)):
+        if not width:
             continue
-        marked = typed if form == _TEMPLATE else np.zeros(len(code), bool)
-        at, h = windows(typed_code if form == _TEMPLATE else code, marked, width)
-        n_all, n_rich = len(code) - width + 1, 0
+        at, h = windows(c, form, width)
+        n_rich = 0
         if wanted is not None:
-            hit = wanted[form, width][(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+            bit = h >> np.uint64(64 - FILTER_BITS)
+            hit = (wanted[form, width][(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             at, h = at[hit], h[hit]
         else:
-            n_rich = len(windows(typed_code, typed, width)[0])
-        if not len(at):
-            continue
-        spans = spans or [m.span() for m in _TOKEN.finditer(text)]
+            n_rich = len(windows(c, _TEMPLATE, width)[0])
         for nth, (p, code_h) in enumerate(zip(at.tolist(), h.astype(np.int64).tolist(), strict=True)):
-            inside = place[p : p + width].tolist()
-            fill = [tokens[i].lower() if t else None for i, t in zip(inside, marked[p : p + width].tolist(), strict=True)]
-            rows.append((ident, n_rich, n_all, form, p, 0 if wanted else nth, width, spans[inside[0]][0], spans[inside[-1]][1], code_h, fill))
+            i = int(c.text[p])
+            if i not in tokens:
+                tokens[i] = list(_TOKEN.finditer(texts[i]))
+            inside = [tokens[i][k] for k in c.place[p : p + width].tolist()]
+            typed = c.typed[p : p + width].tolist() if form == _TEMPLATE else [False] * width
+            fill = [m.group().lower() if t else None for m, t in zip(inside, typed, strict=True)]
+            rows.append((
+                idents[i], n_rich, int(n_words[i]) - width + 1, form, p - int(start[i]), 0 if wanted is not None else nth, width,
+                inside[0].start(), inside[-1].end(), code_h, fill,
+            ))
     return rows
 
 
+def _chunks(idents: list, texts: list[str | None]) -> Iterator[tuple[list, list[str]]]:
+    """Rows with a text, in lists of about ``CHUNK`` code points."""
+    some: tuple[list, list[str]] = ([], [])
+    size = 0
+    for i, t in zip(idents, texts, strict=True):
+        if not t:
+            continue
+        some[0].append(i)
+        some[1].append(t)
+        size += len(t)
+        if size >= CHUNK:
+            yield some
+            some, size = ([], []), 0
+    if some[0]:
+        yield some
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
 
 def question_windows(benchmark: DataFrame) -> DataFrame:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
             pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            yield _batch([r for i, t in pairs if t for r in _rows(i, t, words, None)])
+            yield _batch([r for i, t in pairs if t for r in _rows([i], [t], words, None)])
 
-    return benchmark.selectExpr("CAST(item_id AS BIGINT) AS id", "text").mapInArrow(cut, _ROWS)
+    return benchmark.selectExpr("CAST(item_id AS BIGINT) AS id", "text").mapInArrow(find, _ROWS)
 
 
 def window_filter(questions: DataFrame) -> dict[tuple[int, int], np.ndarray]:
@@ -163,23 +217,19 @@ def window_filter(questions: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     out: dict[tuple[int, int], np.ndarray] = {}
     for r in bits.groupBy("form", "width", "w").agg(F.expr("bit_or(bit) AS bits")).collect():
         out.setdefault((r.form, r.width), np.zeros((1 << FILTER_BITS) // 32, dtype=np.uint32))[r.w] = r.bits
-    return {k: np.unpackbits(v.view(np.uint8), bitorder="little").astype(bool) for k, v in out.items()}
+    return {k: v.view(np.uint8) for k, v in out.items()}
 
 
 def document_windows(docs: DataFrame, wanted: dict[tuple[int, int], np.ndarray]) -> DataFrame:
     """Windows of the documents that may stand in a question."""
-    packed = {k: np.packbits(v) for k, v in wanted.items()}
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, filters = Words(), {k: np.unpackbits(v).astype(bool) for k, v in packed.items()}
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for b in batches:
-            rows: list[tuple] = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t and filters:
-                    rows += _rows(i, t, words, filters)
-            yield _batch(rows)
+            for idents, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()) if wanted else ():
+                yield _batch(_rows(idents, texts, words, wanted))
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS id", "text").mapInArrow(cut, _ROWS)
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS id", "text").mapInArrow(find, _ROWS)
 
 
 _WINDOW = "struct<q_pos:int,nth:int,form:int,start:int,end:int,fill:array<struct<at:int,q:string,d:string>>>"
