@@ -8,12 +8,15 @@ share a prefix n-gram, a pair must pass
 
 * the length filter: sizes too different cannot be similar;
 * the positional filter: what stands behind the shared n-gram must suffice for the overlap;
-* the suffix filter: the parities of the sets in 256 buckets differ in no more places than the sets.
+* the suffix filter: the parities of the sets in 256 buckets, and then in at least four buckets per
+  n-gram, differ in no more places than the sets.
 
-Each pair that is left is verified once, on the whole sets. To keep large groups of near copies from
-being listed pair by pair, the classes of each prefix n-gram are first compared with one of them (its
-pivot); then only pairs that are not connected yet are listed and verified. No link that joins
-two components is lost; links inside a component are not all listed.
+Each pair that is left is verified at most once, on the whole sets. To keep large groups of near copies
+from being listed pair by pair, the classes of each prefix n-gram are first compared with one of them
+(its pivot); then only pairs that are not connected yet are listed. Of the pairs of a list each class
+brings one to be verified first, and the rest only where that left them in different components, so a
+set travels a few times and not once per pair. No link that joins two components is lost; links inside
+a component are not all listed.
 
 Words are runs of anything but space and tab to carriage return, A-Z in lower case. A text with fewer
 words than ``width`` has one n-gram, all of it. Missing texts and texts without words have none, and
@@ -127,18 +130,33 @@ def count_levels(described: DataFrame) -> np.ndarray:
     return out
 
 
-_PREFIX = "doc_id long, n int, s0 long, s1 long, s2 long, s3 long, prefix array<long>"
+_PREFIX = "doc_id long, n int, s0 long, s1 long, s2 long, s3 long, prefix array<long>, wide binary"
+
+
+def wide_parities(grams: np.ndarray) -> bytes:
+    """Parities of a set in buckets by its lowest bits: a power of two of at least four per n-gram."""
+    buckets = 1 << max(8, int(4 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def parities_differ(x: bytes, y: bytes) -> int:
+    """In how many buckets two such tables differ, the larger folded to the size of the smaller."""
+    a, b = sorted((np.frombuffer(t, np.uint8) for t in (x, y)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per document its rarest n-grams, rarest first, and the parities of its set in 256 buckets."""
+    """Per document its rarest n-grams, rarest first, and the parities of its set in 256 and in more buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
     names = [f.split()[0] for f in _PREFIX.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, level = _WordCodes(), np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            ids, sizes, parity, lists = [], [], [], []
+            ids, sizes, parity, lists, wide = [], [], [], [], []
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = ngram_set(t, width, codes)
                 n = len(s)
@@ -153,12 +171,13 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> D
                 sizes.append(n)
                 parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 lists.append(s[first].view(np.int64))
+                wide.append(wide_parities(s))
             bits = np.stack(parity) if parity else np.zeros((0, 4), np.int64)
             ends = np.cumsum([0, *map(len, lists)])
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(bits[:, i]) for i in range(4)),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(wide, pa.binary())],
                 names=names,
             )
 
@@ -240,21 +259,48 @@ def shared_postings(firsts: DataFrame) -> DataFrame:
             doc, size, *parity = (b.column(i).take(at) for i in range(6))
             yield pa.RecordBatch.from_arrays([pa.array(g[hit]), doc, size, pa.array(pos[hit].astype(np.int32)), *parity], names=names)
 
-    hashed = firsts.withColumn("h", F.expr("transform(prefix, x -> xxhash64(x))"))
+    hashed = firsts.drop("wide").withColumn("h", F.expr("transform(prefix, x -> xxhash64(x))"))
     return cut_lineage(hashed.mapInArrow(pick, _POSTING))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def plausible(firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose wide parities differ in no more places than similar sets can."""
+    sides = [firsts.selectExpr(f"doc_id AS {c}", f"n AS n{c}", f"wide AS w{c}") for c in "ab"]
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.asarray(b.column(2)).astype(np.int64) + np.asarray(b.column(4))
+            allowed = n - 2 * ((n * percent + 99 + percent) // (100 + percent))
+            differ = [parities_differ(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(np.asarray(differ, np.int64) <= allowed))
+
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "wa", "nb", "wb")
+    return both.mapInArrow(test, "a long, b long").distinct()
+
+
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    path = fresh_path(docs.sparkSession, "ngram-sets")
-    sets_of(docs, pairs, width).write.parquet(path)
-    sets = docs.sparkSession.read.schema(_SETS).parquet(path)
     left, right = (sets.filter(side).selectExpr(f"doc_id AS {c}", f"grams AS g{c}") for side, c in (("left", "a"), ("right", "b")))
     both = pairs.join(left, "a").join(right, "b").selectExpr("a", "b", "size(ga) AS na", "size(gb) AS nb", "size(array_intersect(ga, gb)) AS common")
     return both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b").distinct()
 
 
-def links(docs: DataFrame, postings: DataFrame, width: int, percent: int) -> DataFrame:
+def connecting(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified pairs among ``pairs`` that connect all that these connect: one of each ``a`` is tried first."""
+    path = fresh_path(docs.sparkSession, "ngram-sets")
+    sets_of(docs, pairs, width).write.parquet(path)
+    sets = docs.sparkSession.read.schema(_SETS).parquet(path)
+    hooks = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    first = cut_lineage(verified(sets, hooks, percent))
+    group = components(first)
+    named = pairs
+    for c in "ab":
+        named = named.join(group.withColumnsRenamed({"id": c, "component": f"grp_{c}"}), c, "left")
+    apart = named.filter("coalesce(grp_a, a) <> coalesce(grp_b, b)").select("a", "b").join(hooks, ["a", "b"], "left_anti")
+    return cut_lineage(first.unionByName(verified(sets, cut_lineage(apart), percent)))
+
+
+def links(docs: DataFrame, firsts: DataFrame, postings: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified pairs (a, b) that connect everything that is connected."""
     keep = _passes(percent)
     # what is joined back to its own input is stored first: Spark can then split large partitions of the join
@@ -264,7 +310,7 @@ def links(docs: DataFrame, postings: DataFrame, width: int, percent: int) -> Dat
     # few pivots on the right; two classes that are each other's pivot are one pair
     tried = starred.selectExpr("struct(l.cls AS a, r.cls AS b) AS p").groupBy(F.expr("least(p.a, p.b) AS lo"), F.expr("greatest(p.a, p.b) AS hi"))
     tried = cut_lineage(tried.agg(F.min("p").alias("p")).selectExpr("p.a AS a", "p.b AS b"))
-    first = cut_lineage(verified(docs, tried, width, percent))
+    first = connecting(docs, cut_lineage(plausible(firsts, tried, percent)), width, percent)
     group = components(first).withColumnsRenamed({"id": "cls", "component": "grp"})
     p = cut_lineage(postings.join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
     # an n-gram whose classes are all connected has nothing left to find
@@ -273,7 +319,7 @@ def links(docs: DataFrame, postings: DataFrame, width: int, percent: int) -> Dat
     rest = p.alias("l").join(p.alias("r"), F.expr(f"l.g = r.g AND l.cls < r.cls AND l.grp <> r.grp AND {keep}"))
     done = tried.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
     rest = rest.selectExpr("l.cls AS a", "r.cls AS b").distinct().join(done, ["a", "b"], "left_anti")
-    return first.unionByName(verified(docs, cut_lineage(rest), width, percent))
+    return first.unionByName(connecting(docs, cut_lineage(plausible(firsts, cut_lineage(rest), percent)), width, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -288,7 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     firsts.write.parquet(path)
     firsts = spark.read.schema(_PREFIX).parquet(path)
     postings = shared_postings(firsts)
-    group = components(links(docs, postings, width, percent)).withColumnRenamed("id", "cls")
+    group = components(links(docs, firsts, postings, width, percent)).withColumnRenamed("id", "cls")
     named = classes.join(group, "cls", "left").selectExpr("d1", "d2", "coalesce(component, cls) AS component")
     joined = rows.join(named, ["d1", "d2"], "left")
     return joined.selectExpr(

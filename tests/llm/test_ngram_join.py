@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from brightloom.llm import graph, ngram_join
 from tests.llm.helpers import EDGE, documents, prose
 
@@ -66,3 +68,15 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30, 60)] + [(5, k) for k in range(100, 120)] + [(8, 7)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(30, 61)} == {30} and {got[i] for i in (5, *range(100, 120))} == {5} and got[8] == 7
+
+
+def test_wide_parities_never_differ_more_than_the_sets():
+    r = np.random.default_rng(5)
+    for n in (1, 3, 40, 900):
+        a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        for changed in (0, 1, n // 3, n):
+            b = np.unique(np.concatenate([a[changed:], r.integers(0, 1 << 62, changed + n // 5).astype(np.uint64)]))
+            x, y = ngram_join.wide_parities(a), ngram_join.wide_parities(b)
+            assert ngram_join.parities_differ(x, y) == ngram_join.parities_differ(y, x) <= len(np.setxor1d(a, b))
+    far = [ngram_join.wide_parities(np.unique(r.integers(0, 1 << 62, 900).astype(np.uint64))) for _ in range(2)]
+    assert ngram_join.parities_differ(*far) > 900
