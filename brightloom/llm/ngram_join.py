@@ -40,7 +40,7 @@ from brightloom.session import cut_lineage, fresh_path
 
 KEPT_WORDS = 250_000
 COUNT_BITS, CHUNK_BITS = 22, 16
-ID_BITS = 23
+FILTER_BITS = 20, 28  # least and most; at most 32 MB are sent to the tasks
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(1, 65)], dtype=np.uint64)
 
 
@@ -195,15 +195,41 @@ def _passes(percent: int) -> str:
 
 
 def id_filter(ids: DataFrame, column: str) -> bytes:
-    """Which of 2**ID_BITS hash values occur among ids: a table of fixed size that lets most others be skipped."""
-    h = f"(xxhash64({column}) & {(1 << ID_BITS) - 1})"
-    words = ids.selectExpr(f"shiftright({h}, 5) AS w", f"shiftleft(1L, int({h} & 31)) AS bit").groupBy("w")
-    out = np.zeros((1 << ID_BITS) // 32, dtype=np.uint32)
-    for r in words.agg(F.expr("bit_or(bit) AS bits")).collect():
-        out[r.w] = r.bits
+    """A bit for each hash value that occurs among (stored) ids, which lets most others be skipped.
+
+    It has 32 to 64 bits per id, up to 2 ** FILTER_BITS[1]; beyond that it lets more others pass, but
+    drops none of the ids. Tasks fill in pieces of it, so that the driver gets no more than its length.
+    """
+    low, high = FILTER_BITS
+    bits = min(max(low, (32 * ids.count()).bit_length()), high)
+    piece = 13  # 8 KB
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for b in batches:
+            h = np.sort(np.asarray(b.column(0)))
+            starts = np.flatnonzero(np.diff(h >> (piece + 3), prepend=-1))
+            for part in np.split(h, starts[1:]) if len(h) else []:
+                table = pieces.setdefault(int(part[0] >> (piece + 3)), np.zeros(1 << piece, np.uint8))
+                np.bitwise_or.at(table, (part >> 3) & ((1 << piece) - 1), (1 << (part & 7)).astype(np.uint8))
+        names, kinds = ["piece", "bits"], [pa.int64(), pa.binary()]
+        columns = [list(pieces), [t.tobytes() for t in pieces.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    hashed = ids.selectExpr(f"xxhash64({column}) & {(1 << bits) - 1} AS h").distinct()
+    dealt = hashed.repartition(F.expr(f"shiftright(h, {piece + 3})"))
+    out = np.zeros((1 << bits) >> 3, dtype=np.uint8)
+    for r in dealt.mapInArrow(mark, "piece long, bits binary").collect():
+        out[r.piece << piece : (r.piece + 1) << piece] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.tobytes()
 
 
+def marked(table: bytes, hashes: np.ndarray) -> np.ndarray:
+    bits = np.frombuffer(table, np.uint8)
+    h = hashes & (8 * len(bits) - 1)
+    return ((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 _SETS = "doc_id long, grams array<long>, left boolean, right boolean"
 
 
@@ -215,10 +241,9 @@ def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((id_filter(pairs, "a"), id_filter(pairs, "b")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, tables = _WordCodes(), [np.frombuffer(t, np.uint32) for t in shared.value]
+        codes = _WordCodes()
         for b in batches:
-            h = np.asarray(b.column(2).fill_null(0))
-            left, right = (((t[h >> 5] >> (h & 31).astype(np.uint32)) & 1).astype(bool) for t in tables)
+            left, right = (marked(t, np.asarray(b.column(2))) for t in shared.value)
             hit = left | right
             if hit.any():
                 b = b.filter(pa.array(hit))
@@ -228,8 +253,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "grams", "left", "right"],
                 )
 
-    hashed = docs.withColumn("_h", F.expr(f"xxhash64(doc_id) & {(1 << ID_BITS) - 1}"))
-    return hashed.mapInArrow(scan, _SETS)
+    return docs.withColumn("_h", F.expr("xxhash64(doc_id)")).mapInArrow(scan, _SETS)
 
 
 _POSTING = "g long, cls long, n int, pos int, s0 long, s1 long, s2 long, s3 long"
@@ -238,23 +262,21 @@ _POSTING = "g long, cls long, n int, pos int, s0 long, s1 long, s2 long, s3 long
 def shared_postings(firsts: DataFrame) -> DataFrame:
     """One row per class and prefix n-gram that another class may have too.
 
-    The n-grams in question are marked in a table of fixed size, so that the others, nearly all, are
+    The n-grams in question are marked in a table of bits, so that the others, nearly all, are
     dropped without a join. What stays by chance stands alone and pairs with nothing.
     """
     common = firsts.selectExpr("explode(prefix) AS g").groupBy("g").count().filter("count > 1").select("g")
-    shared = firsts.sparkSession.sparkContext.broadcast(id_filter(common, "g"))
+    shared = firsts.sparkSession.sparkContext.broadcast(id_filter(cut_lineage(common), "g"))
     names = [f.split()[0] for f in _POSTING.split(", ")]
-    mask = (1 << ID_BITS) - 1
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint32)
         for b in batches:
             lists = b.column(6)
             g, h = np.asarray(lists.flatten()), np.asarray(b.column(7).flatten())
             size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
             row = np.repeat(np.arange(len(b)), size)
             pos = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
-            hit = np.flatnonzero((table[(h & mask) >> 5] >> (h & 31).astype(np.uint32)) & 1)
+            hit = np.flatnonzero(marked(shared.value, h))
             at = pa.array(row[hit])  # of the narrow columns only
             doc, size, *parity = (b.column(i).take(at) for i in range(6))
             yield pa.RecordBatch.from_arrays([pa.array(g[hit]), doc, size, pa.array(pos[hit].astype(np.int32)), *parity], names=names)
@@ -304,16 +326,17 @@ def links(docs: DataFrame, firsts: DataFrame, postings: DataFrame, width: int, p
     """Verified pairs (a, b) that connect everything that is connected."""
     keep = _passes(percent)
     # what is joined back to its own input is stored first: Spark can then split large partitions of the join
-    pivots = postings.groupBy("g").agg(F.min(F.struct("pos", "n", "cls", "s0", "s1", "s2", "s3")).alias("p"))
-    pivots = cut_lineage(pivots.selectExpr("g", "p.*"))
+    pivots = postings.groupBy("g").agg(F.min(F.struct("pos", "n", "cls", "s0", "s1", "s2", "s3")).alias("p"), F.count("*").alias("m"))
+    pivots = cut_lineage(pivots.filter("m > 1").selectExpr("g", "m", "p.*"))
     starred = postings.alias("l").join(pivots.alias("r"), F.expr(f"l.g = r.g AND l.cls <> r.cls AND {keep}"))
     # few pivots on the right; two classes that are each other's pivot are one pair
     tried = starred.selectExpr("struct(l.cls AS a, r.cls AS b) AS p").groupBy(F.expr("least(p.a, p.b) AS lo"), F.expr("greatest(p.a, p.b) AS hi"))
     tried = cut_lineage(tried.agg(F.min("p").alias("p")).selectExpr("p.a AS a", "p.b AS b"))
     first = connecting(docs, cut_lineage(plausible(firsts, tried, percent)), width, percent)
     group = components(first).withColumnsRenamed({"id": "cls", "component": "grp"})
-    p = cut_lineage(postings.join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
-    # an n-gram whose classes are all connected has nothing left to find
+    # an n-gram of two classes has had its only pair, and one whose classes are all connected has nothing left to find
+    p = postings.join(pivots.filter("m > 2").select("g"), "g", "left_semi")
+    p = cut_lineage(p.join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
     mixed = p.groupBy("g").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("g")
     p = p.join(cut_lineage(mixed), "g", "left_semi")
     rest = p.alias("l").join(p.alias("r"), F.expr(f"l.g = r.g AND l.cls < r.cls AND l.grp <> r.grp AND {keep}"))
