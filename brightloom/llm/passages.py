@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.llm.ngram_join import id_filter, marked
 from brightloom.session import cut_lineage, fresh_path
 
 MIN_WORDS, WINDOW = 8, 16
@@ -111,19 +112,30 @@ def find_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return docs.sparkSession.read.schema(_UNITS).parquet(path)
 
 
+def may_repeat(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """The units whose digest is among those of ``groups``, and a few others: nearly all that stand alone are dropped without a shuffle."""
+    shared = found.sparkSession.sparkContext.broadcast(id_filter(groups, "d1"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = pa.array(marked(shared.value, np.asarray(b.column(5))))
+            yield b.select([0, 1, 2, 3, 4]).filter(hit)
+
+    return found.selectExpr("doc_id", "d1", "d2", "start", "end", "xxhash64(d1) AS h").mapInArrow(pick, _UNITS)
+
+
 def _repeats(docs: DataFrame, min_words: int) -> DataFrame:
     """Every unit that stood in an earlier place, with its digest and that place, ``kept``."""
     found = find_units(docs, min_words)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end")
-    # a range tells cheaply whether a unit has more than one place, however many it has; stored, so that
-    # the join below has an exchange of its own, whose large partitions Spark can split
+    # stored, so that the join below has an exchange of its own, whose large partitions Spark can split
     groups = cut_lineage(
         found.groupBy("d1", "d2")
-        .agg(F.min(place).alias("kept"), F.max(place).alias("_other"))
-        .filter("kept <> _other")
+        .agg(F.min(place).alias("kept"), F.count("*").alias("n"))
+        .filter("n > 1")
         .select("d1", "d2", F.expr("struct(kept.doc_id, kept.start, kept.end) AS kept"))
     )
-    return found.join(groups, ["d1", "d2"]).filter("NOT (doc_id <=> kept.doc_id AND start = kept.start)")
+    return may_repeat(found, groups).join(groups, ["d1", "d2"]).filter("NOT (doc_id <=> kept.doc_id AND start = kept.start)")
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
