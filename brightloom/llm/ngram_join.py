@@ -307,19 +307,24 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b").distinct()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table in the shared folder, without the plan properties that a checkpoint carries on."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connecting(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified pairs among ``pairs`` that connect all that these connect: one of each ``a`` is tried first."""
-    path = fresh_path(docs.sparkSession, "ngram-sets")
-    sets_of(docs, pairs, width).write.parquet(path)
-    sets = docs.sparkSession.read.schema(_SETS).parquet(path)
+    sets = stored(sets_of(docs, pairs, width), "ngram-sets")
     hooks = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    first = cut_lineage(verified(sets, hooks, percent))
+    first = stored(verified(sets, hooks, percent), "ngram-links")
     group = components(first)
     named = pairs
     for c in "ab":
         named = named.join(group.withColumnsRenamed({"id": c, "component": f"grp_{c}"}), c, "left")
     apart = named.filter("coalesce(grp_a, a) <> coalesce(grp_b, b)").select("a", "b").join(hooks, ["a", "b"], "left_anti")
-    return cut_lineage(first.unionByName(verified(sets, cut_lineage(apart), percent)))
+    return first.unionByName(stored(verified(sets, stored(apart, "ngram-pairs"), percent), "ngram-links"))
 
 
 def links(docs: DataFrame, firsts: DataFrame, postings: DataFrame, width: int, percent: int) -> DataFrame:
@@ -332,7 +337,7 @@ def links(docs: DataFrame, firsts: DataFrame, postings: DataFrame, width: int, p
     # few pivots on the right; two classes that are each other's pivot are one pair
     tried = starred.selectExpr("struct(l.cls AS a, r.cls AS b) AS p").groupBy(F.expr("least(p.a, p.b) AS lo"), F.expr("greatest(p.a, p.b) AS hi"))
     tried = cut_lineage(tried.agg(F.min("p").alias("p")).selectExpr("p.a AS a", "p.b AS b"))
-    first = connecting(docs, cut_lineage(plausible(firsts, tried, percent)), width, percent)
+    first = connecting(docs, stored(plausible(firsts, tried, percent), "ngram-pairs"), width, percent)
     group = components(first).withColumnsRenamed({"id": "cls", "component": "grp"})
     # an n-gram of two classes has had its only pair, and one whose classes are all connected has nothing left to find
     p = postings.join(pivots.filter("m > 2").select("g"), "g", "left_semi")
@@ -342,7 +347,7 @@ def links(docs: DataFrame, firsts: DataFrame, postings: DataFrame, width: int, p
     rest = p.alias("l").join(p.alias("r"), F.expr(f"l.g = r.g AND l.cls < r.cls AND l.grp <> r.grp AND {keep}"))
     done = tried.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
     rest = rest.selectExpr("l.cls AS a", "r.cls AS b").distinct().join(done, ["a", "b"], "left_anti")
-    return first.unionByName(connecting(docs, cut_lineage(plausible(firsts, cut_lineage(rest), percent)), width, percent))
+    return first.unionByName(connecting(docs, stored(plausible(firsts, stored(rest, "ngram-pairs"), percent), "ngram-pairs"), width, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
