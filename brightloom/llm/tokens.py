@@ -1,16 +1,15 @@
 """Token ids of whole texts, with the ids of repeated words kept per Python worker.
 
 The vocabulary's normaliser and splitter never look across ASCII white space, so the ids of a
-text are the ids of its words, one after the other. A batch is split and its distinct words are
-numbered by Arrow; each distinct word is looked up once, and the ids of all its texts are gathered by
-number. A worker keeps the ids of words that it has seen (at most ``KEPT_WORDS``; the store is
-emptied when full) and passes all new words of a batch to the tokenizers library at once.
+text are the ids of its words, one after the other. A batch is split by Arrow, its distinct words are
+numbered, and words of letters lose their case and the ASCII punctuation behind them, which is looked
+up by itself; the ids of all texts are then gathered by number. A worker keeps the ids of what it has
+looked up (at most ``KEPT_WORDS``; the store is emptied when full) and encodes what is new in a batch at once.
 """
 
 from __future__ import annotations
 
 import os
-import string
 from array import array
 
 import numpy as np
@@ -21,6 +20,8 @@ KEPT_WORDS = 1_000_000
 # The character by which byte-level vocabularies write a byte (printable ones stand for themselves)
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+# Letters that have no other normal form but their lower case, and ASCII punctuation behind them
+_LETTERS = "^(?P<core>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<tail>[!-/:-@\\[-`{-~]*)$"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -40,33 +41,30 @@ class Encoder:
         found = self.tok.encode_batch_fast(words, add_special_tokens=False)
         return [_as_bytes(e.ids) for e in found]
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new words. A word of letters with ASCII punctuation behind it is split there by the
-        vocabulary's own pattern, so its two halves are looked up by themselves."""
-        ids, halves, whole, cores = self.ids, [], set(), set()
-        for w in new:
-            letters = w if w.isalpha() else w.rstrip(string.punctuation)
-            # no letter up to here has another normal form
-            if not letters.isalpha() or not (letters.isascii() or max(letters) <= "\xff"):
-                whole.add(w)
-                continue
-            core = letters.lower()
-            if core not in ids:
-                cores.add(core)
-            if core != w:
-                tail = w[len(letters):]
-                halves.append((w, core, tail))
-                if tail not in ids:
-                    whole.add(tail)
-        whole.discard("")
-        ids.update(zip(whole, self._encode(list(whole)), strict=True))
-        pieces = self.tok.model.tokenize
-        for core in cores:
-            # letters of ASCII stand for their own bytes
-            spelt = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids[core] = _as_bytes([p.id for p in pieces(spelt)])
-        for w, core, tail in halves:
-            ids[w] = ids[core] + ids[tail]
+    def _learn(self, new: list[str], simple: list[bool]) -> None:
+        """Keep the ids of new keys; ``simple`` ones are letters in lower case."""
+        ids, tokenize = self.ids, self.tok.model.tokenize
+        whole = [w for w, s in zip(new, simple, strict=True) if not s]
+        ids.update(zip(whole, self._encode(whole), strict=True))
+        for core, s in zip(new, simple, strict=True):
+            if s:
+                # letters of ASCII stand for their own bytes
+                spelt = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids[core] = _as_bytes([p.id for p in tokenize(spelt)])
+
+    def _found(self, keys: pa.Array, simple: np.ndarray) -> list[bytes]:
+        """Ids of each key; a key may stand there more than once."""
+        if len(self.ids) > KEPT_WORDS:
+            self.ids = {"": b""}
+        listed = keys.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.ids.get, listed))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = {listed[i]: i for i in missing}
+            self._learn(list(new), simple[list(new.values())].tolist())
+            for i in missing:
+                found[i] = self.ids[listed[i]]
+        return found
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers; a missing text counts as empty."""
@@ -75,22 +73,22 @@ class Encoder:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         split = pc.ascii_split_whitespace(column.fill_null(""))
         numbered = split.flatten().dictionary_encode()
-        words, at = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
-        if len(self.ids) > KEPT_WORDS:
-            self.ids = {"": b""}
-        ids = self.ids
-        new = [w for w in words if w not in ids]
-        if new:
-            self._learn(new)
-        found = [ids[w] for w in words]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        words, at = numbered.dictionary, numbered.indices.to_numpy()
+        # letters with ASCII punctuation behind them are split there by the vocabulary's own pattern
+        parts = pc.extract_regex(words, _LETTERS)
+        simple = parts.is_valid()
+        tails = pc.if_else(simple, parts.field("tail"), "").dictionary_encode()
+        found = self._found(pc.if_else(simple, pc.utf8_lower(parts.field("core")), words), simple.to_numpy(zero_copy_only=False))
+        behind = self._found(tails.dictionary, np.zeros(len(tails.dictionary), bool))
+        flat = np.frombuffer(b"".join([*found, *behind]), "<u4")
+        length = np.fromiter(map(len, [*found, *behind]), np.int64, len(found) + len(behind)) // 4
         start = np.cumsum(length) - length
-        # every id of every word of the batch, by its place in ``flat``
-        n = length[at]
+        # every id of every word of the batch and of what stands behind it, by its place in ``flat``
+        unit = np.stack([at, (len(found) + tails.indices.to_numpy())[at]], axis=1).ravel()
+        n = length[unit]
         ends = np.cumsum(n)
-        out = flat[np.repeat(start[at] - (ends - n), n) + np.arange(n.sum())].tobytes()
-        cut = 4 * np.r_[0, ends][split.offsets.to_numpy()]
+        out = flat[np.repeat(start[unit] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        cut = 4 * np.r_[0, ends][2 * split.offsets.to_numpy().astype(np.int64)]
         return [out[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 

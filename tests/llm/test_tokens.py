@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brightloom.llm import packing, repair
+from brightloom.llm import packing, repair, tokens
 from brightloom.llm.queries import vocabulary
 from brightloom.llm.tokens import encoder
 from tests.llm.helpers import EDGE, documents, prose
@@ -28,6 +28,13 @@ def test_ids_are_the_librarys(text):
     assert encoder(vocabulary()).encode([text])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_case_and_marks_behind_a_word_take_no_place_in_the_store(plain):
+    e = tokens.Encoder(vocabulary())
+    text = "Écart écart, ÉCART! word Word. (word) x́"
+    assert e.encode([text, None]) == [plain(text).tobytes(), b""]
+    assert set(e.ids) == {"", "écart", "word", ",", "!", ".", "(word)", "x́"}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=60), max_size=8), st.integers(2, 5), st.sampled_from([4, 1 << 20]))
 def test_grammar_round_trip(docs, min_count, first_free):
