@@ -37,7 +37,7 @@ WINDOW, MIN_PLAIN, MIN_COVER = 5, 3, 0.6
 RUN = 9  # windows in a row, that is 13 words
 FILTER_BITS = 24
 KEPT_WORDS = 500_000
-CHUNK = 1 << 22  # code points that are cut at once; a longer text is cut by itself
+CHUNK = 1 << 20  # code points that are cut at once, which changes no result; a longer text is cut by itself
 # Words that count as units behind a number
 UNITS = frozenset(
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces "
@@ -178,14 +178,15 @@ def _rows(idents: list, texts: list[str], words: Words, wanted: dict[tuple[int,
     return rows
 
 
-def _chunks(idents: list, texts: list[str | None]) -> Iterator[tuple[list, list[str]]]:
-    """Rows with a text, in lists of about ``CHUNK`` code points."""
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the rows with a text, in lists of about ``CHUNK`` code points; only these are Python strings at a time."""
     some: tuple[list, list[str]] = ([], [])
     size = 0
-    for i, t in zip(idents, texts, strict=True):
+    for i, t in zip(batch.column(0), batch.column(1), strict=True):
+        t = t.as_py()
         if not t:
             continue
-        some[0].append(i)
+        some[0].append(i.as_py())
         some[1].append(t)
         size += len(t)
         if size >= CHUNK:
@@ -226,7 +227,7 @@ def document_windows(docs: DataFrame, wanted: dict[tuple[int, int], np.ndarray])
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            for idents, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()) if wanted else ():
+            for idents, texts in _chunks(b) if wanted else ():
                 yield _batch(_rows(idents, texts, words, wanted))
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS id", "text").mapInArrow(find, _ROWS)

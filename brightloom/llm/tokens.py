@@ -4,7 +4,8 @@ The vocabulary's normaliser and splitter never look across ASCII white space, so
 text are the ids of its words, one after the other. A batch is split by Arrow, its distinct words are
 numbered, and words of letters lose their case and the ASCII punctuation behind them, which is looked
 up by itself; the ids of all texts are then gathered by number. A worker keeps the ids of what it has
-looked up (at most ``KEPT_WORDS``; the store is emptied when full) and encodes what is new in a batch at once.
+looked up and encodes what is new in a batch at once. When the store holds ``KEPT_WORDS``, it becomes the
+older one and a new one is begun, into which what is looked up again is taken over.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 # The character by which byte-level vocabularies write a byte (printable ones stand for themselves)
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -36,6 +37,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(words, add_special_tokens=False)
@@ -54,14 +56,15 @@ class Encoder:
 
     def _found(self, keys: pa.Array, simple: np.ndarray) -> list[bytes]:
         """Ids of each key; a key may stand there more than once."""
-        if len(self.ids) > KEPT_WORDS:
-            self.ids = {"": b""}
         listed = keys.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.ids.get, listed))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
             new = {listed[i]: i for i in missing}
-            self._learn(list(new), simple[list(new.values())].tolist())
+            known = {w: self.older[w] for w in new if w in self.older}
+            self.ids.update(known)
+            new = {w: i for w, i in new.items() if w not in known}
+            self._learn(list(new), simple[np.fromiter(new.values(), np.int64, len(new))].tolist())
             for i in missing:
                 found[i] = self.ids[listed[i]]
         return found
@@ -70,6 +73,8 @@ class Encoder:
         """Per text its ids as little-endian 32-bit integers; a missing text counts as empty."""
         if not len(texts):
             return []
+        if len(self.ids) > KEPT_WORDS:
+            self.older, self.ids = self.ids, {"": b""}
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         split = pc.ascii_split_whitespace(column.fill_null(""))
         numbered = split.flatten().dictionary_encode()

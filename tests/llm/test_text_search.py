@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -285,3 +286,12 @@ def test_repeated_stretches_inside_long_lines(spark):
     assert left[0].text == texts[0][1] and left[100].text is None and left[None].text == dict(EDGE)[None]
     assert all(middle not in " ".join(left[i].text.lower().split()) and left[i].n_chars == len(left[i].text) for i in (1, 2, 3, 4, 5, 10))
     assert left[1].text.startswith(prose(1, 31).replace(".", "")) and left[11].text.startswith("la " * 16)
+
+
+def test_texts_become_strings_in_pieces(monkeypatch):
+    monkeypatch.setattr(decontam, "CHUNK", 25)
+    texts = ["ten chars.", None, "", "x" * 60, *["ten chars."] * 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11), pa.int64()), pa.array(texts)], names=["id", "text"])
+    pieces = list(decontam._chunks(batch))
+    assert [i for ids, _ in pieces for i in ids] == [0, 3, *range(4, 11)] and [len(ids) for ids, _ in pieces] == [2, 3, 3, 1]
+    assert all(t == texts[i] for ids, some in pieces for i, t in zip(ids, some, strict=True))

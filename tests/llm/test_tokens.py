@@ -35,6 +35,15 @@ def test_case_and_marks_behind_a_word_take_no_place_in_the_store(plain):
     assert set(e.ids) == {"", "écart", "word", ",", "!", ".", "(word)", "x́"}
 
 
+def test_a_full_store_is_kept_as_the_older_one(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 3)
+    e = tokens.Encoder(vocabulary())
+    for text in ("one two three four", "five one", "six seven eight", "one nine two"):
+        assert e.encode([text]) == [plain(text).tobytes()]
+        assert len(e.ids) + len(e.older) <= 12
+    assert "one" in e.ids and "three" not in {**e.ids, **e.older}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=60), max_size=8), st.integers(2, 5), st.sampled_from([4, 1 << 20]))
 def test_grammar_round_trip(docs, min_count, first_free):
