@@ -83,20 +83,14 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, table = _WordCodes(), np.zeros(1 << COUNT_BITS, dtype=np.uint32)
         for b in batches:
-            ids, sizes, d1, d2, held, n_held = b.column(0).to_pylist(), [], [], [], [], 0
-            for t in b.column(1).to_pylist():
-                s = ngram_set(t, width, codes)
+            ids, sizes, d1, d2 = b.column(0).to_pylist(), [], [], []
+            for t in b.column(1):
+                s = ngram_set(t.as_py(), width, codes)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 sizes.append(len(s))
                 d1.append((d >> 64) - (1 << 63))
                 d2.append((d & ((1 << 64) - 1)) - (1 << 63))
-                held.append(s & np.uint64((1 << COUNT_BITS) - 1))
-                n_held += len(s)
-                if n_held > 1 << 20:
-                    table += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(table)).astype(np.uint32)
-                    held, n_held = [], 0
-            if n_held:
-                table += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(table)).astype(np.uint32)
+                np.add.at(table, s & np.uint64((1 << COUNT_BITS) - 1), np.uint32(1))
             none = [None] * len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([ids, sizes, d1, d2, none, none], kinds, strict=True)], names=names)
         for c, part in enumerate(table.reshape(-1, 1 << CHUNK_BITS)):
@@ -157,8 +151,8 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> D
         codes, level = _WordCodes(), np.frombuffer(shared.value, np.uint8)
         for b in batches:
             ids, sizes, parity, lists, wide = [], [], [], [], []
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = ngram_set(t, width, codes)
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = ngram_set(t.as_py(), width, codes)
                 n = len(s)
                 if not n or doc_id is None:
                     continue
@@ -247,7 +241,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
             hit = left | right
             if hit.any():
                 b = b.filter(pa.array(hit))
-                grams = [ngram_set(t, width, codes).view(np.int64) for t in b.column(1).to_pylist()]
+                grams = [ngram_set(t.as_py(), width, codes).view(np.int64) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(grams, pa.list_(pa.int64())), pa.array(left[hit]), pa.array(right[hit])],
                     names=["doc_id", "grams", "left", "right"],
@@ -259,13 +253,17 @@ def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 _POSTING = "g long, cls long, n int, pos int, s0 long, s1 long, s2 long, s3 long"
 
 
-def shared_postings(firsts: DataFrame) -> DataFrame:
-    """One row per class and prefix n-gram that another class may have too.
+def shared_postings(firsts: DataFrame, percent: int) -> DataFrame:
+    """One row per class and prefix n-gram by which it may be found to be similar to another class.
 
-    The n-grams in question are marked in a table of bits, so that the others, nearly all, are
-    dropped without a join. What stays by chance stands alone and pairs with nothing.
+    In the smaller set of a pair that passes the positional filter the n-gram stands so far in front
+    that enough of the set is behind it; where no class has it there, it pairs nothing. The n-grams
+    in question are marked in a table of bits, so that the others, nearly all, are dropped without a
+    join. What stays by chance pairs with nothing.
     """
-    common = firsts.selectExpr("explode(prefix) AS g").groupBy("g").count().filter("count > 1").select("g")
+    front = f"pos <= n - ({2 * percent} * n + {99 + percent}) DIV {100 + percent}"
+    placed = firsts.selectExpr("n", "posexplode(prefix) AS (pos, g)").selectExpr("g", f"{front} AS front")
+    common = placed.groupBy("g").agg(F.count("*").alias("m"), F.max("front").alias("front")).filter("m > 1 AND front").select("g")
     shared = firsts.sparkSession.sparkContext.broadcast(id_filter(cut_lineage(common), "g"))
     names = [f.split()[0] for f in _POSTING.split(", ")]
 
@@ -332,18 +330,21 @@ def links(docs: DataFrame, firsts: DataFrame, postings: DataFrame, width: int, p
     keep = _passes(percent)
     # what is joined back to its own input is stored first: Spark can then split large partitions of the join
     pivots = postings.groupBy("g").agg(F.min(F.struct("pos", "n", "cls", "s0", "s1", "s2", "s3")).alias("p"), F.count("*").alias("m"))
-    pivots = cut_lineage(pivots.filter("m > 1").selectExpr("g", "m", "p.*"))
+    pivots = cut_lineage(pivots.filter("m > 1").selectExpr("g", "p.*"))
     starred = postings.alias("l").join(pivots.alias("r"), F.expr(f"l.g = r.g AND l.cls <> r.cls AND {keep}"))
     # few pivots on the right; two classes that are each other's pivot are one pair
     tried = starred.selectExpr("struct(l.cls AS a, r.cls AS b) AS p").groupBy(F.expr("least(p.a, p.b) AS lo"), F.expr("greatest(p.a, p.b) AS hi"))
     tried = cut_lineage(tried.agg(F.min("p").alias("p")).selectExpr("p.a AS a", "p.b AS b"))
     first = connecting(docs, stored(plausible(firsts, tried, percent), "ngram-pairs"), width, percent)
     group = components(first).withColumnsRenamed({"id": "cls", "component": "grp"})
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+
     # an n-gram of two classes has had its only pair, and one whose classes are all connected has nothing left to find
-    p = postings.join(pivots.filter("m > 2").select("g"), "g", "left_semi")
-    p = cut_lineage(p.join(group, "cls", "left").withColumn("grp", F.coalesce("grp", "cls")))
-    mixed = p.groupBy("g").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("g")
-    p = p.join(cut_lineage(mixed), "g", "left_semi")
+    mixed = named(postings.select("g", "cls")).groupBy("g").agg(F.count("*").alias("m"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    mixed = cut_lineage(mixed.filter("m > 2 AND lo <> hi").select("g"))
+    p = cut_lineage(named(postings.join(mixed, "g", "left_semi")))
     rest = p.alias("l").join(p.alias("r"), F.expr(f"l.g = r.g AND l.cls < r.cls AND l.grp <> r.grp AND {keep}"))
     done = tried.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
     rest = rest.selectExpr("l.cls AS a", "r.cls AS b").distinct().join(done, ["a", "b"], "left_anti")
@@ -361,7 +362,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     firsts = prefixes(docs, width, percent, count_levels(described)).join(classes.selectExpr("cls AS doc_id"), "doc_id", "left_semi")
     firsts.write.parquet(path)
     firsts = spark.read.schema(_PREFIX).parquet(path)
-    postings = shared_postings(firsts)
+    postings = shared_postings(firsts, percent)
     group = components(links(docs, firsts, postings, width, percent)).withColumnRenamed("id", "cls")
     named = classes.join(group, "cls", "left").selectExpr("d1", "d2", "coalesce(component, cls) AS component")
     joined = rows.join(named, ["d1", "d2"], "left")

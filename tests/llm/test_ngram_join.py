@@ -70,6 +70,14 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(30, 61)} == {30} and {got[i] for i in (5, *range(100, 120))} == {5} and got[8] == 7
 
 
+def test_an_ngram_that_no_class_has_in_front_is_no_posting(spark):
+    """Sets of 100 with at least 95 in common share one of their first 6; a larger set may have it later."""
+    at = {1: {5: 70, 6: 80}, 2: {10: 70, 6: 80}}  # 70 in front in one set, 80 in none
+    rows = [(i, 100, 0, 0, 0, 0, [g.get(k, 1000 * i + k) for k in range(11)], None) for i, g in at.items()]
+    postings = ngram_join.shared_postings(spark.createDataFrame(rows, ngram_join._PREFIX), 90)
+    assert sorted((r.g, r.cls, r.pos) for r in postings.collect() if r.g < 1000) == [(70, 1, 5), (70, 2, 10)]
+
+
 def test_wide_parities_never_differ_more_than_the_sets():
     r = np.random.default_rng(5)
     for n in (1, 3, 40, 900):
