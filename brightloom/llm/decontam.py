@@ -286,7 +286,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -
     theirs, otherwise those of both forms.
     """
     spark = docs.sparkSession
-    questions = cut_lineage(question_windows(benchmark).filter("id IS NOT NULL").distinct())
+    rows = 2 * (benchmark.selectExpr("sum(length(text))").first()[0] or 0)  # two forms, and no word without a character
+    questions = cut_lineage(question_windows(benchmark).filter("id IS NOT NULL").distinct(), rows)
     path = fresh_path(spark, "benchmark-windows")
     document_windows(docs, window_filter(questions)).write.parquet(path)
     found = spark.read.schema(_ROWS).parquet(path).distinct()

@@ -264,7 +264,8 @@ def shared_postings(firsts: DataFrame, percent: int) -> DataFrame:
     front = f"pos <= n - ({2 * percent} * n + {99 + percent}) DIV {100 + percent}"
     placed = firsts.selectExpr("n", "posexplode(prefix) AS (pos, g)").selectExpr("g", f"{front} AS front")
     common = placed.groupBy("g").agg(F.count("*").alias("m"), F.max("front").alias("front")).filter("m > 1 AND front").select("g")
-    shared = firsts.sparkSession.sparkContext.broadcast(id_filter(cut_lineage(common), "g"))
+    rows = firsts.selectExpr("sum(size(prefix))").first()[0] or 0
+    shared = firsts.sparkSession.sparkContext.broadcast(id_filter(cut_lineage(common, rows // 2), "g"))
     names = [f.split()[0] for f in _POSTING.split(", ")]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,14 +328,14 @@ def connecting(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
 
 def links(docs: DataFrame, firsts: DataFrame, postings: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified pairs (a, b) that connect everything that is connected."""
-    keep = _passes(percent)
+    keep, n_postings = _passes(percent), postings.count()
     # what is joined back to its own input is stored first: Spark can then split large partitions of the join
     pivots = postings.groupBy("g").agg(F.min(F.struct("pos", "n", "cls", "s0", "s1", "s2", "s3")).alias("p"), F.count("*").alias("m"))
-    pivots = cut_lineage(pivots.filter("m > 1").selectExpr("g", "p.*"))
+    pivots = cut_lineage(pivots.filter("m > 1").selectExpr("g", "p.*"), n_postings // 2)
     starred = postings.alias("l").join(pivots.alias("r"), F.expr(f"l.g = r.g AND l.cls <> r.cls AND {keep}"))
     # few pivots on the right; two classes that are each other's pivot are one pair
     tried = starred.selectExpr("struct(l.cls AS a, r.cls AS b) AS p").groupBy(F.expr("least(p.a, p.b) AS lo"), F.expr("greatest(p.a, p.b) AS hi"))
-    tried = cut_lineage(tried.agg(F.min("p").alias("p")).selectExpr("p.a AS a", "p.b AS b"))
+    tried = cut_lineage(tried.agg(F.min("p").alias("p")).selectExpr("p.a AS a", "p.b AS b"), n_postings)
     first = connecting(docs, stored(plausible(firsts, tried, percent), "ngram-pairs"), width, percent)
     group = components(first).withColumnsRenamed({"id": "cls", "component": "grp"})
 
@@ -343,8 +344,8 @@ def links(docs: DataFrame, firsts: DataFrame, postings: DataFrame, width: int, p
 
     # an n-gram of two classes has had its only pair, and one whose classes are all connected has nothing left to find
     mixed = named(postings.select("g", "cls")).groupBy("g").agg(F.count("*").alias("m"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-    mixed = cut_lineage(mixed.filter("m > 2 AND lo <> hi").select("g"))
-    p = cut_lineage(named(postings.join(mixed, "g", "left_semi")))
+    mixed = cut_lineage(mixed.filter("m > 2 AND lo <> hi").select("g"), n_postings // 3)
+    p = cut_lineage(named(postings.join(mixed, "g", "left_semi")), n_postings)
     rest = p.alias("l").join(p.alias("r"), F.expr(f"l.g = r.g AND l.cls < r.cls AND l.grp <> r.grp AND {keep}"))
     done = tried.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
     rest = rest.selectExpr("l.cls AS a", "r.cls AS b").distinct().join(done, ["a", "b"], "left_anti")

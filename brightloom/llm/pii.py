@@ -237,25 +237,27 @@ def _confident(edges: DataFrame, known: DataFrame) -> DataFrame:
 def accepted_values(found: DataFrame) -> DataFrame:
     """(value, kind): what the fixed formats and the trusted patterns know after the last round."""
     values = found.selectExpr("explode(values) AS v").selectExpr("v.value", "v.kind", "v.may", "explode(v.patterns) AS pattern")
-    every = cut_lineage(values.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.expr("bit_or(may)").alias("may")))
+    rows = found.selectExpr("sum(aggregate(values, 0L, (n, v) -> n + size(v.patterns)))").first()[0] or 0
+    every = cut_lineage(values.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.expr("bit_or(may)").alias("may")), rows)
+    rows = every.count()
     known = every.filter("kind IS NOT NULL").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("seed", F.lit(True))
-    known = cut_lineage(known)
+    known = cut_lineage(known, rows)
     # a pattern around fewer values that can be personal data can never be trusted; of the others only the number counts
     worth = every.groupBy("pattern").agg(F.expr("count_if(may <> 0) AS n"), F.expr("count_if(may = 0) AS n_bad"))
     edges = every.filter("may <> 0").select("pattern", "value", "may").join(worth.filter(f"n >= {MIN_SEEDS}").drop("n"), "pattern")
-    edges = cut_lineage(edges)
+    edges = cut_lineage(edges, rows)
     fits = " OR ".join(f"kind = '{k}' AND may & {1 << i} <> 0" for i, k in enumerate(ALL_KINDS))
     while True:  # each round but the last adds a value
-        trusted = cut_lineage(_confident(edges, known))
+        trusted = cut_lineage(_confident(edges, known), rows)
         open_edges = edges.join(known.select("value"), "value", "left_anti")
         # a value's score for a kind: that not all patterns around it are wrong
         scored = open_edges.join(trusted, "pattern").filter(fits).groupBy("value", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")
         )
-        new = cut_lineage(scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best")).selectExpr("value", "best.kind AS kind", "false AS seed"))
+        new = cut_lineage(scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best")).selectExpr("value", "best.kind AS kind", "false AS seed"), rows)
         if new.isEmpty():
             break
-        known = cut_lineage(known.unionByName(new))
+        known = cut_lineage(known.unionByName(new), rows)
     keys = edges.join(trusted.filter("kind = 'key'").select("pattern"), "pattern", "left_semi").select("value").distinct()
     lone = known.filter("seed AND kind = 'key'").join(keys, "value", "left_anti").select("value")
     return known.join(lone, "value", "left_anti").select("value", "kind")
