@@ -112,7 +112,9 @@ class Intake:
         tables.write_batch(new.agg(F.expr(f"CAST(coalesce(max(new_id), {top}) AS BIGINT) AS top")), self.marks, batch_id)
         numbered = new.unionByName(met.filter("_id IS NOT NULL").withColumnRenamed("_id", "new_id"))
         typed = cut_lineage(tickets.typed_tickets(numbered, "new_id"))
-        tables.write_batch(self._finished(typed), self.tickets, batch_id)
+        finished, supply = self._finished(typed)
+        tables.write_batch(finished, self.tickets, batch_id)
+        supply.release()
 
     @staticmethod
     def _before(spark: SparkSession, path: str, columns: str, batch_id: int) -> DataFrame:
@@ -126,7 +128,7 @@ class Intake:
             rows = spark.createDataFrame([], schema)
         return rows.filter(F.col("batch") < batch_id)
 
-    def _finished(self, typed: DataFrame) -> DataFrame:
+    def _finished(self, typed: DataFrame) -> tuple[DataFrame, assignment.Supply]:
         spark = typed.sparkSession
         d = typed.selectExpr(*_TO_DISPATCH)
         # only the days of the batch, stored once for both searches
@@ -148,7 +150,7 @@ class Intake:
         return joined.selectExpr(
             *[f"{given[n]} AS {n}" if n in given else n for n, _ in tickets.DISPATCH_FIELDS],
             f"coalesce(_explanation, '{wording.NO_EXPLANATION}') AS explanation",
-        )
+        ), supply
 
     def _epoch(self, spark: SparkSession, checkpoint: str) -> int:
         """Which checkpoint over this folder it is, from 0. Its number lies in the checkpoint itself, so
