@@ -46,3 +46,18 @@ def test_feasible_pairs_equal_brute_force_and_deal_out_few_rows(spark):
     reach, _ = S._near_sides(counted, pool, days, rules.hard_max_km)
     # nine cells each before
     assert reach.count() < 4 * dispatches.count()
+
+
+def test_technicians_on_one_spot_are_counted_but_met_once(spark):
+    dispatches, calendar, technicians = world(37, PLACES["town"], n_dispatches=60, n_technicians=30)
+    technicians = [(i + 100 * c, *row) for c in range(5) for i, *row in technicians]
+    calendar = [(i + 100 * c, day, free) for c in range(5) for i, day, free in calendar]
+    data = dispatches, calendar, technicians
+    rules = DispatchRules(rows_per_salt=20)
+    want = {}
+    for p in all_pairs(spark, data):
+        want[p.dispatch_id, p.constraint_level] = want.get((p.dispatch_id, p.constraint_level), 0) + 1
+    levels = S.candidate_levels(*frames(spark, data), rules=rules)
+    got = {(r.dispatch_id, r.constraint_level): r.n_candidates for r in levels.collect() if r.constraint_level != "NO_DATE_MATCH"}
+    assert got == want
+    assert "n_here" in levels._jdf.queryExecution().optimizedPlan().toString()
